@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from reviewmill.constants import SEED
 from reviewmill.operators.lookup import lookup_join
+from reviewmill.session import ensure_checkpoint_dir
 
 VECTOR = "features"
+ROWS_PER_TASK = 50_000
+SVC_TOLERANCE = 1e-4
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -19,6 +22,14 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=VECTOR).transform(df)
 
 
+def pack(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Fewer, fuller partitions for iterative fits, where every round pays for every task.
+
+    Partitions are only merged, never added: a large table keeps its own.
+    """
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def balanced_class_weights(df: DataFrame, label: str) -> DataFrame:
     """label, n, weight = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -35,14 +46,15 @@ def fit_linear_svc(train: DataFrame, label: str = "label", max_iter: int = 4000)
     """One-vs-rest linear SVM, balanced weights. MLlib minimises hinge loss."""
     rows = with_class_weights(train, label).withColumn(label, F.col(label).cast("double"))
     total = rows.count()
-    svm = LinearSVC(maxIter=max_iter, regParam=1.0 / max(total, 1), weightCol="weight")
+    svm = LinearSVC(maxIter=max_iter, tol=SVC_TOLERANCE, regParam=1.0 / max(total, 1))
     return OneVsRest(
-        classifier=svm, labelCol=label, featuresCol=VECTOR, weightCol="weight"
-    ).fit(rows)
+        classifier=svm, labelCol=label, featuresCol=VECTOR, weightCol="weight", parallelism=4
+    ).fit(pack(rows))
 
 
 def fit_random_forest(train: DataFrame, label: str = "label", trees: int = 200, depth: int = 12):
     rows = with_class_weights(train, label).withColumn(label, F.col(label).cast("double"))
+    ensure_checkpoint_dir(train.sparkSession)
     forest = RandomForestClassifier(
         labelCol=label,
         featuresCol=VECTOR,
@@ -64,6 +76,7 @@ def fit_linear_regression(train: DataFrame, label: str):
 
 
 def fit_boosted_regression(train: DataFrame, label: str, rounds: int = 200, depth: int = 6):
+    ensure_checkpoint_dir(train.sparkSession)  # boosting cuts its lineage every ten rounds
     return GBTRegressor(
         labelCol=label,
         featuresCol=VECTOR,
@@ -71,9 +84,10 @@ def fit_boosted_regression(train: DataFrame, label: str, rounds: int = 200, dept
         stepSize=0.1,
         maxDepth=depth,
         subsamplingRate=0.8,
+        checkpointInterval=10,
         featureSubsetStrategy="0.8",
         seed=SEED,
-    ).fit(train)
+    ).fit(pack(train))
 
 
 def feature_importance(df: DataFrame, model, features: list[str], top: int | None = None) -> DataFrame:

@@ -36,12 +36,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/reviewmill/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the checkpoint folder the cluster set; set one only where there is none."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark) + "/checkpoints")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are fixed on shared storage and survive lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark) + "/checkpoints")
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
