@@ -56,10 +56,26 @@ def histogram_bar(pct: Column) -> Column:
 
 
 def keyword_pattern(keywords: list[str], whole_word: bool = False) -> str:
-    """Alternation, longest first, so a long keyword hides its own prefixes."""
-    ordered = sorted(set(keywords), key=lambda word: (-len(word), word))
+    """Prefix tree of the keywords as a pattern that takes the longest keyword at each place.
+
+    Words share their beginnings, so a character that starts no keyword is rejected at once.
+    """
+
+    def branch(words: list[str]) -> str:
+        ends = "" in words
+        tails: dict[str, list[str]] = {}
+        for word in words:
+            if word:
+                tails.setdefault(word[0], []).append(word[1:])
+        options = [re.escape(char) + branch(rest) for char, rest in sorted(tails.items())]
+        if not options:
+            return ""
+        body = options[0] if len(options) == 1 and not ends else f"(?:{'|'.join(options)})"
+        return body + "?" if ends else body
+
     edge = r"\b" if whole_word else ""
-    return f"{edge}({'|'.join(re.escape(word) for word in ordered)}){edge}"
+    first = "".join(sorted({re.escape(word[0]) for word in keywords}))
+    return f"(?=[{first}]){edge}({branch(sorted(set(keywords)))}){edge}"
 
 
 def extract_keywords(col: Column, keywords: list[str], whole_word: bool = False) -> Column:

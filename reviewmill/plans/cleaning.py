@@ -39,15 +39,19 @@ def clean_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_reviews(df: DataFrame, null_ids: str = "collapse") -> DataFrame:
-    """The cleaned eleven-column table.
+def finish_cleaning(rows: DataFrame, null_ids: str = "collapse") -> DataFrame:
+    """Drop rows that cleaning emptied, deduplicate, cap votes, flag long texts, project.
 
-    Two stages are written to the shared folder: the cleaned text, so it is computed once although
-    the filter on it and the first look at the ids would each ask for it again, and the deduplicated rows, so the quantile fits read
-    two narrow columns.
+    ``rows`` should be a written stage: deduplication first looks at the ids alone, and that must not
+    clean the text again. The deduplicated rows are written too, so the quantile fits read two narrow
+    columns.
     """
-    rows = drop_blank_content(write_stage(clean_rows(df), "clean-rows"))
-    unique = deduplicate_reviews(rows, null_ids).withColumn("content_len", F.length("content"))
-    stage = write_stage(unique, "unique-rows")
+    unique = deduplicate_reviews(drop_blank_content(rows), null_ids)
+    stage = write_stage(unique.withColumn("content_len", F.length("content")), "unique-rows")
     capped = cap_at_quantile(stage, "thumbs_up", "thumbs_up_capped")
     return project_final_columns(flag_very_long(capped))
+
+
+def clean_reviews(df: DataFrame, null_ids: str = "collapse") -> DataFrame:
+    """The cleaned eleven-column table of a merged one."""
+    return finish_cleaning(write_stage(clean_rows(df), "clean-rows"), null_ids)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.operators.features import engineer_features
-from reviewmill.plans.cleaning import clean_reviews, merge_sources
+from reviewmill.plans.cleaning import clean_rows, finish_cleaning, merge_sources
 from reviewmill.plans.modeling import ModelData, prepare_model_data
 from reviewmill.session import write_stage
 
@@ -26,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews_from(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """One review per event; the text is the whole document plus a planted ending."""
+    """One review per event; the text is the whole document plus a planted ending.
+
+    The narrow events are spread before the join: a small file is one task, and ten reviews share
+    each text, so the joined rows would otherwise be made, and stay, in few partitions.
+    """
     i = F.col("event_id")
     total = documents.agg(F.count(F.lit(1))).scalar()
-    joined = events.withColumn("doc_id", i % total).join(
-        documents.select("doc_id", "text"), "doc_id", "left"
-    )
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = events.withColumn("doc_id", i % total).repartition(tasks, "doc_id")
+    joined = spread.join(documents.select("doc_id", "text"), "doc_id", "left")
     ending = (
         F.when(F.col("event_type") == "error", " app crash &amp; bug http://x.io/a")
         .when(F.col("event_type") == "purchase", " Great VIDEO filter \U0001f600")
@@ -120,9 +124,16 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clean_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged rows with cleaned text, before anything is dropped or deduplicated."""
+    return _once(
+        spark, sf_dir, "clean", lambda: write_stage(clean_rows(merged(spark, sf_dir)), "clean-rows")
+    )
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
-        spark, sf_dir, "cleaned", lambda: write_stage(clean_reviews(merged(spark, sf_dir)), "cleaned")
+        spark, sf_dir, "cleaned", lambda: write_stage(finish_cleaning(clean_stage(spark, sf_dir)), "cleaned")
     )
 
 

@@ -13,7 +13,7 @@ from reviewmill.operators import quality as ql
 from reviewmill.operators.harmonize import project_final_columns
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans import sql as sq
-from reviewmill.plans.cleaning import clean_rows
+from reviewmill.plans.cleaning import clean_reviews, clean_rows
 from reviewmill.plans.registry import query
 from reviewmill.plans.sql import NEWEST, from_stage, r6
 
@@ -50,6 +50,21 @@ def html_unescape(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", tx.html_unescape(F.col("html")).alias("decoded"))
 
 
+@query("clean_rows", from_stage("merged", f"""
+SELECT review_id, {sq.clean("content")} AS content, score, CAST(coalesce(thumbs_up, 0) AS BIGINT) AS thumbs_up, created_at
+FROM merged WHERE content IS NOT NULL AND {_HAS}"""))
+def clean_rows_query(spark, sf_dir):
+    columns = ["review_id", "content", "score", "thumbs_up", "created_at"]
+    return clean_rows(fx.merged(spark, sf_dir)).select(*columns)
+
+
+@query("clean_reviews", from_stage("cleaned", f"""
+SELECT review_id, "user", content, score, thumbs_up, {r6("thumbs_up_capped")}, app_version, created_at, source, content_len,
+ is_very_long FROM cleaned"""))
+def clean_reviews_query(spark, sf_dir):
+    return clean_reviews(fx.merged(spark, sf_dir))
+
+
 @query("drop_blank_content", from_stage("merged", f"""
 SELECT review_id, content, source FROM merged WHERE content IS NOT NULL AND {_HAS}"""))
 def drop_blank_content(spark, sf_dir):
@@ -61,7 +76,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count_if({_HAS}) AS BIGINT)
  CAST(count_if(NOT {_HAS}) AS BIGINT) AS rows_removed, {r6(f'100.0 * count_if(NOT {_HAS}) / count(*)', 'removed_pct')}
 FROM (SELECT {sq.clean("content")} AS content FROM merged WHERE content IS NOT NULL AND {_HAS})"""))
 def drop_empty_after_clean(spark, sf_dir):
-    return fl.blank_content_report(clean_rows(fx.merged(spark, sf_dir)).select("content"))
+    return fl.blank_content_report(fx.clean_stage(spark, sf_dir).select("content"))
 
 
 @query("fillna_zero", from_stage("merged", """
@@ -113,8 +128,7 @@ def clean_examples(spark, sf_dir):
 @query("dedup_newest_by_id", from_stage("cleaned", """
 SELECT review_id, "user", content, score, thumbs_up, app_version, created_at, source FROM uniq"""))
 def dedup_newest_by_id(spark, sf_dir):
-    rows = fl.drop_blank_content(clean_rows(fx.merged(spark, sf_dir)))
-    return dd.dedup_newest_by_id(rows)
+    return dd.dedup_newest_by_id(fl.drop_blank_content(fx.clean_stage(spark, sf_dir)))
 
 
 @query("dedup_newest_by_user_content", from_stage("merged", f"""
@@ -331,6 +345,6 @@ UNION ALL SELECT 'duplicates', (SELECT count(review_id) - count(DISTINCT review_
     f"b0 AS ({_NULLS('merged', _EIGHT)})", f"a0 AS ({_NULLS('cleaned', [*_EIGHT, 'thumbs_up_capped', 'content_len', 'is_very_long'])})"))
 def quality_delta(spark, sf_dir):
     merged = fx.merged(spark, sf_dir)
-    duplicates = dd.duplicate_count(fl.drop_blank_content(clean_rows(merged)))
+    duplicates = dd.duplicate_count(fl.drop_blank_content(fx.clean_stage(spark, sf_dir)))
     return ql.quality_delta(merged, fx.cleaned(spark, sf_dir), duplicates)
 

@@ -151,7 +151,7 @@ def major_version(spark, sf_dir):
 
 
 def _pattern(words: list[str]) -> str:
-    return rv.keyword_pattern(words)
+    return "(" + "|".join(sorted(words, key=lambda word: (-len(word), word))) + ")"
 
 
 def _hits(words: list[str]) -> str:
