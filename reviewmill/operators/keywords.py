@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.constants import (
@@ -38,71 +38,81 @@ def annotate_keywords(df: DataFrame, whole_word: bool = False) -> DataFrame:
     )
 
 
-def _stats(annotated: DataFrame) -> DataFrame:
-    grouped = annotated.groupBy("score_group").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("has_em").alias("em_count"),
-        F.count_if("has_fn").alias("fn_count"),
-    )
-    return grouped.withColumns(
-        {
-            "em_prop": F.col("em_count") / F.col("n"),
-            "fn_prop": F.col("fn_count") / F.col("n"),
-        }
-    )
+def keyword_counts(df: DataFrame) -> DataFrame:
+    """score_group, category, keyword, n: everything the reports need, from one pass over the text.
 
+    A row with an empty keyword counts the reviews with any hit in the category; a row with an empty
+    category counts all reviews of the group.
+    """
 
-def keyword_group_stats(df: DataFrame) -> DataFrame:
-    return _stats(annotate_keywords(df))
+    def entries(category: str, words: str) -> Column:
+        any_hit = F.when(F.size(words) > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.transform(
+            F.concat(any_hit, F.col(words)),
+            lambda word: F.struct(F.lit(category).alias("category"), word.alias("keyword")),
+        )
 
+    everything = F.array(F.struct(F.lit("").alias("category"), F.lit("").alias("keyword")))
+    tagged = F.concat(everything, *[entries(c, w) for c, w in zip(CATEGORIES, ("em_matches", "fn_matches"))])
+    rows = annotate_keywords(df).select("score_group", F.inline(tagged))
+    return rows.groupBy("score_group", "category", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
-def keyword_proportions(df: DataFrame) -> DataFrame:
-    """group, category, prop_pct: the four bars of the comparison chart, 0 for an empty group."""
-    stats = _stats(annotate_keywords(df)).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("score_group") == g, F.col(c))), F.lit(0.0)).alias(f"{g}_{c}")
-            for g in GROUPS
-            for c in ("em_prop", "fn_prop")
-        ]
+
+def _marker(category: str) -> Column:
+    hit = (F.col("category") == category) & (F.col("keyword") == "")
+    return F.coalesce(F.max(F.when(hit, F.col("n"))), F.lit(0).cast("bigint"))
+
+
+def keyword_group_stats(df: DataFrame) -> DataFrame:
+    grouped = keyword_counts(df).groupBy("score_group").agg(
+        _marker("").alias("n"), *[_marker(c).alias(name) for c, name in zip(CATEGORIES, ("em_count", "fn_count"))]
+    )
+    return grouped.withColumns(
+        {"em_prop": F.col("em_count") / F.col("n"), "fn_prop": F.col("fn_count") / F.col("n")}
     )
-    bars = [
-        F.struct(
-            F.lit(g).alias("score_group"),
-            F.lit(name).alias("category"),
-            F.bround(F.col(f"{g}_{c}") * 100, 2).alias("prop_pct"),
-        )
-        for g in GROUPS
-        for name, c in zip(CATEGORIES, ("em_prop", "fn_prop"))
-    ]
-    return stats.select(F.inline(F.array(*bars)))
 
 
 def keyword_document_frequency(df: DataFrame) -> DataFrame:
     """Reviews containing each keyword, per group and category."""
-    tagged = F.array(
-        F.struct(F.lit("Emotional").alias("category"), F.col("em_matches").alias("words")),
-        F.struct(F.lit("Functional").alias("category"), F.col("fn_matches").alias("words")),
+    return keyword_counts(df).filter(F.col("keyword") != "")
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """Keywords by document frequency; the marker rows sort before all of them and get rank 0."""
+    order = Window.partitionBy("score_group", "category").orderBy(
+        (F.col("keyword") == "").desc(), F.col("n").desc(), "keyword"
     )
-    pairs = annotate_keywords(df).select("score_group", F.inline(tagged))
-    hits = pairs.select("score_group", "category", F.explode("words").alias("keyword"))
-    return hits.groupBy("score_group", "category", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def top_keywords(df: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
-    order = Window.partitionBy("score_group", "category").orderBy(F.col("n").desc(), "keyword")
-    ranked = keyword_document_frequency(df).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= n)
+    ranked = _ranked(keyword_counts(df))
+    return ranked.filter((F.col("rank") > 0) & (F.col("rank") <= n))
 
 
 def keyword_summary(df: DataFrame, k: int = SUMMARY_KEYWORDS) -> DataFrame:
-    """Four rows: group, category, top keywords joined, proportion."""
-    best = top_keywords(df, k).groupBy("score_group", "category").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]),
-            ", ",
-        ).alias("top_keywords")
-    )
-    rows = keyword_proportions(df).join(best, ["score_group", "category"], "left")
-    return rows.select(
-        "score_group", "category", F.coalesce("top_keywords", F.lit("")).alias("top_keywords"), "prop_pct"
-    )
+    """Four rows: group, category, top keywords joined, proportion; 0 for an empty group."""
+    rows = []
+    for group in GROUPS:
+        here = F.col("score_group") == group
+        total = F.max(F.when(here & (F.col("category") == ""), F.col("n")))
+        for category in CATEGORIES:
+            inside = here & (F.col("category") == category)
+            hits = F.max(F.when(inside & (F.col("rank") == 0), F.col("n")))
+            best = F.collect_list(
+                F.when(inside & F.col("rank").between(1, k), F.struct("rank", "keyword"))
+            )
+            rows.append(
+                F.struct(
+                    F.lit(group).alias("score_group"),
+                    F.lit(category).alias("category"),
+                    F.array_join(F.transform(F.array_sort(best), lambda e: e["keyword"]), ", ").alias("top_keywords"),
+                    F.bround(F.coalesce(hits / total, F.lit(0.0)) * 100, 2).alias("prop_pct"),
+                )
+            )
+    return _ranked(keyword_counts(df)).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def keyword_proportions(df: DataFrame) -> DataFrame:
+    """group, category, prop_pct: the four bars of the comparison chart."""
+    return keyword_summary(df).drop("top_keywords")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 SALTS = 16
 
@@ -22,6 +24,7 @@ def lookup_join(
     rows of each key are spread over ``salts`` sub-keys, so a key that owns a large share of ``df``
     is worked on by many tasks.
     """
+    table = cut_lineage(table)  # counted and joined from the same rows, made once
     values = [c for c in table.columns if c not in on.values()]
     renamed = table.select(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())], *values)
     match = [F.col(left).eqNullSafe(F.col(f"_k{i}")) for i, left in enumerate(on)]

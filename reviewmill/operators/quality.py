@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.constants import CAP_QUANTILE, VERY_LONG_QUANTILE, VERY_SHORT_CHARS
@@ -49,10 +49,10 @@ def missing_for_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def share_table(df: DataFrame, col: str, skip_null: bool = True) -> DataFrame:
     """count and percent per value. NULL gets no row but stays in the denominator.
 
-    The total is a window over the already grouped rows, so it never touches row data.
+    The total is a scalar over the grouped rows, not another pass over the table.
     """
     grouped = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    shares = grouped.withColumn("pct", _pct(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    shares = grouped.withColumn("pct", _pct(F.col("n"), grouped.agg(F.sum("n")).scalar()))
     return shares.filter(F.col(col).isNotNull()) if skip_null else shares
 
 
