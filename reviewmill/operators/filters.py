@@ -37,6 +37,5 @@ def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def split_low_high(df: DataFrame, score: str = "score") -> DataFrame:
     """Tag rows ``low`` or ``high`` and drop the rest: one pass instead of two filtered copies."""
-    return df.withColumn("score_group", score_group(F.col(score))).filter(
-        F.col("score_group").isNotNull()
-    )
+    kept = df.filter((F.col(score) <= 2) | (F.col(score) == 5))
+    return kept.withColumn("score_group", score_group(F.col(score)))

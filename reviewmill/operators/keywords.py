@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.constants import (
     CONTENT_CANDIDATES,
@@ -25,8 +26,9 @@ def annotate_keywords(df: DataFrame, whole_word: bool = False) -> DataFrame:
     """Low and high reviews with their keyword hits. Rows without text stay, with no hits."""
     score = resolve_column(df, SCORE_CANDIDATES)
     content = resolve_column(df, CONTENT_CANDIDATES)
-    number = to_number(F.col(score), df.schema[score].dataType)
-    picked = df.withColumn("score_group", score_group(number)).filter(F.col("score_group").isNotNull())
+    kind = df.schema[score].dataType
+    number = F.col(score) if isinstance(kind, T.NumericType) else to_number(F.col(score), kind)
+    picked = df.filter((number <= 2) | (number == 5)).withColumn("score_group", score_group(number))
     matched = picked.withColumns(
         {
             "em_matches": extract_keywords(F.col(content), EMOTIONAL_KEYWORDS, whole_word),

@@ -49,10 +49,10 @@ def missing_for_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def share_table(df: DataFrame, col: str, skip_null: bool = True) -> DataFrame:
     """count and percent per value. NULL gets no row but stays in the denominator.
 
-    The total is a scalar over the grouped rows, not another pass over the table.
+    The total is a bare row count, which a Parquet table answers from its footers.
     """
     grouped = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    shares = grouped.withColumn("pct", _pct(F.col("n"), grouped.agg(F.sum("n")).scalar()))
+    shares = grouped.withColumn("pct", _pct(F.col("n"), df.agg(F.count(F.lit(1))).scalar()))
     return shares.filter(F.col(col).isNotNull()) if skip_null else shares
 
 

@@ -21,11 +21,12 @@ def trend_input(df: DataFrame) -> DataFrame:
     score = resolve_column(df, SCORE_CANDIDATES)
     date = resolve_column(df, DATE_CANDIDATES)
     version = resolve_column(df, VERSION_CANDIDATES, required=False)
-    major = major_version(F.col(version).cast("string")) if version else F.lit(None).cast("bigint")
-    return df.select(
+    release = F.col(version).cast("string") if version else F.lit(None).cast("string")
+    present = df.filter(F.col(score).isNotNull() & F.col(date).isNotNull())  # reaches the scan
+    return present.select(
         to_number(F.col(score), df.schema[score].dataType).alias("score"),
         to_datetime(F.col(date), df.schema[date].dataType).alias("created_at"),
-        major.alias("major_version"),
+        release.alias("release"),
     ).filter(F.col("score").isNotNull() & F.col("created_at").isNotNull())
 
 
@@ -66,9 +67,11 @@ def pivot_sentiment(df: DataFrame) -> DataFrame:
 
 
 def version_first_seen(df: DataFrame) -> DataFrame:
-    seen = trend_input(df).filter(F.col("major_version").isNotNull())
-    first = seen.groupBy("major_version").agg(F.min("created_at").alias("first_seen"))
-    return first.withColumn("first_seen_month", month_end(F.col("first_seen")))
+    """First date per major version. Rows are grouped by the raw text, which is parsed once per text."""
+    releases = trend_input(df).groupBy("release").agg(F.min("created_at").alias("first_seen"))
+    parsed = releases.select(major_version(F.col("release")).alias("major_version"), "first_seen")
+    first = parsed.groupBy("major_version").agg(F.min("first_seen").alias("first_seen"))
+    return first.filter(F.col("major_version").isNotNull()).withColumn("first_seen_month", month_end(F.col("first_seen")))
 
 
 def first_seen_sample(df: DataFrame, n: int = 20) -> DataFrame:
