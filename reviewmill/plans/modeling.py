@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.operators.encoding import OneHotEncoder
-from reviewmill.operators.features import feature_list, model_rows, scaler_choice
-from reviewmill.operators.features import distribution_stats
+from reviewmill.operators.encoding import OneHotEncoder, cardinality, frequency_encode
+from reviewmill.operators.features import distribution_stats, feature_list, model_rows, scaler_choice
 from reviewmill.operators.scaling import LinearScaler, MedianImputer
 from reviewmill.operators.selection import anova_f_scores, choose_k, k_best
 from reviewmill.operators.splits import stratified_split
@@ -49,6 +48,14 @@ class ModelData:
     metadata: DataFrame  # one row
 
 
+def choose_encoders(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
+    """(one-hot columns, frequency columns) by the number of distinct values."""
+    if not columns:
+        return [], []
+    kinds = {r["column_name"]: r["encoder"] for r in cardinality(df, columns).collect()}  # one per column
+    return [c for c in columns if kinds[c] == "one_hot"], [c for c in columns if kinds[c] == "frequency"]
+
+
 def training_part(df: DataFrame) -> DataFrame:
     return df.filter(F.col("dataset") == "train")
 
@@ -62,15 +69,21 @@ def prepare_model_data(
 ) -> ModelData:
     """Split, fit on the training part, transform all parts, and keep the K best features.
 
-    ``scaler_fit_on`` chooses whether the kind of scaler is decided on all rows or on ``train``.
+    Categorical columns with few values are one-hot encoded; the others become the share of rows that
+    have the value, taken from the whole table. ``scaler_fit_on`` chooses whether the kind of scaler is
+    decided on all rows or on ``train``.
     """
     numeric = feature_list(features)
+    one_hot, frequency = choose_encoders(features, categorical or [])
+    for column in frequency:
+        features = frequency_encode(features, column)
+        numeric = [*numeric, f"{column}_freq"]
     rows = model_rows(features, target)
     split = write_stage(stratified_split(rows, target, [key]), "split")
     train = training_part(split)
     stats = distribution_stats(features if scaler_fit_on == "all" else train, numeric)
     choice = scaler_choice(stats).first()
-    prep = Preprocessor.fit(train, numeric, choice["scaler"], categorical)
+    prep = Preprocessor.fit(train, numeric, choice["scaler"], one_hot)
     keep = [F.col(key), F.col("dataset"), F.col(target).alias("target")]
     matrix = write_stage(prep.transform(split, keep), "matrix")
     names = prep.names()
@@ -84,13 +97,13 @@ def prepare_model_data(
         [
             (
                 sum(sizes.values()), "classification", target, choice["scaler"], choice["reason"],
-                float(choice["median_abs_skew"]), ",".join(categorical or []),
+                float(choice["median_abs_skew"]), ",".join(one_hot), ",".join(frequency),
                 sizes.get("train", 0), sizes.get("val", 0), sizes.get("test", 0),
                 len(selected), len(names), ",".join(selected),
             )
         ],
         "total_rows bigint, problem_type string, target string, scaler string, scaler_reason string, "
-        "median_abs_skew double, one_hot_columns string, train_rows bigint, val_rows bigint, "
+        "median_abs_skew double, one_hot_columns string, frequency_columns string, train_rows bigint, val_rows bigint, "
         "test_rows bigint, k int, features_before int, selected_features string",
     )
     return ModelData(

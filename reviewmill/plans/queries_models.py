@@ -181,7 +181,8 @@ def _classified(spark, sf_dir, name, fit):
         rows = fx._once(spark, sf_dir, "labelled", lambda: _labelled(spark, sf_dir))
         model = fit(training_part(rows).select("label", "features"))
         tested = model.transform(rows.filter(F.col("dataset") == "test"))
-        return model, tested.select("label", F.col("prediction").cast("bigint").alias("prediction"))
+        guesses = tested.select("label", F.col("prediction").cast("bigint").alias("prediction"))
+        return model, write_stage(guesses, name)  # every report reads these, none predicts again
 
     return fx._once(spark, sf_dir, name, build)
 
@@ -262,8 +263,12 @@ def _regression(spark, sf_dir):
         plain = md.assemble(split, names)
         linear = md.fit_linear_regression(training_part(scaled), "label")
         boosted = md.fit_boosted_regression(training_part(plain), "label")
-        test = F.col("dataset") == "test"
-        return names, boosted, linear.transform(scaled.filter(test)), boosted.transform(plain.filter(test))
+
+        def tested(model, rows):
+            guesses = model.transform(rows.filter(F.col("dataset") == "test"))
+            return write_stage(guesses.select("label", "prediction"), "regressed")
+
+        return names, boosted, tested(linear, scaled), tested(boosted, plain)
 
     return fx._once(spark, sf_dir, "regression", build)
 

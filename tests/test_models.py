@@ -158,3 +158,15 @@ def test_kmeans_and_pca_recover_separated_blobs(make):
     assert [k for k, _, _ in sweep] == [2, 3, 4]
     axes = clustering.pca_2d(df, names).agg(F.var_pop("pca1"), F.var_pop("pca2")).first()
     assert axes[0] > 10 * axes[1]
+
+
+def test_model_data_with_both_encoders(spark):
+    from reviewmill.plans import fixtures
+    from reviewmill.plans.modeling import prepare_model_data
+
+    data = prepare_model_data(fixtures.features(spark, SF), categorical=["source", "app_version"])
+    assert {"source_kaggle", "app_version_freq"} <= set(data.features)
+    meta = data.metadata.first()
+    assert (meta["one_hot_columns"], meta["frequency_columns"]) == ("source", "app_version")
+    assert meta["train_rows"] + meta["val_rows"] + meta["test_rows"] == meta["total_rows"]
+    assert data.table.filter(" OR ".join(f"`{c}` IS NULL" for c in data.features)).count() == 0
