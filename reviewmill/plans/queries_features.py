@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions import reviews as rv
 from reviewmill.functions import text as tx
+from reviewmill.functions.casts import to_number
 from reviewmill.operators import encoding as en
 from reviewmill.operators import features as ft
 from reviewmill.operators import scaling as sc
@@ -16,6 +17,8 @@ from reviewmill.plans import fixtures as fx
 from reviewmill.plans.modeling import Preprocessor, stage_summary, training_part
 from reviewmill.plans.registry import query
 from reviewmill.plans.sql import MATRIX, from_stage, r6
+from reviewmill.session import stage_path
+from reviewmill.sources import readers, writers
 
 _DOUBLES = ("avg_word_len", "upper_ratio", "log_thumbs_up", "words_per_punct", "engagement_per_word")
 
@@ -394,6 +397,17 @@ def top_features(spark, sf_dir):
     return sl.k_best(scores, 10).select("feature", "score")
 
 
+@query("write_selected_features", _on_matrix(
+    f"SELECT feature, {r6('score')} FROM anova ORDER BY score DESC NULLS LAST, position DESC "
+    "LIMIT (SELECT CASE WHEN count(*) > 50000 THEN 9 ELSE 13 END FROM train_matrix)",
+    _TRAIN_MATRIX, _anova(MATRIX, "train_matrix", "target")))
+def write_selected_features(spark, sf_dir):
+    path = stage_path(spark, "selected")
+    data = fx.model_data(spark, sf_dir)
+    writers.write_selected_features(data.scores.select("feature", "score"), path)
+    return readers.read_csv(spark, path).withColumn("score", to_number(F.col("score")))
+
+
 @query("choose_k", from_stage("split", """
 SELECT n AS train_rows, CASE WHEN n > 50000 THEN 9 WHEN n > 10000 THEN 13 ELSE 13 END AS k
 FROM (SELECT count(*) AS n FROM split WHERE dataset = 'train')"""))

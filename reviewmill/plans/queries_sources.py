@@ -287,14 +287,6 @@ def write_feature_splits(spark, sf_dir):
     return readers.read_parquet(spark, path).groupBy("dataset", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_selected_features")
-def write_selected_features(spark, sf_dir):
-    path = stage_path(spark, "selected")
-    data = fx.model_data(spark, sf_dir)
-    writers.write_selected_features(data.scores.select("feature", "score"), path)
-    return readers.read_csv(spark, path).withColumn("score", to_number(F.col("score")))
-
-
 @query("write_run_metadata", from_stage("split", """
 SELECT count(*) AS total_rows, count(*) FILTER (dataset = 'train') AS train_rows,
  count(*) FILTER (dataset = 'val') AS val_rows, count(*) FILTER (dataset = 'test') AS test_rows FROM split"""))
