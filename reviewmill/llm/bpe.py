@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +26,17 @@ from reviewmill.llm.batches import put_columns, with_schema
 
 LONG_CHARS = 32_768
 LEAF_CHARS = 8_192
-BATCH_CHARS = 200_000
+KNOWN_WORDS = 200_000  # distinct words a task remembers
 WORD_END = "</w>"
 #: kinds of piece: text ends at white space; words are pre-split; an open part is followed by more of its word
 TEXT, WORDS, OPEN, CLOSED, SPECIAL = range(5)
 _ROW, _SEQ, _KIND, _PIECE = "__bpe_row", "__bpe_seq", "__bpe_kind", "__bpe_piece"
+#: Latin letters beyond ASCII that are one code point in NFC and lower-case to one of the same range
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+#: the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for U+0100 onwards
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 
@@ -56,18 +63,71 @@ class Codec:
         longest = sorted(specials, key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, longest))) if longest else None
 
+        self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.parts: dict[str, tuple[bytes, str]] = {}
+        self.pattern = self._word_pattern(inner)
+        self.joins = inner.get("decoder") is None  # then decoding puts a space between tokens
+        self.names = {i: name for name, i in self.whole.get_vocab(with_added_tokens=True).items()}
+
+    @staticmethod
+    def _word_pattern(definition: dict) -> re.Pattern | None:
+        """The pre-split pattern for plain Latin words, if the definition has the shape read here:
+        white space separates, then NFC, lower case, one split pattern, and the byte alphabet."""
+        try:
+            steps = definition["normalizer"]["normalizers"]
+            split, level = definition["pre_tokenizer"]["pretokenizers"]
+            fits = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"]["Regex"] == "\\s+"
+            fits = fits and split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and not level["add_prefix_space"]
+            pattern = split["pattern"]["Regex"]
+        except (KeyError, TypeError, ValueError):
+            return None
+        letters = f"a-zA-Z{_LATIN}"
+        return re.compile(pattern.replace("\\p{L}", letters).replace("\\p{N}", "0-9"), re.ASCII) if fits else None
+
     def encode(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= BATCH_CHARS:
-                yield from (e.ids for e in self.whole.encode_batch_fast(held, add_special_tokens=False))
-                held, size = [], 0
-        yield from (e.ids for e in self.whole.encode_batch_fast(held, add_special_tokens=False))
+        return _unpack(self.encode_many([text])[0][0])
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(packed ids, decoded text) of every text. No token crosses white space, so every distinct word
+        between white space is encoded once and kept."""
+        if self.pattern is None:
+            found = [self.whole.encode(t, add_special_tokens=False).ids for t in texts]
+            return [(_pack(ids), self.whole.decode(ids, skip_special_tokens=False)) for ids in found]
+        split = [t.encode("utf-8").split() for t in texts]
+        if len(self.known) > KNOWN_WORDS:  # bounds memory; frequent words come back at once
+            self.known.clear()
+        known = self.known
+        for words in split:
+            for word in words:
+                if word not in known:
+                    known[word] = self._word(word.decode("utf-8"))
+        out = []
+        for words in split:
+            pairs = [known[w] for w in words]
+            packed = b"".join([p for p, _ in pairs])
+            plain = " ".join([d for _, d in pairs if d]) if self.joins else self.decode(_unpack(packed))
+            out.append((packed, plain))
+        return out
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        if not _PLAIN.fullmatch(word) or (self.specials and self.specials.search(word)):
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+            return _pack(ids), " ".join([self.names[i] for i in ids])
+        pieces = self.pattern.findall(word.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        pairs = [self._piece(piece) for piece in pieces]
+        return b"".join([p for p, _ in pairs]), " ".join([d for _, d in pairs])
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        found = self.parts.get(piece)
+        if found is None:
+            if len(self.parts) > KNOWN_WORDS:
+                self.parts.clear()
+            mapped = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
+            tokens = self.whole.model.tokenize(mapped)
+            found = self.parts[piece] = (_pack([t.id for t in tokens]), " ".join([t.value for t in tokens]))
+        return found
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
@@ -183,7 +243,7 @@ def _codec(definition: str) -> Codec:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _unpack(packed: bytes) -> list[int]:
@@ -214,11 +274,10 @@ def encode(
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                packed, plain = [], []
-                for ids in codec.encode_many(batch.column(text).to_pylist()):
-                    packed.append(_pack(ids))
-                    plain.append(codec.decode(ids))
-                yield put_columns(batch, {"packed_ids": pa.array(packed, pa.binary()), "decoded": pa.array(plain, pa.string())})
+                found = codec.encode_many(batch.column(text).to_pylist())
+                yield put_columns(
+                    batch, {"packed_ids": pa.array([p for p, _ in found], pa.binary()), "decoded": pa.array([d for _, d in found], pa.string())}
+                )
 
     is_long = F.length(text) > long_chars
     direct = df.filter(~is_long).mapInArrow(short, out)

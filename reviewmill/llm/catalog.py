@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import bpe, decontaminate
+from reviewmill.llm import bpe, decontaminate, privacy, quality, urls
 from reviewmill.llm.batches import doc_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,33 @@ def op9_bpe(spark, sf_dir):
         F.sha2("packed_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    """Counts, base rules and the classifier's verdict per document."""
+    return quality.judge(doc_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict per page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    """Counts and digests of the spans of personal data, and all spans with disclosing terms."""
+    found = privacy.find_private(doc_text(table(spark, sf_dir, "documents")))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in privacy.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
