@@ -50,5 +50,15 @@ def doc_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def shielded(df: DataFrame, operate: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """Run a filtering operator on ``df`` under neutral column names, so that no added column can clash.
+
+    ``operate`` gets the renamed table and the new name of each column; the columns of ``df`` come back.
+    """
+    names = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    out = operate(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def ints(values, kind=pa.int64()) -> pa.Array:
     return pa.array(np.asarray(values), type=kind)

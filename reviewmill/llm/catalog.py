@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import bpe, decontaminate, privacy, quality, urls
+from reviewmill.llm import bpe, decontaminate, lines, lmscore, minhash, privacy, quality, secret_scan, urls, weak
 from reviewmill.llm.batches import doc_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,29 @@ def op9_bpe(spark, sf_dir):
     )
 
 
+@query(
+    "op1_minhash",
+    rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM sides UNION SELECT r.x, s.y FROM reach r JOIN sides s ON r.y = s.x),
+low AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.low, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(low.low, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+""",
+)
+def op1_minhash(spark, sf_dir):
+    """Shingle count, component and whether it is the one that stays, per document."""
+    return minhash.near_duplicates(doc_text(table(spark, sf_dir, "documents")))
+
+
 @query("op2_quality_rules")
 def op2_quality_rules(spark, sf_dir):
     """Counts, base rules and the classifier's verdict per document."""
@@ -106,3 +129,38 @@ def op7_pii(spark, sf_dir):
 
     counts = [count(kind) for kind in privacy.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark, sf_dir):
+    """Unigram and network log-probabilities of every document."""
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    """Soft label, probability of good quality, and verdict per document."""
+    return weak.classify(doc_text(table(spark, sf_dir, "documents"))).drop("text")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    """Every candidate with its place, probability and verdict."""
+    return secret_scan.find_secrets(doc_text(table(spark, sf_dir, "documents")))
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    """Lines of every document, and which of them repeat an earlier one."""
+    docs = doc_text(table(spark, sf_dir, "documents"))
+    gone = lines.repeated_lines(docs)
+    body = F.coalesce("text", F.lit(""))
+    sized = docs.select(
+        "doc_id", F.xxhash64(body).alias("version"),
+        F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+    )
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.version") == F.col("g.version"))
+    return sized.alias("d").join(gone.alias("g"), same, "left").select(
+        "d.doc_id", "d.n_lines", F.coalesce(F.size("g.places"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("g.places").cast("array<string>"), ","), F.lit("")).alias("removed"),
+    )

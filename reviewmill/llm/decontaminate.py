@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.batches import put_columns, texts, with_schema
+from reviewmill.llm.batches import put_columns, shielded, texts, with_schema
 
 WINDOW = 13
 SHARD_WORDS = 262_144
@@ -233,8 +233,6 @@ def find_matches(
     return flagged.select(*[F.col(f"`{c}`") for c in rest], "n_words", "n_hit", "items", "matches", "contaminated")
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that are not contaminated, with the columns of ``df``."""
-    kept = find_matches(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), benchmark,
-                        **options | {"text": f"c{df.columns.index(options.get('text', 'text'))}"}).filter(~F.col("contaminated"))
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return shielded(df, lambda rows, names: find_matches(rows, benchmark, text=names[text], **options).filter(~F.col("contaminated")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.batches import add_columns, doc_text, ints, texts
+from reviewmill.llm.batches import add_columns, doc_text, ints, shielded, texts
 from reviewmill.llm.linear import Scorer, fit, sparse
 from reviewmill.llm.measures import measure
 
@@ -100,3 +100,9 @@ def judge(
 
     counts = dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint")
     return add_columns(df, text, build, **counts, base_failed="boolean", quality="double", kept="boolean")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that are kept, with the columns of ``df``; ``doc_id`` and ``text`` name the labelled texts."""
+    documents = df.select("doc_id", F.col(f"`{text}`").alias("text"))
+    return shielded(df, lambda rows, names: judge(rows, labels, documents, text=names[text], **options).filter("kept"))
