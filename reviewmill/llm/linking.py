@@ -1,9 +1,10 @@
 """Groups of linked rows: candidates that share a key, verified, and connected components.
 
 A key may be shared by a large part of all rows, so its rows are never paired with each other outright.
-First every row is compared with the smallest of its key only; the links found join most copies. Then
-rows of a key that are still in different components are compared, and no pair is left out. All joins are
-plain sort-merge joins, whose large partitions adaptive execution splits.
+First every row is compared with one leader, then, under keys that still hold several components, with
+the smallest of those; the links found join most copies. Then rows of a key that are still in different
+components are all compared, and no pair is left out. All joins are plain sort-merge joins, whose large
+partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from reviewmill.session import cut_lineage, write_stage
 
 
+STAR_ROUNDS = 2  # cheap rounds before all that is undecided is compared
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -67,6 +71,7 @@ def linked_components(
     keys: DataFrame,
     near: Callable[[Column, Column], Column],
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """``v`` and ``label`` of all rows that have a link.
 
@@ -76,23 +81,44 @@ def linked_components(
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = write_stage(keys.join(shared, "key"), "members")
     verify = verifier(members.select("id").distinct())
-    to_leader = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    found = write_stage(verify(_similar(to_leader, nodes, near)), "links")
+    # one pair per row first: with the leader it meets under most of its keys
+    offers = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = offers.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader"))).alias("best"))
+    first = best.select((-F.col("best.leader")).alias("a"), F.col("id").alias("b"))
+    found = write_stage(verify(_similar(first, nodes, near)), "links")
     labels = components(found)
-    # what the leaders have not joined: keys of three or more rows that still hold several components
-    placed = members.filter("n > 2").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
-        "key", "id", "leader", F.coalesce("label", "id").alias("label")
-    )
+    for at in range(star_rounds + 1):
+        rest = _undecided(members, labels, nodes)
+        if rest.isEmpty():
+            break
+        # every row with the row of the smallest component under its key; in the end, all that is left with all
+        pairs = _to_smallest(rest) if at < star_rounds else _crossing(rest, near)
+        more = write_stage(verify(_similar(pairs, nodes, near) if at < star_rounds else pairs), "more_links")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = components(found)
+    return labels
+
+
+def _undecided(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of keys that hold more than one component: ``key``, ``id``, ``label``, ``sketch``."""
+    placed = members.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    rest = placed.join(split.select("key"), "key").filter("id <> leader").join(nodes, "id")
-    rest = write_stage(rest.select("key", "id", "label", "sketch"), "rest")
+    rest = placed.join(split.select("key"), "key").join(nodes.select("id", "sketch"), "id")
+    return write_stage(rest.select("key", "id", "label", "sketch"), "rest")
+
+
+def _to_smallest(rest: DataFrame) -> DataFrame:
+    chosen = rest.groupBy("key").agg(F.min(F.struct("label", "id")).alias("low"))
+    pairs = rest.join(chosen, "key").filter(F.col("label") != F.col("low.label"))
+    return pairs.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _crossing(rest: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs of one key in different components whose sketches pass."""
     other = rest.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("sketch").alias("sketch_b"))
     crossing = (
         (rest["key"] == other["key"]) & (rest["id"] < other["b"]) & (rest["label"] != other["label_b"])
         & near(rest["sketch"], other["sketch_b"])
     )
-    pairs = rest.join(other, crossing).select(F.col("id").alias("a"), "b").distinct()
-    more = write_stage(verify(pairs), "more_links")
-    if more.isEmpty():
-        return labels
-    return components(found.unionByName(more))
+    return rest.join(other, crossing).select(F.col("id").alias("a"), "b").distinct()
