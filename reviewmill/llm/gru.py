@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 
+np.seterr(over="ignore")  # of the gates' exponentials
 OTHER, END = 0, 1
 
 
@@ -56,28 +57,31 @@ def new_model(masses: np.ndarray, classes: int, hidden: int, seed: int = 0) -> M
         draw(masses.size, 3 * hidden, scale=0.1),
         draw(hidden, 3 * hidden, scale=hidden**-0.5),
         np.zeros((hidden, classes), np.float32),
-        np.log(np.maximum(total, tiny)).astype(np.float32),
+        np.log(np.maximum(total / masses.sum(), tiny)).astype(np.float32),
         np.zeros((classes, hidden, by_class.shape[1]), np.float32),
-        np.log(np.maximum(by_class, tiny)).astype(np.float32),
+        np.log(np.maximum(by_class / np.maximum(total, tiny)[:, None], tiny)).astype(np.float32),
     )
 
 
 def _gates(model: Model, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Update gate z, reset gate r, q and candidate n. The gates' inputs are held with the sign turned."""
     width = h.shape[1]
     pushed = h @ model.recur
-    zr = given[:, : 2 * width] + pushed[:, : 2 * width]
-    np.negative(zr, out=zr)
-    np.exp(np.minimum(zr, 30.0, out=zr), out=zr)
+    zr = pushed[:, : 2 * width] + given[:, : 2 * width]
+    np.exp(zr, out=zr)  # an overflow is a gate of zero
     zr += 1.0
     np.reciprocal(zr, out=zr)
     z, r, q = zr[:, :width], zr[:, width:], pushed[:, 2 * width :]
-    n = np.tanh(given[:, 2 * width :] + r * q)
-    return z, r, q, n
+    n = r * q
+    n += given[:, 2 * width :]
+    return z, r, q, np.tanh(n, out=n)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, in place, and their sums by row; the limits keep both within single precision."""
+    np.clip(logits, -80.0, 60.0, out=logits)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
 
 
 def _by_class(numbers: np.ndarray, size: int):
@@ -91,13 +95,16 @@ def _by_class(numbers: np.ndarray, size: int):
 def log_probabilities(model: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target word number after each state."""
     size = model.word_bias.shape[1]
-    kinds = targets // size
-    out = _log_softmax(states @ model.class_weight + model.class_bias)[np.arange(len(targets)), kinds].astype(np.float64)
     order, parts = _by_class(targets, size)
+    states, wanted = states[order], targets[order]
+    rows = np.arange(len(wanted))
+    powers, sums = _exps(states @ model.class_weight + model.class_bias)
+    chosen = powers[rows, wanted // size] / sums
     for c, lo, hi in parts:
-        rows = order[lo:hi]
-        logits = _log_softmax(states[rows] @ model.word_weight[c] + model.word_bias[c])
-        out[rows] += logits[np.arange(len(rows)), targets[rows] - c * size]
+        powers, sums = _exps(states[lo:hi] @ model.word_weight[c] + model.word_bias[c])
+        chosen[lo:hi] *= powers[rows[: hi - lo], wanted[lo:hi] - c * size] / sums
+    out = np.empty(len(wanted))
+    out[order] = np.log(np.maximum(chosen, np.float32(1e-37)).astype(np.float64))
     return out
 
 
@@ -106,63 +113,82 @@ def gradients(model: Model, h: np.ndarray, given: np.ndarray, targets: np.ndarra
     steps, lanes = given.shape
     width = h.shape[1]
     inputs = model.embed[given]
-    before, zs, rs, qs, ns, states = [], [], [], [], [], np.empty((steps, lanes, width), np.float32)
+    before, states, z, r, q, n = (np.empty((steps, lanes, width), np.float32) for _ in range(6))
+    new = fresh.any(axis=1)
     for t in range(steps):
-        if fresh[t].any():
+        if new[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        z, r, q, n = _gates(model, inputs[t], h)
-        before.append(h)
-        h = n + z * (h - n)
-        zs.append(z), rs.append(r), qs.append(q), ns.append(n)
+        before[t] = h
+        z[t], r[t], q[t], n[t] = _gates(model, inputs[t], h)
+        h = h - n[t]
+        h *= z[t]
+        h += n[t]
         states[t] = h
-    flat, wanted = states.reshape(-1, width), targets.ravel()
-    weight = (valid.ravel() / max(1, valid.sum())).astype(np.float32)
     size = model.word_bias.shape[1]
-    kinds = wanted // size
+    order, parts = _by_class(targets.ravel(), size)
+    flat, wanted = states.reshape(-1, width)[order], targets.ravel()[order]
+    used = valid.ravel()[order]
+    count = max(1, int(used.sum()))
     rows = np.arange(len(wanted))
-    log_class = _log_softmax(flat @ model.class_weight + model.class_bias)
-    loss = log_class[rows, kinds].copy()
-    d_class = np.exp(log_class)
-    d_class[rows, kinds] -= 1
-    d_class *= weight[:, None]
     grad = Model(*[np.zeros_like(a) for a in model.arrays()])
+
+    def softmax(logits: np.ndarray, target: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of the target, gradient of the loss by the logits)."""
+        powers, sums = _exps(logits)
+        powers /= sums[:, None]
+        at = (rows[: len(target)], target)
+        right = powers[at]
+        powers[at] -= 1
+        if not keep.all():
+            powers *= keep[:, None]
+        return right, powers
+
+    chosen, d_class = softmax(flat @ model.class_weight + model.class_bias, wanted // size, used)
     grad.class_weight[:] = flat.T @ d_class
     grad.class_bias[:] = d_class.sum(axis=0)
-    d_states = d_class @ model.class_weight.T
-    order, parts = _by_class(wanted, size)
+    d_flat = d_class @ model.class_weight.T
     for c, lo, hi in parts:
-        some = order[lo:hi]
-        held = flat[some]
-        log_word = _log_softmax(held @ model.word_weight[c] + model.word_bias[c])
-        at = (np.arange(len(some)), wanted[some] - c * size)
-        loss[some] += log_word[at]
-        d_word = np.exp(log_word)
-        d_word[at] -= 1
-        d_word *= weight[some][:, None]
-        grad.word_weight[c] = held.T @ d_word
-        grad.word_bias[c] = d_word.sum(axis=0)
-        d_states[some] += d_word @ model.word_weight[c].T
+        right, d_word = softmax(flat[lo:hi] @ model.word_weight[c] + model.word_bias[c], wanted[lo:hi] - c * size, used[lo:hi])
+        chosen[lo:hi] *= right
+        grad.word_weight[c] = flat[lo:hi].T @ d_word
+        grad.word_bias[c] = np.ones(hi - lo, np.float32) @ d_word
+        d_flat[lo:hi] += d_word @ model.word_weight[c].T
+    d_states = np.empty((steps * lanes, width), np.float32)
+    d_states[order] = d_flat
     d_states = d_states.reshape(steps, lanes, width)
-    d_inputs = np.empty_like(inputs)
-    d_pushed = np.empty((steps, lanes, 3 * width), np.float32)
+    # what a change of the state does to the inputs of the gates, for all steps at once
+    from_z = (n - before) * z * (1 - z)
+    from_n = (1 - z) * (1 - n * n)
+    from_r = q * r * (r - 1)
+    d_inputs = np.empty((steps, lanes, 3 * width), np.float32)
+    gates_back, state_back = np.ascontiguousarray(model.recur[:, : 2 * width].T), np.ascontiguousarray(model.recur[:, 2 * width :].T)
     back = np.zeros((lanes, width), np.float32)
     for t in range(steps - 1, -1, -1):
-        z, r, q, n, old = zs[t], rs[t], qs[t], ns[t], before[t]
-        d = d_states[t] + back
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (old - n) * z * (1 - z)
-        d_r = d_n * q * r * (1 - r)
-        d_inputs[t, :, :width], d_inputs[t, :, width : 2 * width], d_inputs[t, :, 2 * width :] = d_z, d_r, d_n
-        d_pushed[t, :, :width], d_pushed[t, :, width : 2 * width], d_pushed[t, :, 2 * width :] = d_z, d_r, d_n * r
-        back = d * z + d_pushed[t] @ model.recur.T
-        if fresh[t].any():
+        d = d_states[t]
+        d += back
+        here = d_inputs[t]
+        np.multiply(d, from_z[t], out=here[:, :width])
+        d_n = d * from_n[t]
+        here[:, 2 * width :] = d_n
+        np.multiply(d_n, from_r[t], out=here[:, width : 2 * width])
+        d_n *= r[t]
+        back = here[:, : 2 * width] @ gates_back
+        back += d_n @ state_back
+        d *= z[t]
+        back += d
+        if new[t]:
             back[fresh[t]] = 0
-    grad.recur[:] = np.stack(before).reshape(-1, width).T @ d_pushed.reshape(-1, 3 * width)
+    pushed = d_inputs.copy()
+    pushed[:, :, 2 * width :] *= r
+    grad.recur[:] = before.reshape(-1, width).T @ pushed.reshape(-1, 3 * width)
     seen = given.ravel()
     sort = np.argsort(seen, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(seen[sort]) > 0])
     grad.embed[seen[sort][starts]] = np.add.reduceat(d_inputs.reshape(-1, 3 * width)[sort], starts, axis=0)
-    return -float((loss * weight).sum()), grad, h
+    for g in grad.arrays():
+        g /= count
+    loss = -np.log(np.maximum(chosen, np.float32(1e-37)))
+    return float((loss * used).sum() / count), grad, h
 
 
 class Adam:

@@ -26,10 +26,10 @@ VOCABULARY = 2048  # words the network tells apart; all others share one number
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 24  # steps of truncated backpropagation
-LANES = 256
+LANES = 512
 SLICES = 2  # parameters are averaged after each
 RATE = 0.01
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 FOLDS, HELD_OUT = 5, 1
 END_HASH = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line break
 
@@ -95,7 +95,7 @@ def _train_task(shared, rate: float, parts: int):
             for text in texts(batch, "text"):
                 held.append(vocabulary.number(token_hashes(text)))
                 size += len(held[-1])
-                if size >= 400_000:
+                if size >= 800_000:
                     learnt += gru.train(model, held, adam, WINDOW, LANES)
                     held, size = [], 0
         if held:
