@@ -97,10 +97,9 @@ VALIDATION_SHARE = 0.176
 REGRESSION_TEST_SHARE = 0.2
 SEED = 42
 PAGE_ROWS = 20_000
-RELEASE_MARKERS_MAX = 16
-SILHOUETTE_SAMPLE = 10_000
+RELEASE_LABELS_MAX = 16
+KMEANS_STARTS = 3
 K_RANGE = (2, 6)
 DBSCAN_EPS = 0.8
 DBSCAN_MIN_POINTS = 10
-DBSCAN_MAX_ROWS = 20_000
 VERDICT_MARGIN = 0.02

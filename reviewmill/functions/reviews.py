@@ -21,6 +21,13 @@ def label_sentiment(score: Column, names=("negative", "neutral", "positive")) ->
     )
 
 
+def row_key() -> Column:
+    """A key for every cleaned review: its id, else a digest of user and text, which identify it then."""
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(part("user"), F.lit("|"), part("content")).cast("binary"))
+    return F.coalesce(F.col("review_id"), F.concat(F.lit("key-"), digest))
+
+
 def month_end(ts: Column) -> Column:
     """Midnight of the last day of the month, the bucket key of every monthly table."""
     return F.last_day(ts).cast("timestamp_ntz")

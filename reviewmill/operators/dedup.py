@@ -1,8 +1,8 @@
 """Newest-wins deduplication.
 
 ``row_number() <= 1`` lets Spark keep one row per key inside each map task before the shuffle, so
-a key that owns a large share of the rows never meets in one task. Rows without an id are handled
-apart for the same reason.
+a key that owns a large share of the rows never meets in one task. Rows without an id are never
+one group: user and text tell them apart, so none is lost to another review.
 """
 
 from __future__ import annotations
@@ -20,55 +20,40 @@ def _order(df: DataFrame, ts: str, ties: tuple[str, ...] | None) -> list[Column]
     return newest_first(ts, *[t for t in ties if t in df.columns])
 
 
-def _first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def _first_per_key(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rn") <= 1).drop("_rn")
 
 
-def has_duplicate_ids(df: DataFrame, key: str = "review_id") -> bool:
-    """Whether any non-null id occurs twice: ids only, counted before the shuffle."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return not counts.filter(F.col("count") > 1).isEmpty()
+def _first_per_id(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """First row per id. Rows without id are told apart by user and text, or all kept where there is neither.
+
+    One pass over ``df``; the rows without id spread over the shuffle by what tells them apart.
+    """
+    missing = F.col(key).isNull()
+    if {"user", "content"} <= set(df.columns):
+        return _first_per_key(df, [F.col(key), F.when(missing, F.col("user")), F.when(missing, F.col("content"))], order)
+    alone = df.withColumn("_alone", F.when(missing, F.monotonically_increasing_id()))
+    return _first_per_key(alone, [F.col(key), F.col("_alone")], order).drop("_alone")
 
 
 def dedup_newest_by_id(
-    df: DataFrame,
-    key: str = "review_id",
-    ts: str = "created_at",
-    null_ids: str = "collapse",
-    ties: tuple[str, ...] | None = None,
+    df: DataFrame, key: str = "review_id", ts: str = "created_at", ties: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Newest row per id.
-
-    ``collapse``: rows without id count as one group, but only when some id really occurs twice.
-    ``always``: they count as one group in any case. ``keep``: they are never touched.
-    """
-    order = _order(df, ts, ties)
-    known = _first_per_key(df.filter(F.col(key).isNotNull()), [key], order)
-    unknown = df.filter(F.col(key).isNull())
-    if null_ids == "always" or (null_ids == "collapse" and has_duplicate_ids(df, key)):
-        unknown = unknown.orderBy(*order).limit(1)
-    return known.unionByName(unknown)
+    """Newest row per id; rows without id are the newest per (user, content)."""
+    return _first_per_id(df, key, _order(df, ts, ties))
 
 
 def dedup_newest_by_user_content(
     df: DataFrame, ts: str = "created_at", ties: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Newest row per (user, content); NULLs are equal to each other."""
-    return _first_per_key(df, ["user", "content"], _order(df, ts, ties))
+    return _first_per_key(df, [F.col("user"), F.col("content")], _order(df, ts, ties))
 
 
 def dedup_first_by_id(df: DataFrame, order_by: list[Column], key: str = "review_id") -> DataFrame:
-    """First row per id in an explicit fetch order; rows without id collapse to the first."""
-    known = _first_per_key(df.filter(F.col(key).isNotNull()), [key], order_by)
-    return known.unionByName(df.filter(F.col(key).isNull()).orderBy(*order_by).limit(1))
-
-
-def deduplicate_reviews(df: DataFrame, null_ids: str = "collapse") -> DataFrame:
-    """By id where ids exist, else by (user, content)."""
-    if df.filter(F.col("review_id").isNotNull()).isEmpty():
-        return dedup_newest_by_user_content(df)
-    return dedup_newest_by_id(df, null_ids=null_ids)
+    """First row per id in an explicit fetch order; rows without id as in ``dedup_newest_by_id``."""
+    return _first_per_id(df, key, order_by)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -91,8 +76,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def merge_newest(master: DataFrame | None, batch: DataFrame, null_ids: str = "always") -> DataFrame:
+def merge_newest(master: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Old master and new batch, newest row per id. Without a master the batch becomes it."""
     if master is None:
         return batch
-    return dedup_newest_by_id(master.unionByName(batch), null_ids=null_ids)
+    return dedup_newest_by_id(master.unionByName(batch))

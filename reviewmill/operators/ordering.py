@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewmill.constants import PAGE_ROWS, RELEASE_MARKERS_MAX, SEED
+from reviewmill.constants import PAGE_ROWS, RELEASE_LABELS_MAX, SEED
 from reviewmill.functions.reviews import seeded_hash
 from reviewmill.operators.order_stats import non_null_counts, order_statistics
 from reviewmill.session import cut_lineage
 
 TOP_ROWS = 1_000  # above this, a plain top-n would gather n rows from every task
-TAIL_ROWS = 2_000_000  # a prefiltered tail up to this size may be sorted as a top-n
 _LOCAL_BITS = 33  # layout of monotonically_increasing_id: partition above, position below
 
 
@@ -89,8 +88,6 @@ def rows_between(
     if stop <= TOP_ROWS:
         return df.orderBy(*order).offset(start).limit(stop - start)
     tail = _keep_newest(df, stop, ts)
-    if tail.limit(TAIL_ROWS + 1).count() <= TAIL_ROWS:
-        return tail.orderBy(*order).offset(start).limit(stop - start)
     index = F.col("row_index")
     return with_row_index(tail, order).filter((index >= start) & (index < stop)).drop("row_index")
 
@@ -155,18 +152,12 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = SEED) -> Dat
     return df.filter(value <= cut)
 
 
-def release_markers(months: DataFrame, month: str = "first_seen_month", limit: int = RELEASE_MARKERS_MAX):
-    """Distinct release months; every second one is dropped when there are more than ``limit``.
+def release_markers(months: DataFrame, month: str = "first_seen_month", limit: int = RELEASE_LABELS_MAX):
+    """All distinct release months; with more than ``limit`` of them, every second one is ``labelled``.
 
     Works on one row per month, so the single ordered window stays as small as the calendar.
     """
     order = Window.orderBy(month)
     everything = Window.partitionBy()
-    return (
-        months.select(month)
-        .distinct()
-        .withColumn("_i", F.row_number().over(order))
-        .withColumn("_n", F.count(F.lit(1)).over(everything))
-        .filter((F.col("_n") <= limit) | (F.col("_i") % 2 == 1))
-        .select(month)
-    )
+    index, count = F.row_number().over(order), F.count(F.lit(1)).over(everything)
+    return months.select(month).distinct().withColumn("labelled", (count <= limit) | (index % 2 == 1))

@@ -38,11 +38,9 @@ def anova_f_scores(train: DataFrame, features: list[str], label: str) -> DataFra
     return sums.select("feature", "position", f_value.alias("score"))
 
 
-def choose_k(train_rows: int, features: int) -> int:
-    """More rows support more features."""
-    if train_rows > 50_000:
-        return min(int(features * 0.7), features)
-    return min(40 if train_rows > 10_000 else 20, features)
+def choose_k(features: int, wanted: int | None = None) -> int:
+    """The wanted number of features, at most all of them; all by default, however many rows there are."""
+    return features if wanted is None else max(0, min(wanted, features))
 
 
 def k_best(scores: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.casts import to_datetime, to_number
 from reviewmill.functions.text import clean_text
-from reviewmill.operators.dedup import deduplicate_reviews
+from reviewmill.operators.dedup import dedup_newest_by_id
 from reviewmill.operators.filters import drop_blank_content
 from reviewmill.operators.harmonize import (
     fill_anonymous_user,
@@ -39,19 +39,18 @@ def clean_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def finish_cleaning(rows: DataFrame, null_ids: str = "collapse") -> DataFrame:
+def finish_cleaning(rows: DataFrame) -> DataFrame:
     """Drop rows that cleaning emptied, deduplicate, cap votes, flag long texts, project.
 
-    ``rows`` should be a written stage: deduplication first looks at the ids alone, and that must not
-    clean the text again. The deduplicated rows are written too, so the quantile fits read two narrow
-    columns.
+    The deduplicated rows are written, so that the quantile fits read two narrow columns and do not
+    clean the text again.
     """
-    unique = deduplicate_reviews(drop_blank_content(rows), null_ids)
+    unique = dedup_newest_by_id(drop_blank_content(rows))
     stage = write_stage(unique.withColumn("content_len", F.length("content")), "unique-rows")
     capped = cap_at_quantile(stage, "thumbs_up", "thumbs_up_capped")
     return project_final_columns(flag_very_long(capped))
 
 
-def clean_reviews(df: DataFrame, null_ids: str = "collapse") -> DataFrame:
+def clean_reviews(df: DataFrame) -> DataFrame:
     """The cleaned eleven-column table of a merged one."""
-    return finish_cleaning(write_stage(clean_rows(df), "clean-rows"), null_ids)
+    return finish_cleaning(clean_rows(df))

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmill.functions.reviews import row_key
 from reviewmill.operators.features import engineer_features
 from reviewmill.plans.cleaning import clean_rows, finish_cleaning, merge_sources
 from reviewmill.plans.modeling import ModelData, prepare_model_data
@@ -138,9 +139,13 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(
-        spark, sf_dir, "features", lambda: write_stage(engineer_features(cleaned(spark, sf_dir)), "features")
-    )
+    """Key, numbers and short columns only: the text stays in the cleaned stage."""
+
+    def build() -> DataFrame:
+        made = engineer_features(cleaned(spark, sf_dir)).withColumn("row_key", row_key())
+        return write_stage(made.drop("content", "user"), "features")
+
+    return _once(spark, sf_dir, "features", build)
 
 
 def model_data(spark: SparkSession, sf_dir: str) -> ModelData:

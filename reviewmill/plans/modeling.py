@@ -62,33 +62,36 @@ def training_part(df: DataFrame) -> DataFrame:
 
 def prepare_model_data(
     features: DataFrame,
-    key: str = "review_id",
+    key: str = "row_key",
     target: str = "sentiment_coarse",
     categorical: list[str] | None = None,
     scaler_fit_on: str = "all",
+    k: int | None = None,
+    scaler: str | None = None,
 ) -> ModelData:
     """Split, fit on the training part, transform all parts, and keep the K best features.
 
     Categorical columns with few values are one-hot encoded; the others become the share of rows that
     have the value, taken from the whole table. ``scaler_fit_on`` chooses whether the kind of scaler is
-    decided on all rows or on ``train``.
+    decided on all rows or on ``train``; ``scaler`` fixes it. ``k`` is the number of features to keep, all by default.
+    Only the key, the target and the model's own columns are split and written, not the texts.
     """
     numeric = feature_list(features)
     one_hot, frequency = choose_encoders(features, categorical or [])
     for column in frequency:
         features = frequency_encode(features, column)
         numeric = [*numeric, f"{column}_freq"]
-    rows = model_rows(features, target)
+    rows = model_rows(features, target).select(key, target, *numeric, *one_hot)
     split = write_stage(stratified_split(rows, target, [key]), "split")
     train = training_part(split)
     stats = distribution_stats(features if scaler_fit_on == "all" else train, numeric)
     choice = scaler_choice(stats).first()
-    prep = Preprocessor.fit(train, numeric, choice["scaler"], one_hot)
+    prep = Preprocessor.fit(train, numeric, scaler or choice["scaler"], one_hot)
     keep = [F.col(key), F.col("dataset"), F.col(target).alias("target")]
     matrix = write_stage(prep.transform(split, keep), "matrix")
     names = prep.names()
     sizes = {r["dataset"]: r["count"] for r in split.groupBy("dataset").count().collect()}
-    k = choose_k(sizes.get("train", 0), len(names))
+    k = choose_k(len(names), k)
     scores = k_best(anova_f_scores(training_part(matrix), names, "target"), k)
     ranked = [(r["feature"], r["position"], r["score"]) for r in scores.collect()]  # one per feature
     selected = [n for n in names if n in {f for f, _, _ in ranked}]
@@ -96,7 +99,7 @@ def prepare_model_data(
     meta = spark.createDataFrame(
         [
             (
-                sum(sizes.values()), "classification", target, choice["scaler"], choice["reason"],
+                sum(sizes.values()), "classification", target, scaler or choice["scaler"], choice["reason"],
                 float(choice["median_abs_skew"]), ",".join(one_hot), ",".join(frequency),
                 sizes.get("train", 0), sizes.get("val", 0), sizes.get("test", 0),
                 len(selected), len(names), ",".join(selected),

@@ -99,11 +99,12 @@ def split_low_high(spark, sf_dir):
     return fl.split_low_high(fx.cleaned(spark, sf_dir)).select("score_group", "score", "content")
 
 
-@query("sample_n", from_stage("cleaned", """
-SELECT review_id, content_len FROM cleaned
-ORDER BY substr(md5(concat('42|', coalesce(review_id, ''))), 1, 13) LIMIT 2000"""))
+@query("sample_n", from_stage("cleaned", f"""
+SELECT row_key, content_len FROM (SELECT {sq.ROW_KEY} AS row_key, content_len FROM cleaned)
+ORDER BY substr(md5(concat('42|', row_key)), 1, 13) LIMIT 2000"""))
 def sample_n(spark, sf_dir):
-    return od.sample_rows(fx.cleaned(spark, sf_dir).select("review_id", "content_len"), 2000, ["review_id"])
+    rows = fx.cleaned(spark, sf_dir).select(rv.row_key().alias("row_key"), "content_len")
+    return od.sample_rows(rows, 2000, ["row_key"])
 
 
 @query("project_final_columns", from_stage("cleaned", f"""
@@ -114,15 +115,21 @@ def project_final(spark, sf_dir):
     return project_final_columns(df.select(*reversed(df.columns)))
 
 
-@query("clean_examples", from_stage("merged", f"""
+_SHORT = "concat('AT&amp;T  ', substr(content, 1, 30), CASE WHEN event_id % 2 = 0 THEN ' http://x.io/a' ELSE '' END)"
+
+
+@query("clean_examples", from_stage("reviews", f"""
 SELECT substr(content, 1, 80) AS before, substr(cleaned, 1, 80) AS after FROM (
- SELECT content, {sq.clean("content")} AS cleaned FROM merged WHERE content IS NOT NULL AND {_HAS}
- ORDER BY length(content), content, created_at LIMIT 3)
+ SELECT content, {sq.clean("content")} AS cleaned FROM (SELECT {_SHORT} AS content, event_id FROM reviews WHERE content IS NOT NULL)
+ ORDER BY event_id LIMIT 3)
 WHERE content <> cleaned AND length(content) < 100"""))
 def clean_examples(spark, sf_dir):
-    df = fl.drop_blank_content(fx.merged(spark, sf_dir))
-    pairs = df.withColumn("cleaned", tx.clean_text(F.col("content")))
-    return ql.clean_examples(pairs, "content", "cleaned", [F.length("content"), "content", "created_at"])
+    """Short texts with an entity, doubled spaces and a link, in the order of the table."""
+    rows = fx.raw_reviews(spark, sf_dir).filter(F.col("content").isNotNull())
+    link = F.when(F.col("event_id") % 2 == 0, " http://x.io/a").otherwise("")
+    short = rows.select("event_id", F.concat(F.lit("AT&amp;T  "), F.substring("content", 1, 30), link).alias("content"))
+    pairs = short.withColumn("cleaned", tx.clean_text(F.col("content")))
+    return ql.clean_examples(pairs, "content", "cleaned", ["event_id"])
 
 
 @query("dedup_newest_by_id", from_stage("cleaned", """
@@ -139,8 +146,8 @@ def dedup_newest_by_user_content(spark, sf_dir):
 
 
 @query("dedup_first_by_id", from_stage("reviews", """
-SELECT review_id, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY event_id) AS rn
- FROM reviews) WHERE rn = 1"""))
+SELECT review_id, event_id, score FROM (SELECT *, row_number() OVER (
+ PARTITION BY review_id, CASE WHEN review_id IS NULL THEN event_id END ORDER BY event_id) AS rn FROM reviews) WHERE rn = 1"""))
 def dedup_first_by_id(spark, sf_dir):
     rows = fx.raw_reviews(spark, sf_dir).select("review_id", "event_id", "score")
     return dd.dedup_first_by_id(rows, [F.col("event_id")])

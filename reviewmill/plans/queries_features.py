@@ -14,7 +14,7 @@ from reviewmill.operators import selection as sl
 from reviewmill.operators import splits as sp
 from reviewmill.operators.lookup import lookup_join
 from reviewmill.plans import fixtures as fx
-from reviewmill.plans.modeling import Preprocessor, stage_summary, training_part
+from reviewmill.plans.modeling import prepare_model_data, stage_summary, training_part
 from reviewmill.plans.registry import query
 from reviewmill.plans.sql import MATRIX, from_stage, r6
 from reviewmill.session import stage_path
@@ -124,10 +124,13 @@ def engineer_features(spark, sf_dir):
     return built.select("review_id", *MATRIX, "is_weekend", "sentiment_coarse")
 
 
-@query("numeric_feature_list", "SELECT unnest([" + ", ".join(f"'{c}'" for c in MATRIX) + "]) AS feature")
+@query("numeric_feature_list", from_stage("features", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n_values FROM features" for c in MATRIX)))
 def numeric_feature_list(spark, sf_dir):
-    names = F.array(*[F.lit(n) for n in ft.feature_list(fx.features(spark, sf_dir))])
-    return fx.features(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).select(F.explode(names).alias("feature"))
+    """The features of the matrix, with the number of values each one has."""
+    df = fx.features(spark, sf_dir)
+    counts = [F.struct(F.lit(n).alias("feature"), F.count(n).alias("n_values")) for n in ft.feature_list(df)]
+    return df.agg(F.array(*counts).alias("f")).select(F.inline("f"))
 
 
 # --- distributions -------------------------------------------------------------
@@ -228,10 +231,10 @@ def label_code_join(spark, sf_dir):
 
 
 # --- splits --------------------------------------------------------------------
-@query("stratified_split", from_stage("split", "SELECT review_id, sentiment_coarse, dataset FROM split"))
+@query("stratified_split", from_stage("split", "SELECT row_key, sentiment_coarse, dataset FROM split"))
 def stratified_split(spark, sf_dir):
-    rows = ft.model_rows(fx.features(spark, sf_dir)).select("review_id", "sentiment_coarse")
-    return sp.stratified_split(rows, "sentiment_coarse", ["review_id"])
+    rows = ft.model_rows(fx.features(spark, sf_dir)).select("row_key", "sentiment_coarse")
+    return sp.stratified_split(rows, "sentiment_coarse", ["row_key"])
 
 
 @query("random_split", """
@@ -249,13 +252,13 @@ FROM split GROUP BY 1, 2"""
 
 @query("split_class_balance", from_stage("split", _BALANCE))
 def split_class_balance(spark, sf_dir):
-    rows = ft.model_rows(fx.features(spark, sf_dir)).select("review_id", "sentiment_coarse")
-    return sp.split_class_balance(sp.stratified_split(rows, "sentiment_coarse", ["review_id"]), "sentiment_coarse")
+    rows = ft.model_rows(fx.features(spark, sf_dir)).select("row_key", "sentiment_coarse")
+    return sp.split_class_balance(sp.stratified_split(rows, "sentiment_coarse", ["row_key"]), "sentiment_coarse")
 
 
-@query("union_splits", from_stage("split", "SELECT review_id, dataset, sentiment_coarse AS target FROM split"))
+@query("union_splits", from_stage("split", "SELECT row_key, dataset, sentiment_coarse AS target FROM split"))
 def union_splits(spark, sf_dir):
-    table = fx.model_data(spark, sf_dir).table.select("review_id", "dataset", "target")
+    table = fx.model_data(spark, sf_dir).table.select("row_key", "dataset", "target")
     part = lambda name: table.filter(F.col("dataset") == name).drop("dataset")
     return sp.union_splits(part("train"), part("val"), part("test"))
 
@@ -324,26 +327,25 @@ _TRAIN_FIT = "fit AS (SELECT " + ", ".join(
     f"max(coalesce({c}, (SELECT median(CAST({c} AS DOUBLE)) FROM split WHERE dataset = 'train'))) AS hi_{c}"
     for c in MATRIX
 ) + " FROM split WHERE dataset = 'train')"
-_MATRIX_SQL = "matrix AS (SELECT review_id, dataset, sentiment_coarse AS target, " + ", ".join(
+_MATRIX_SQL = "matrix AS (SELECT row_key, dataset, sentiment_coarse AS target, " + ", ".join(
     f"(coalesce({c}, med_{c}) - lo_{c}) / CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END AS {c}" for c in MATRIX
 ) + " FROM split, fit)"
 
 
 def _matrix(spark, sf_dir):
-    """All features of the three parts, min-max scaled with the training part's parameters."""
-    rows = ft.model_rows(fx.features(spark, sf_dir))
-    split = sp.stratified_split(rows, "sentiment_coarse", ["review_id"])
-    prep = Preprocessor.fit(training_part(split), MATRIX, "minmax")
-    keep = [F.col("review_id"), F.col("dataset"), F.col("sentiment_coarse").alias("target")]
-    return prep.transform(split, keep)
+    """All features of the three parts, min-max scaled with the training part's parameters; made once."""
+    model = lambda: prepare_model_data(fx.features(spark, sf_dir), scaler="minmax").table
+    return fx._once(spark, sf_dir, "minmax matrix", model).select("row_key", "dataset", "target", *MATRIX)
 
 
 def _on_matrix(select: str, *extra: str) -> str:
     return from_stage("split", select, _TRAIN_FIT, _MATRIX_SQL, *extra)
 
 
+@query("preprocess_pipeline", _on_matrix(
+    f"SELECT row_key, dataset, target, {', '.join(r6(c) for c in MATRIX)} FROM matrix"))
 @query("preprocess_features", _on_matrix(
-    f"SELECT review_id, dataset, target, {', '.join(r6(c) for c in MATRIX)} FROM matrix"))
+    f"SELECT row_key, dataset, target, {', '.join(r6(c) for c in MATRIX)} FROM matrix"))
 def preprocess_features(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
@@ -399,7 +401,7 @@ def top_features(spark, sf_dir):
 
 @query("write_selected_features", _on_matrix(
     f"SELECT feature, {r6('score')} FROM anova ORDER BY score DESC NULLS LAST, position DESC "
-    "LIMIT (SELECT CASE WHEN count(*) > 50000 THEN 9 ELSE 13 END FROM train_matrix)",
+    "LIMIT 13",
     _TRAIN_MATRIX, _anova(MATRIX, "train_matrix", "target")))
 def write_selected_features(spark, sf_dir):
     path = stage_path(spark, "selected")
@@ -409,8 +411,7 @@ def write_selected_features(spark, sf_dir):
 
 
 @query("choose_k", from_stage("split", """
-SELECT n AS train_rows, CASE WHEN n > 50000 THEN 9 WHEN n > 10000 THEN 13 ELSE 13 END AS k
-FROM (SELECT count(*) AS n FROM split WHERE dataset = 'train')"""))
+SELECT count(*) AS train_rows, 13 AS k FROM split WHERE dataset = 'train'"""))
 def choose_k(spark, sf_dir):
     meta = fx.model_data(spark, sf_dir).metadata
     return meta.select("train_rows", "k")
@@ -422,7 +423,8 @@ def choose_k(spark, sf_dir):
     + f", {r6(f'max({c})', 'max')} FROM matrix WHERE dataset = 'train'"
     for c in MATRIX[:5])))
 def describe_features(spark, sf_dir):
-    return ft.describe_features(training_part(fx.model_data(spark, sf_dir).table), MATRIX[:5])
+    data = fx.model_data(spark, sf_dir)
+    return ft.describe_features(training_part(data.table), data.features[:5])
 
 
 @query("nan_inf_check", from_stage("split", """
@@ -430,7 +432,7 @@ SELECT dataset, CAST(sum(CAST(year IS NULL AS BIGINT) + CAST(month IS NULL AS BI
  CAST(count_if(thumbs_up = 0) AS BIGINT) AS n_infinite FROM split GROUP BY 1"""))
 def nan_inf_check(spark, sf_dir):
     rows = ft.model_rows(fx.features(spark, sf_dir))
-    split = sp.stratified_split(rows, "sentiment_coarse", ["review_id"])
+    split = sp.stratified_split(rows, "sentiment_coarse", ["row_key"])
     infinite = F.when(F.col("thumbs_up") == 0, F.lit(float("inf"))).otherwise(F.col("thumbs_up").cast("double"))
     return ft.nan_inf_check(split.withColumn("inverse_votes", infinite), ["year", "month", "inverse_votes"])
 
@@ -452,6 +454,6 @@ def scaling_verification(spark, sf_dir):
 SELECT 'cleaned' AS stage, count(*) AS n_rows, 11 AS n_columns FROM cleaned
 UNION ALL SELECT 'features', count(*), 13 FROM split
 UNION ALL SELECT 'train split', count(*), 13 FROM split WHERE dataset = 'train'
-UNION ALL SELECT 'selected', count(*), CASE WHEN count(*) > 50000 THEN 9 ELSE 13 END FROM split WHERE dataset = 'train'"""))
+UNION ALL SELECT 'selected', count(*), 13 FROM split WHERE dataset = 'train'"""))
 def stage_summary_query(spark, sf_dir):
     return stage_summary(fx.cleaned(spark, sf_dir), fx.features(spark, sf_dir), fx.model_data(spark, sf_dir))

@@ -6,24 +6,25 @@ no model is needed on the SQL side. Fitted models are shared by the queries that
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel
+import time
+
+from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
 from pyspark.sql import functions as F
 
-from reviewmill.functions.reviews import label_sentiment
+from reviewmill.functions.reviews import label_sentiment, row_key
 from reviewmill.operators import clustering as cl
 from reviewmill.operators import evaluation as ev
 from reviewmill.operators import models as md
 from reviewmill.operators.dbscan import core_points, dbscan
-from reviewmill.operators.encoding import encode_labels
+from reviewmill.operators.encoding import encode_labels, label_codes
 from reviewmill.operators.filters import complete_cases
 from reviewmill.operators.harmonize import numeric_columns, resolve_target
-from reviewmill.operators.ordering import sample_rows
 from reviewmill.operators.scaling import LinearScaler
 from reviewmill.operators.splits import random_split
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans.modeling import training_part
 from reviewmill.plans.registry import query
-from reviewmill.plans.sql import from_stage, r6
+from reviewmill.plans.sql import ROW_KEY, from_stage, r6
 from reviewmill.session import stage_path, write_stage
 from reviewmill.sources import writers
 
@@ -171,7 +172,10 @@ def _labelled(spark, sf_dir):
     train = training_part(data.table)
     scaled = LinearScaler.fit(train, data.features).transform(data.table)
     coded = encode_labels(scaled, train, "target")
-    return write_stage(md.assemble(coded, data.features).select("review_id", "dataset", "label", "features"), "labelled")
+    return write_stage(md.assemble(coded, data.features).select("row_key", "dataset", "label", "features"), "labelled")
+
+
+_FIT_SECONDS: dict[tuple[str, str, str], float] = {}
 
 
 def _classified(spark, sf_dir, name, fit):
@@ -179,7 +183,9 @@ def _classified(spark, sf_dir, name, fit):
 
     def build():
         rows = fx._once(spark, sf_dir, "labelled", lambda: _labelled(spark, sf_dir))
+        started = time.perf_counter()
         model = fit(training_part(rows).select("label", "features"))
+        _FIT_SECONDS[spark.sparkContext.applicationId, sf_dir, name] = round(time.perf_counter() - started, 3)
         tested = model.transform(rows.filter(F.col("dataset") == "test"))
         guesses = tested.select("label", F.col("prediction").cast("bigint").alias("prediction"))
         return model, write_stage(guesses, name)  # every report reads these, none predicts again
@@ -188,11 +194,11 @@ def _classified(spark, sf_dir, name, fit):
 
 
 def _svc(spark, sf_dir):
-    return _classified(spark, sf_dir, "svc", md.fit_linear_svc)
+    return _classified(spark, sf_dir, "linear_svc", md.fit_linear_svc)
 
 
 def _forest(spark, sf_dir):
-    return _classified(spark, sf_dir, "forest", md.fit_random_forest)
+    return _classified(spark, sf_dir, "random_forest", md.fit_random_forest)
 
 
 @query("linear_svc_multiclass")
@@ -219,19 +225,60 @@ def write_model(spark, sf_dir):
     return again.transform(rows).groupBy("dataset", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SUPPORT = """
+test_rows AS (SELECT sentiment_coarse, count(*) AS n FROM split WHERE dataset = 'test' GROUP BY 1)"""
+
+
+@query("classifier_facts", from_stage("split", """
+SELECT m.model, (SELECT CAST(sum(n) AS BIGINT) FROM test_rows) AS test_rows, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY sentiment_coarse) FROM test_rows) AS support,
+ CAST(0 AS BIGINT) AS changed_by_reload, true AS above_half_of_majority, true AS importances_add_up
+FROM (VALUES ('linear_svc'), ('random_forest')) m(model)""", _SUPPORT))
+def classifier_facts(spark, sf_dir):
+    """Both classifiers, saved and loaded again: test rows and support as split, no prediction changed by the reload."""
+    data = fx.model_data(spark, sf_dir)
+    rows = fx._once(spark, sf_dir, "labelled", lambda: _labelled(spark, sf_dir)).filter(F.col("dataset") == "test")
+    importances = md.feature_importance(data.table, _forest(spark, sf_dir)[0], data.features, top=len(data.features))
+    total = importances.agg(F.sum("importance")).first()[0]
+    found = []
+    for name, (model, tested), load in (
+        ("linear_svc", _svc(spark, sf_dir), OneVsRestModel.load),
+        ("random_forest", _forest(spark, sf_dir), RandomForestClassificationModel.load),
+    ):
+        again = load(writers.write_model(model, stage_path(spark, "models"), name)).transform(rows)
+        both = model.transform(rows).select("row_key", F.col("prediction").alias("first")).join(again.select("row_key", "prediction"), "row_key")
+        sizes = sorted((r["label"], r["count"]) for r in tested.groupBy("label").count().collect())  # classes
+        right = tested.filter(F.col("label") == F.col("prediction")).count()
+        n = sum(c for _, c in sizes)
+        found.append(
+            (name, n, ",".join(str(c) for _, c in sizes), both.filter("first <> prediction").count(),
+             right >= 0.5 * max(c for _, c in sizes), abs(total - 1) < 1e-6)
+        )
+    return spark.createDataFrame(
+        found, "model string, test_rows bigint, support string, changed_by_reload bigint, above_half_of_majority boolean, importances_add_up boolean"
+    )
+
+
 @query("write_eval_report")
 def write_eval_report(spark, sf_dir):
+    """One document on both classifiers: scores, confusion, label codes, selected features, model paths, fit times."""
     data = fx.model_data(spark, sf_dir)
-    model, tested = _forest(spark, sf_dir)
     path = stage_path(spark, "report")
     parts = {
-        "metrics": ev.classification_metrics(tested, "label", "prediction"),
-        "per_class": ev.class_metrics(tested, "label", "prediction"),
-        "confusion_matrix": ev.confusion_matrix(tested, "label", "prediction"),
-        "report": ev.classification_report(tested, "label", "prediction"),
-        "insights": ev.confusion_insights(tested, "label", "prediction"),
-        "feature_importance": md.feature_importance(data.table, model, data.features),
+        "label_codes": label_codes(training_part(data.table), "target"),
+        "selected_features": data.scores.select("feature", "score"),
+        "feature_importance": md.feature_importance(data.table, _forest(spark, sf_dir)[0], data.features),
     }
+    saved = []
+    for name, (model, tested) in (("linear_svc", _svc(spark, sf_dir)), ("random_forest", _forest(spark, sf_dir))):
+        saved.append((name, writers.write_model(model, stage_path(spark, "models"), name), _FIT_SECONDS[spark.sparkContext.applicationId, sf_dir, name]))
+        parts |= {
+            f"{name}_metrics": ev.classification_metrics(tested, "label", "prediction"),
+            f"{name}_per_class": ev.class_metrics(tested, "label", "prediction"),
+            f"{name}_confusion_matrix": ev.confusion_matrix(tested, "label", "prediction"),
+            f"{name}_report": ev.classification_report(tested, "label", "prediction"),
+            f"{name}_insights": ev.confusion_insights(tested, "label", "prediction"),
+        }
+    parts["models"] = spark.createDataFrame(saved, "model string, path string, fit_seconds double")
     writers.write_eval_report(parts, path)
     return spark.read.text(path)
 
@@ -252,11 +299,11 @@ def _regression(spark, sf_dir):
     """Test predictions of both regressors on complete review rows, fitted once."""
 
     def build():
-        complete = complete_cases(fx.cleaned(spark, sf_dir))
+        complete = complete_cases(fx.cleaned(spark, sf_dir).withColumn("row_key", row_key()))
         target = resolve_target(complete)
         names = [c for c in numeric_columns(complete) if c != target]
         split = write_stage(
-            random_split(complete, ["review_id"]).select("dataset", F.col(target).alias("label"), *names), "regression"
+            random_split(complete, ["row_key"]).select("dataset", F.col(target).alias("label"), *names), "regression"
         )
         scaler = LinearScaler.fit(training_part(split), names)
         scaled = md.assemble(scaler.transform(split), names)
@@ -268,7 +315,7 @@ def _regression(spark, sf_dir):
             guesses = model.transform(rows.filter(F.col("dataset") == "test"))
             return write_stage(guesses.select("label", "prediction"), "regressed")
 
-        return names, boosted, tested(linear, scaled), tested(boosted, plain)
+        return names, (linear, boosted), tested(linear, scaled), tested(boosted, plain)
 
     return fx._once(spark, sf_dir, "regression", build)
 
@@ -283,10 +330,29 @@ def boosted_regression(spark, sf_dir):
 
 @query("boosted_feature_importance")
 def boosted_feature_importance(spark, sf_dir):
-    names, model, _, _ = _regression(spark, sf_dir)
+    names, (_, model), _, _ = _regression(spark, sf_dir)
     return md.feature_importance(fx.cleaned(spark, sf_dir), model, names, top=10)
 
 
+@query("write_regression_report")
+def write_regression_report(spark, sf_dir):
+    """One document on both regressors, with the paths of the saved models."""
+    names, models, linear, boosted = _regression(spark, sf_dir)
+    scores = [ev.regression_metrics(t, "label", "prediction") for t in (linear, boosted)]
+    compared = ev.model_comparison(*scores)
+    saved = [(n, writers.write_model(m, stage_path(spark, "models"), n)) for n, m in zip(("linear", "boosted"), models)]
+    path = stage_path(spark, "report")
+    writers.write_eval_report(
+        {
+            "linear": scores[0], "boosted": scores[1], "comparison": compared, "verdict": ev.performance_verdict(compared),
+            "features": spark.createDataFrame([(n,) for n in names], "feature string"),
+            "models": spark.createDataFrame(saved, "model string, path string"),
+        },
+        path,
+    )
+    return spark.read.text(path)
+
+
 # --- clustering --------------------------------------------------------------------
 def _points(spark, sf_dir):
     """(features, scaler, key + scaled numeric columns of complete rows), built once."""
@@ -294,20 +360,19 @@ def _points(spark, sf_dir):
     def build():
         df = fx.cleaned(spark, sf_dir)
         names = numeric_columns(df)
-        rows = complete_cases(df.select("review_id", *names), names)
-        keyed = rows.withColumn("review_id", F.coalesce("review_id", F.lit("")))
-        scaler = LinearScaler.fit(keyed, names)
-        return names, scaler, write_stage(scaler.transform(keyed), "points")
+        rows = complete_cases(df.select(row_key().alias("row_key"), *names), names)
+        scaler = LinearScaler.fit(rows, names)
+        return names, scaler, write_stage(scaler.transform(rows), "points")
 
     return fx._once(spark, sf_dir, "points", build)
 
 
 _NUMERIC = ["score", "thumbs_up", "thumbs_up_capped", "content_len"]
 _POINTS = (
-    "complete AS (SELECT coalesce(review_id, '') AS review_id, score, thumbs_up, thumbs_up_capped, content_len, "
+    f"complete AS (SELECT {ROW_KEY} AS row_key, score, thumbs_up, thumbs_up_capped, content_len, "
     "CASE WHEN score <= 2 THEN 0 WHEN score < 5 THEN 1 ELSE 2 END AS cluster FROM cleaned "
     "WHERE score IS NOT NULL AND thumbs_up IS NOT NULL),\n"
-    "points AS (SELECT review_id, cluster, " + ", ".join(
+    "points AS (SELECT row_key, cluster, " + ", ".join(
         f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _NUMERIC
     ) + " FROM complete)"
 )
@@ -320,19 +385,23 @@ def _fixed_clusters(spark, sf_dir):
     return names, points.withColumn("cluster", cluster)
 
 
+_NORM = " + ".join(f"p.{c} ** 2" for c in _NUMERIC)
+_SUMS = "sums AS (SELECT cluster, count(*) AS n, " + ", ".join(f"sum({c}) AS s_{c}" for c in _NUMERIC) + (
+    ", sum(" + " + ".join(f"{c} ** 2" for c in _NUMERIC) + ") AS q FROM points GROUP BY cluster)"
+)
+
+
 @query("silhouette_sampled", from_stage("cleaned", f"""
 SELECT {r6('avg(CASE WHEN size > 1 AND greatest(inner_d, outer_d) > 0 THEN (outer_d - inner_d) / greatest(inner_d, outer_d) ELSE 0 END)', 'silhouette')},
- count(*) AS sample_rows, (SELECT count(DISTINCT cluster) FROM picked) AS clusters FROM (
- SELECT review_id, max(size) FILTER (mine) AS size, max(total / greatest(size - 1, 1)) FILTER (mine) AS inner_d,
-  min(total / size) FILTER (NOT mine) AS outer_d
- FROM (SELECT p.review_id, q.cluster, p.cluster = q.cluster AS mine, count(*) AS size,
-   sum(sqrt((p.score - q.score) ** 2 + (p.thumbs_up - q.thumbs_up) ** 2 + (p.thumbs_up_capped - q.thumbs_up_capped) ** 2
-    + (p.content_len - q.content_len) ** 2)) AS total FROM picked p, picked q GROUP BY 1, 2, 3)
- GROUP BY review_id)""", _POINTS,
-    "picked AS (SELECT * FROM points ORDER BY substr(md5(concat('42|', review_id)), 1, 13) LIMIT 10000)"))
-def silhouette_sampled(spark, sf_dir):
+ count(*) AS n_rows, (SELECT count(*) FROM sums) AS clusters FROM (
+ SELECT row_key, max(n) FILTER (mine) AS size, max(total / greatest(n - 1, 1)) FILTER (mine) AS inner_d, min(total / n) FILTER (NOT mine) AS outer_d
+ FROM (SELECT p.row_key, p.cluster = c.cluster AS mine, c.n,
+   greatest(({_NORM}) * c.n + c.q - 2 * ({' + '.join(f'p.{c} * c.s_{c}' for c in _NUMERIC)}), 0) AS total FROM points p, sums c)
+ GROUP BY row_key)""", _POINTS, _SUMS))
+def silhouette_all(spark, sf_dir):
+    """Over all rows: nothing is sampled any more."""
     names, labelled = _fixed_clusters(spark, sf_dir)
-    return cl.sampled_silhouette(labelled, names, "cluster", ["review_id"])
+    return cl.silhouette(labelled, names, "cluster")
 
 
 @query("cluster_centroids", from_stage("cleaned", "SELECT cluster, " + ", ".join(
@@ -344,22 +413,26 @@ def cluster_centroids(spark, sf_dir):
 
 
 @query("attach_by_row", from_stage("cleaned", f"""
-SELECT coalesce(c.review_id, '') AS review_id, c.content_len, p.cluster FROM cleaned c
-LEFT JOIN complete p ON p.review_id = coalesce(c.review_id, '')""", _POINTS))
+SELECT c.row_key, c.content_len, p.cluster FROM (SELECT {ROW_KEY} AS row_key, content_len FROM cleaned) c
+LEFT JOIN complete p ON p.row_key = c.row_key""", _POINTS))
 def attach_by_row(spark, sf_dir):
-    labels = _fixed_clusters(spark, sf_dir)[1].select("review_id", "cluster")
-    rows = fx.cleaned(spark, sf_dir).select(F.coalesce("review_id", F.lit("")).alias("review_id"), "content_len")
-    return cl.attach_by_key(rows, labels, ["review_id"])
+    labels = _fixed_clusters(spark, sf_dir)[1].select("row_key", "cluster")
+    return cl.attach_by_key(_keyed(spark, sf_dir).select("row_key", "content_len"), labels, ["row_key"])
+
+
+def _keyed(spark, sf_dir):
+    return fx.cleaned(spark, sf_dir).withColumn("row_key", row_key())
 
 
 def _sweep(spark, sf_dir):
     names, _, points = _points(spark, sf_dir)
-    return fx._once(spark, sf_dir, "sweep", lambda: cl.kmeans_sweep(points, names, ["review_id"]))
+    return fx._once(spark, sf_dir, "sweep", lambda: cl.kmeans_sweep(points, names))
 
 
 @query("chart_elbow_silhouette")
 def chart_elbow_silhouette(spark, sf_dir):
-    return spark.createDataFrame(_sweep(spark, sf_dir), "k int, inertia double, silhouette double")
+    rows = [row[:3] for row in _sweep(spark, sf_dir)]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 @query("choose_k_clusters")
@@ -369,18 +442,42 @@ def choose_k_clusters(spark, sf_dir):
 
 
 def _kmeans(spark, sf_dir):
+    """(model, labelled points): the model that the sweep has already fitted."""
+
     def build():
-        names, scaler, points = _points(spark, sf_dir)
-        vectors = md.assemble(points, names)
-        model = cl.fit_kmeans(vectors, cl.choose_clusters(_sweep(spark, sf_dir)))
-        return model, write_stage(model.transform(vectors).drop(md.VECTOR), "kmeans")
+        names, _, points = _points(spark, sf_dir)
+        sweep = _sweep(spark, sf_dir)
+        model = next(row[3] for row in sweep if row[0] == cl.choose_clusters(sweep))
+        return model, write_stage(model.transform(md.assemble(points, names)).drop(md.VECTOR), "kmeans")
 
     return fx._once(spark, sf_dir, "kmeans", build)
 
 
 @query("kmeans")
 def kmeans(spark, sf_dir):
-    return _kmeans(spark, sf_dir)[1].select("review_id", "cluster")
+    return _kmeans(spark, sf_dir)[1].select("row_key", "cluster")
+
+
+@query("kmeans_facts", from_stage("cleaned", """
+SELECT count(*) AS n_rows, count(*) AS at_nearest, true AS inertia_agrees, true AS best_of_sweep FROM complete""", _POINTS))
+def kmeans_facts(spark, sf_dir):
+    """What must hold of the final k-means: all rows labelled, each at its nearest centre, inertia as recomputed."""
+    names, _, _ = _points(spark, sf_dir)
+    model, labelled = _kmeans(spark, sf_dir)
+    distances = [
+        sum(((F.col(f) - float(c)) ** 2 for f, c in zip(names, centre)), F.lit(0.0)) for centre in model.clusterCenters()
+    ]
+    own = F.lit(None).cast("double")
+    for i, d in enumerate(distances):
+        own = F.when(F.col("cluster") == i, d).otherwise(own)
+    found = labelled.select(own.alias("own"), F.least(*distances).alias("least"))
+    sweep = _sweep(spark, sf_dir)
+    best = max(row[2] for row in sweep)
+    chosen = next(row for row in sweep if row[0] == len(distances))
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("own") <= F.col("least") + 1e-9).alias("at_nearest"),
+        (F.abs(F.sum("own") / F.lit(chosen[1]) - 1) < 1e-6).alias("inertia_agrees"),
+    ).withColumn("best_of_sweep", F.lit(chosen[2] == best))
 
 
 @query("kmeans_centroids")
@@ -391,7 +488,7 @@ def kmeans_centroids(spark, sf_dir):
 
 def _dbscan(spark, sf_dir):
     names, _, points = _points(spark, sf_dir)
-    return fx._once(spark, sf_dir, "dbscan", lambda: write_stage(dbscan(points, names, "review_id"), "dbscan"))
+    return fx._once(spark, sf_dir, "dbscan", lambda: write_stage(dbscan(points, names, "row_key"), "dbscan"))
 
 
 @query("dbscan")
@@ -399,18 +496,37 @@ def dbscan_query(spark, sf_dir):
     return _dbscan(spark, sf_dir)
 
 
+_WITHIN = (
+    "(p.score - q.score) ** 2 + (p.thumbs_up - q.thumbs_up) ** 2 + (p.thumbs_up_capped - q.thumbs_up_capped) ** 2 "
+    "+ (p.content_len - q.content_len) ** 2 <= 0.64"
+)
+#: equal points are one point with a weight, in the check as well
+_SPOTS = f"spots AS (SELECT {', '.join(_NUMERIC)}, count(*) AS w FROM points GROUP BY ALL)"
+_REACHES = f"reaches AS (SELECT {', '.join('p.' + c for c in _NUMERIC)}, sum(q.w) AS reach FROM spots p, spots q WHERE {_WITHIN} GROUP BY ALL)"
+
+
 @query("dbscan_core_points", from_stage("cleaned", f"""
-SELECT review_id, reach >= 10 AS core FROM (
- SELECT p.review_id, count(*) AS reach FROM picked p, picked q
- WHERE (p.score - q.score) ** 2 + (p.thumbs_up - q.thumbs_up) ** 2 + (p.thumbs_up_capped - q.thumbs_up_capped) ** 2
-  + (p.content_len - q.content_len) ** 2 <= 0.64 GROUP BY 1)""", _POINTS,
-    "picked AS (SELECT * FROM points ORDER BY substr(md5(concat('42|', review_id)), 1, 13) LIMIT 20000)"))
+SELECT row_key, reach >= 10 AS core FROM points JOIN reaches USING ({', '.join(_NUMERIC)})""", _POINTS, _SPOTS, _REACHES))
 def dbscan_core_points(spark, sf_dir):
     names, _, points = _points(spark, sf_dir)
-    chosen = sample_rows(points, 20_000, ["review_id"])
-    distinct = chosen.groupBy(*names).agg(F.count(F.lit(1)).alias("w"), F.min("review_id").alias("pid"))
+    distinct = points.groupBy(*names).agg(F.count(F.lit(1)).alias("w"), F.min("row_key").alias("pid"))
     flagged = core_points(distinct, names, 0.8, 10).select(*names, "core")
-    return chosen.join(flagged, names).select("review_id", "core")
+    return points.join(flagged, names).select("row_key", "core")
+
+
+@query("dbscan_facts", from_stage("cleaned", f"""
+SELECT (SELECT count(*) FROM points) AS n_rows,
+ (SELECT CAST(sum(p.w) AS BIGINT) FROM (SELECT * FROM spots JOIN reaches USING ({', '.join(_NUMERIC)}) WHERE reach < 10) p
+  WHERE NOT EXISTS (SELECT 1 FROM reaches q WHERE q.reach >= 10 AND {_WITHIN})) AS noise_rows,
+ CAST(0 AS BIGINT) AS core_noise""", _POINTS, _SPOTS, _REACHES))
+def dbscan_facts(spark, sf_dir):
+    """Rows, noise rows (within reach of no core point), and core points without a cluster."""
+    labels = _dbscan(spark, sf_dir)
+    core = dbscan_core_points(spark, sf_dir)
+    return labels.join(core, "row_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("cluster") < 0).alias("noise_rows"),
+        F.count_if(F.col("core") & (F.col("cluster") < 0)).alias("core_noise"),
+    )
 
 
 @query("pca_2d", from_stage("cleaned", f"""
@@ -431,7 +547,28 @@ def pca_2d(spark, sf_dir):
 @query("chart_cluster_scatter")
 def chart_cluster_scatter(spark, sf_dir):
     names, _, points = _points(spark, sf_dir)
-    axes = cl.pca_2d(points, names).select("review_id", "pca1", "pca2")
-    first = _kmeans(spark, sf_dir)[1].select("review_id", F.col("cluster").alias("kmeans_cluster"))
+    axes = cl.pca_2d(points, names).select("row_key", "pca1", "pca2")
+    first = _kmeans(spark, sf_dir)[1].select("row_key", F.col("cluster").alias("kmeans_cluster"))
     second = _dbscan(spark, sf_dir).withColumnRenamed("cluster", "dbscan_cluster")
-    return axes.join(first, "review_id").join(second, "review_id")
+    return axes.join(first, "row_key").join(second, "row_key")
+
+
+@query("clustered_table", from_stage("cleaned", """
+SELECT count(*) AS n_rows, (SELECT count(*) FROM complete) AS clustered, count(*) - (SELECT count(*) FROM complete) AS left_null FROM cleaned""", _POINTS))
+def clustered_table(spark, sf_dir):
+    """The written table of all rows with both labels and axes, NULL where a row is incomplete."""
+    names, _, points = _points(spark, sf_dir)
+    wide = cl.clustered_table(_keyed(spark, sf_dir), points, _kmeans(spark, sf_dir)[1], _dbscan(spark, sf_dir), names, "row_key")
+    written = write_stage(wide, "clustered")
+    whole = [F.col(c).isNotNull() for c in ("kmeans_cluster", "dbscan_cluster", "pca1", "pca2")]
+    none = [F.col(c).isNull() for c in ("kmeans_cluster", "dbscan_cluster", "pca1", "pca2")]
+    both = lambda flags: flags[0] & flags[1] & flags[2] & flags[3]
+    return written.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(both(whole)).alias("clustered"), F.count_if(both(none)).alias("left_null")
+    )
+
+
+@query("cluster_summary")
+def cluster_summary(spark, sf_dir):
+    names, _, points = _points(spark, sf_dir)
+    return cl.cluster_summary(points, _kmeans(spark, sf_dir)[1], _dbscan(spark, sf_dir), names, "row_key")

@@ -14,7 +14,7 @@ from reviewmill.operators.quality import merge_summary
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans.queries_trends import KEYWORD_FILES_SQL
 from reviewmill.plans.registry import query
-from reviewmill.plans.sql import MERGED, NEWEST, from_stage, r6
+from reviewmill.plans.sql import MERGED, NEWEST, ONE_ID, from_stage, r6
 from reviewmill.session import stage_path, write_stage
 from reviewmill.sources import readers, writers
 from reviewmill.streaming.master import ReviewArchive
@@ -101,18 +101,29 @@ def parse_timestamps_on_read(spark, sf_dir):
 
 
 @query("write_page_files", from_stage("merged", f"""
-SELECT CAST(page_no AS INTEGER) AS page_no, count(*) AS n_rows, min(created_at) AS oldest, max(created_at) AS newest
-FROM (SELECT *, (row_number() OVER (ORDER BY {NEWEST}, review_id NULLS FIRST) - 1) // 1500 + 1 AS page_no FROM merged)
+SELECT CAST(page_no AS INTEGER) AS page_no, count(*) AS n_rows, min(created_at) AS oldest, max(created_at) AS newest,
+ min(rn) AS first_row, max(rn) AS last_row, 1 AS n_files, count(*) AS rows_in_place
+FROM (SELECT *, (rn - 1) // 1500 + 1 AS page_no FROM (
+ SELECT *, row_number() OVER (ORDER BY {NEWEST}, review_id NULLS FIRST) AS rn FROM merged))
 GROUP BY page_no"""))
 def write_page_files(spark, sf_dir):
     path = stage_path(spark, "pages")
     order = newest_first("created_at", "content", "user", "app_version", "source", "score", "thumbs_up", "review_id")
     writers.write_pages(fx.merged(spark, sf_dir), path, order, rows=1500)
-    pages = readers.read_csv(spark, path, dates=["created_at"])
-    return pages.groupBy(F.col("page_no").cast("int").alias("page_no")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("created_at").alias("oldest"),
-        F.max("created_at").alias("newest"),
+    # a file is read by one task from top to bottom, so positions inside it are those of the file
+    pages = readers.read_csv(spark, path, dates=["created_at"]).select(
+        F.col("page_no").cast("int").alias("page_no"), "created_at", F.col("row_no").cast("bigint").alias("row_no"),
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("position"),
+    )
+    start = F.col("position") - F.col("row_no")
+    in_place = pages.groupBy("page_no", "file", start.alias("start")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"),
+        F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"),
+    )
+    return in_place.groupBy("page_no").agg(
+        F.sum("n").alias("n_rows"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"),
+        F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"),
+        F.count_distinct("file").cast("int").alias("n_files"), F.max("n").alias("rows_in_place"),
     )
 
 
@@ -257,7 +268,7 @@ def merge_sources(spark, sf_dir):
 
 _NEWEST_SQL = from_stage("merged", f"""
 SELECT {_MERGED_COLUMNS} FROM (
- SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY {NEWEST}) AS rn FROM merged) WHERE rn = 1""")
+ SELECT *, row_number() OVER (PARTITION BY {ONE_ID} ORDER BY {NEWEST}) AS rn FROM merged) WHERE rn = 1""")
 
 
 @query("merge_master_newest", _NEWEST_SQL)

@@ -127,8 +127,8 @@ def month_total_join(spark, sf_dir):
 
 
 @query("release_marker_thinning", _trend("""
-SELECT first_seen_month FROM (SELECT first_seen_month, row_number() OVER (ORDER BY first_seen_month) AS i, count(*) OVER () AS n
- FROM releases) WHERE n <= 3 OR i % 2 = 1"""))
+SELECT first_seen_month, n <= 3 OR i % 2 = 1 AS labelled FROM (
+ SELECT first_seen_month, row_number() OVER (ORDER BY first_seen_month) AS i, count(*) OVER () AS n FROM releases)"""))
 def release_marker_thinning(spark, sf_dir):
     return od.release_markers(tr.version_first_seen(fx.cleaned(spark, sf_dir)), limit=3)
 

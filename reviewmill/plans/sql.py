@@ -78,6 +78,10 @@ NEWEST = (
     "source NULLS FIRST, score NULLS FIRST, thumbs_up NULLS FIRST"
 )
 
+#: rows without id are told apart by user and text
+ONE_ID = 'review_id, CASE WHEN review_id IS NULL THEN "user" END, CASE WHEN review_id IS NULL THEN content END'
+ROW_KEY = """coalesce(review_id, concat('key-', md5(concat(coalesce("user", ''), '|', coalesce(content, '')))))"""
+
 CLEAN_ROWS = f"""
 clean_rows AS (
  SELECT * FROM (
@@ -90,7 +94,7 @@ clean_rows AS (
 CLEANED = f"""
 uniq AS (
  SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY {NEWEST}) AS rn FROM clean_rows) WHERE rn = 1
+  SELECT *, row_number() OVER (PARTITION BY {ONE_ID} ORDER BY {NEWEST}) AS rn FROM clean_rows) WHERE rn = 1
 ),
 limits AS (
  SELECT quantile_cont(CAST(thumbs_up AS DOUBLE), 0.99) AS p99,
@@ -150,10 +154,10 @@ def share_out(counts: str, part: str, n: str, draws: str) -> str:
 
 
 SPLIT = (
-    """
+    f"""
 model_rows AS (
- SELECT *, substr(md5(concat('42|', coalesce(review_id, ''))), 1, 13) AS h FROM features
- WHERE sentiment_coarse IS NOT NULL
+ SELECT *, substr(md5(concat('42|', row_key)), 1, 13) AS h
+ FROM (SELECT *, {ROW_KEY} AS row_key FROM features) WHERE sentiment_coarse IS NOT NULL
 ),
 label_n AS (SELECT sentiment_coarse, count(*) AS n FROM model_rows GROUP BY 1),
 """

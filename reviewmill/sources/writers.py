@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.constants import PAGE_ROWS
 from reviewmill.operators.ordering import page_index
+from reviewmill.session import cut_lineage
 from reviewmill.sources.readers import list_files
 
 CSV_FILE_ROWS = 1_000_000  # multi-line CSV is read one file per task: keep files bounded
@@ -47,8 +48,11 @@ def write_twin(df: DataFrame, csv_path: str, parquet_path: str) -> None:
 
 
 def write_pages(df: DataFrame, path: str, order_by: list, rows: int = PAGE_ROWS) -> None:
-    """Every page of ``rows`` rows as its own ``page_no=`` folder."""
-    paged = page_index(df, order_by, rows).drop("row_no")
+    """Every page of ``rows`` rows as its own ``page_no=`` folder: one file, in order, with ``row_no``.
+
+    A page is bounded, so each is sorted in one task; the pages are spread over all tasks.
+    """
+    paged = page_index(df, order_by, rows).repartition("page_no").sortWithinPartitions("page_no", "row_no")
     _csv_writer(paged).mode("overwrite").partitionBy("page_no").csv(path)
 
 
@@ -108,9 +112,13 @@ def write_eval_report(parts: dict[str, DataFrame], path: str) -> None:
 
 
 def write_keyword_csvs(top: DataFrame, path: str) -> None:
-    """keyword, n per (group, category) folder; ranks order the rows."""
-    ordered = top.select("score_group", "category", "keyword", "n").repartition("score_group", "category")
-    by = ["score_group", "category", F.col("n").desc(), "keyword"]
-    _csv_writer(ordered.sortWithinPartitions(*by)).mode("overwrite").partitionBy(
-        "score_group", "category"
-    ).csv(path)
+    """keyword, n per (group, category) folder, most frequent first; a group without rows has a header only.
+
+    The table has at most a top list per group, and the four groups are written one by one.
+    """
+    top = cut_lineage(top)
+    for group in ("low", "high"):
+        for category in ("emotional", "functional"):
+            here = (F.col("score_group") == group) & (F.col("category") == category)
+            rows = top.filter(here).select("keyword", "n").orderBy(F.desc("n"), "keyword").coalesce(1)
+            _csv_writer(rows).mode("overwrite").csv(f"{path}/score_group={group}/category={category}")

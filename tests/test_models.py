@@ -57,11 +57,24 @@ def test_dbscan_equals_brute_force(make, seed, dims):
     assert len(set(got.values())) > 2
 
 
-def test_dbscan_sample_marks_other_rows_as_noise(make):
+def test_dbscan_clusters_every_row_with_many_id_less_keys(make):
     df = make([(f"k{i}", float(i % 3), 0.0) for i in range(90)], "key string, x double, y double")
-    rows = dbscan(df, ["x", "y"], "key", 0.5, 5, max_rows=60).collect()
-    assert len(rows) == 90 and sum(r["cluster"] == -1 for r in rows) == 30
-    assert {r["cluster"] for r in dbscan(df, ["x", "y"], "key", 0.5, 5, max_rows=None).collect()} == {0, 1, 2}
+    rows = dbscan(df, ["x", "y"], "key", 0.5, 5).collect()
+    assert len(rows) == 90 and {r["cluster"] for r in rows} == {0, 1, 2}
+
+
+def test_dbscan_edges_of_a_crowded_cell_do_not_grow_with_its_points(make):
+    from reviewmill.operators import dbscan as module
+
+    def edges(n):
+        rng = np.random.default_rng(n)
+        points = [(f"k{i:05d}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 2.0, (n, 2)))]
+        df = make(points, "pid string, x double, y double").withColumn("w", F.lit(1))
+        core = module.core_points(df, ["x", "y"], 0.8, 10).filter("core")
+        cells = module._boxes(core, ["x", "y"])
+        return module._edges(core, cells, ["x", "y"], 0.8).count()
+
+    assert edges(4000) <= 2 * edges(400)
 
 
 def test_components_of_a_long_chain(make):
@@ -72,7 +85,7 @@ def test_components_of_a_long_chain(make):
 
 
 def brute_silhouette(points, labels):
-    gaps = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    gaps = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
     scores = []
     for i, own in enumerate(labels):
         mine = labels == own
@@ -90,11 +103,10 @@ def test_silhouette_equals_brute_force(make):
     labels = np.arange(len(points)) % 4
     labels[0] = 9  # a cluster of one
     df = make([(i, int(c), *map(float, p)) for i, (c, p) in enumerate(zip(labels, points))], "i int, c int, x double, y double, z double")
-    row = clustering.sampled_silhouette(df, ["x", "y", "z"], "c", ["i"]).first()
+    row = clustering.silhouette(df, ["x", "y", "z"], "c").first()
     assert row["silhouette"] == pytest.approx(brute_silhouette(points, labels))
-    assert row["clusters"] == 5
-    assert clustering.sampled_silhouette(df, ["x"], "c", ["i"], max_rows=50).first()["sample_rows"] == 50
-    one = clustering.sampled_silhouette(df.withColumn("c", F.lit(1)), ["x"], "c", ["i"]).first()
+    assert (row["clusters"], row["n_rows"]) == (5, len(points))
+    one = clustering.silhouette(df.withColumn("c", F.lit(1)), ["x"], "c").first()
     assert one["silhouette"] is None
 
 
@@ -153,9 +165,9 @@ def test_kmeans_and_pca_recover_separated_blobs(make):
     points = np.vstack([np.random.default_rng(0).normal(c, 0.2, (30, 3)) for c in (-3.0, 0.0, 3.0)])
     names = ["x", "y", "z"]
     df = make([(i, *map(float, p)) for i, p in enumerate(points)], "i int, x double, y double, z double")
-    sweep = clustering.kmeans_sweep(df, names, ["i"], (2, 4))
+    sweep = clustering.kmeans_sweep(df, names, (2, 4))
     assert clustering.choose_clusters(sweep) == 3
-    assert [k for k, _, _ in sweep] == [2, 3, 4]
+    assert [row[0] for row in sweep] == [2, 3, 4]
     axes = clustering.pca_2d(df, names).agg(F.var_pop("pca1"), F.var_pop("pca2")).first()
     assert axes[0] > 10 * axes[1]
 
