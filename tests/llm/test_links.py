@@ -109,6 +109,21 @@ def test_edit_distance_equals_brute_force():
             assert lines.edit_distance(a, b, most) == min(want, most + 1)
 
 
+def test_edit_distance_of_long_lines():
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefgh ", k=20_000))
+    for edits in (0, 3, 40, 90):
+        b = list(base)
+        for _ in range(edits):
+            b[rng.randrange(len(b))] = "z"
+        b = "".join(b)
+        assert lines.edit_distance(base, b, 2000) == sum(x != y for x, y in zip(base, b))
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(1, 12))) for _ in range(2))
+        want = plain_distance(a, b)
+        assert lines._by_diagonals(a, b, 30) == want == lines._by_columns(a, b, 30)
+
+
 def test_lines_keep_one_occurrence_per_group(make):
     base = "the quick brown fox jumps over the lazy dog near number 17 today"
     other = " ".join(f"word{chr(97 + i)}" for i in range(26))
@@ -149,11 +164,14 @@ def test_line_groups_equal_brute_force_on_candidates(spark):
     seen = {}
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
         for place, line in enumerate((r["text"] or "").split("\n")):
-            plain = lines.normalise(line)
+            plain = lines.normal_line(line.encode())
             if len(plain.split()) >= lines.MIN_WORDS:
                 seen.setdefault(plain, []).append((r["doc_id"], place))
     texts = list(seen)
-    prints = [int.from_bytes(lines.simhash(t.split(" ")), "big") for t in texts]
+    hashes = [lines.word_hashes(t.encode().split()) for t in texts]
+    halves = lines.simhashes(np.concatenate(hashes), np.array([len(h) for h in hashes]))
+    prints = [int(h) << 64 | int(l) for h, l in halves]
+    assert (lines.simhashes(hashes[5], np.array([len(hashes[5])]))[0] == halves[5]).all()
     blocks = [[p >> s & 0xFFFFFFFF for s in (0, 32, 64, 96)] for p in prints]
     pairs = [
         (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
