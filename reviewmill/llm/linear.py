@@ -76,6 +76,7 @@ def _descend(rows, numbers, values, targets, weights, size, count, rounds, rate,
     w, bias = np.zeros(size, np.float32), 0.0
     squares, bias_square = np.full(size, 1e-8, np.float32), 1e-8
     total = weights.sum()
+    rows, numbers = rows.astype(np.intp), numbers.astype(np.intp)  # as bincount wants them, once
     for _ in range(rounds):
         logits = np.bincount(rows, w[numbers] * values, count) + bias
         slope = (sigmoid(logits) - targets) * weights / total

@@ -16,7 +16,7 @@ from reviewmill.llm.measures import measure
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_PROBABILITY = 0.5
-TRAIN_ROWS = 3000  # bound of the labelled sample the classifier is fitted on
+TRAIN_ROWS = 1200  # bound of the labelled sample the classifier is fitted on
 CALIBRATION_FOLD = 5
 
 

@@ -21,7 +21,7 @@ from reviewmill.llm.linear import Scorer, fit
 from reviewmill.llm.measures import Measures, measure
 from reviewmill.llm.quality import sample_features
 
-TRAIN_ROWS = 3000  # bound of the sample the scorer is fitted on
+TRAIN_ROWS = 1200  # bound of the sample the scorer is fitted on
 KEEP_PROBABILITY = 0.5
 STEPS = 50
 
