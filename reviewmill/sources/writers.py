@@ -118,7 +118,7 @@ def write_keyword_csvs(top: DataFrame, path: str) -> None:
     """
     top = cut_lineage(top)
     for group in ("low", "high"):
-        for category in ("emotional", "functional"):
+        for category in ("Emotional", "Functional"):
             here = (F.col("score_group") == group) & (F.col("category") == category)
             rows = top.filter(here).select("keyword", "n").orderBy(F.desc("n"), "keyword").coalesce(1)
             _csv_writer(rows).mode("overwrite").csv(f"{path}/score_group={group}/category={category}")
