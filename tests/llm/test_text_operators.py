@@ -167,7 +167,9 @@ def test_weak_classifier_against_labels(spark):
     pairs = [(out[r["doc_id"]]["quality"] >= 0.5, r["quality"] == 1) for r in labels if r["doc_id"] in out]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.9
     toxic = [(out[r["doc_id"]]["toxicity"] >= 0.5, r["toxic"] == 1) for r in labels if r["doc_id"] in out]
-    assert sum(a == b for a, b in toxic) / len(toxic) > 0.97
+    # a word list knows only its own words: it must be right where it speaks, and speak often enough
+    assert not any(said and not is_so for said, is_so in toxic)
+    assert sum(said for said, is_so in toxic if is_so) > 0.5 * sum(is_so for _, is_so in toxic)
 
 
 def test_weak_odd_rows(make):
