@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.batches import add_columns, doc_text, ints, shielded, texts
+from reviewmill.llm.batches import add_columns, doc_text, hash_sample, ints, shielded, texts
 from reviewmill.llm.linear import Scorer, fit, sparse
 from reviewmill.llm.measures import measure
 
@@ -57,11 +57,8 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     Labels without document or quality are left out; several labels of a document count as their largest.
     """
     rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = (
-        rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("target"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_rows)
-    )
+    targets = rows.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("target"))
+    chosen = hash_sample(targets, train_rows, "doc_id")
     sample = doc_text(documents).join(F.broadcast(chosen), "doc_id")  # at most train_rows small rows
     return fit(*sample_features(sample.dropDuplicates(["doc_id"])))
 

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmill.llm.batches import hash_sample
 from reviewmill.llm.privacy import places
 from reviewmill.session import write_stage
 
@@ -110,9 +111,9 @@ def find_secrets(df: DataFrame, text: str = "text", labels: DataFrame | None = N
         label = F.col("label")
     else:
         known = found.withColumn("label", label)
-    by_hash = F.xxhash64("value", "before", "start")
-    # at most train_rows of each label, so that the rarer one is seen
-    sample = [known.filter(F.col("label") == v).orderBy(by_hash, "value", "start").limit(train_rows // 2) for v in (0.0, 1.0)]
+    # half of train_rows of each label at most, so that the rarer one is seen
+    known = known.select("label", "value", "before", "start", *FEATURES)
+    sample = [hash_sample(known.filter(F.col("label") == v), train_rows // 2, "value", "before", "start") for v in (0.0, 1.0)]
     sample = write_stage(sample[0].unionByName(sample[1]).select("label", *FEATURES), "findings")
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     outer = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)]

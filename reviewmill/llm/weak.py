@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.batches import add_columns, doc_text, texts
+from reviewmill.llm.batches import add_columns, doc_text, hash_sample, texts
 from reviewmill.llm.linear import Scorer, fit
 from reviewmill.llm.measures import Measures, measure
 from reviewmill.llm.quality import sample_features
@@ -142,7 +142,8 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, La
     def label(values: list[bytes | None]) -> dict[str, pa.Array]:
         return {"target": pa.array([quality(votes(v, measure(v))) for v in values], pa.float64())}
 
-    chosen = docs.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    ids = hash_sample(docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), train_rows, "doc_id")
+    chosen = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows ids
     features = sample_features(add_columns(chosen, "text", label, target="double"))
     return quality, insult, fit(*features)
 
