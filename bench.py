@@ -21,8 +21,7 @@ HEADLINE = [
     "monthly_mean_rating", "sentiment_trend", "version_first_seen", "keyword_summary_table", "engineer_features",
     "feature_distribution_stats", "stratified_split", "frequency_encode", "anova_f_scores", "preprocess_features",
     "confusion_insights", "model_comparison", "page_slice", "head_n", "sample_n", "cluster_centroids",
-    "silhouette_sampled", "merge_master_newest", "stream_merge_master", "write_page_files", "linear_svc_multiclass",
-    "random_forest_classifier", "chart_elbow_silhouette", "pca_2d", "dbscan",
+    "silhouette_sampled", "merge_master_newest", "stream_merge_master", "write_page_files", "pca_2d",
 ]
 
 
