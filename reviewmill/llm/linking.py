@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from reviewmill.session import cut_lineage, write_stage
 
 
-STAR_ROUNDS = 2  # cheap rounds before all that is undecided is compared
+STAR_ROUNDS = 1  # cheap rounds before all that is undecided is compared
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -30,7 +30,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
     linked = both.join(least, "a").filter(F.col("b") > F.col("a"))
-    return linked.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    return linked.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -44,9 +44,17 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``v`` and ``label``, its smallest reachable vertex, for every vertex of ``edges`` (``a``, ``b``).
 
-    Large-star and small-star steps alternate until nothing changes; each round ends in a checkpoint.
     Loops and repeated edges do no harm; without edges the result is empty.
     """
+    named = followers(edges)
+    return named.unionByName(named.select(F.col("label").alias("v"), "label").distinct())
+
+
+def followers(edges: DataFrame) -> DataFrame:
+    """As ``components``, but without the vertices that are their own label.
+
+    Large-star and small-star steps alternate until nothing changes; each round ends in a checkpoint.
+    """
     links = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _fingerprint(links)
     while before[0]:
@@ -55,8 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    named = links.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    return named.unionByName(named.select(F.col("label").alias("v"), "label").distinct())
+    return links.select(F.col("a").alias("v"), F.col("b").alias("label"))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
@@ -73,7 +80,7 @@ def linked_components(
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
-    """``v`` and ``label`` of all rows that have a link.
+    """``v`` and ``label`` of all rows linked to a smaller one; a row that is missing is its own label.
 
     ``nodes`` has ``id`` and ``sketch``; ``keys`` has ``id`` and ``key``, several per id. ``verifier`` gets the ids that
     share any key and returns a function that keeps the true links among distinct pairs (``a``, ``b``).
@@ -86,7 +93,7 @@ def linked_components(
     best = offers.groupBy("id").agg(F.max(F.struct("n", (-F.col("leader")).alias("leader"))).alias("best"))
     first = best.select((-F.col("best.leader")).alias("a"), F.col("id").alias("b"))
     found = write_stage(verify(_similar(first, nodes, near)), "links")
-    labels = components(found)
+    labels = followers(found)
     for at in range(star_rounds + 1):
         rest = _undecided(members, labels, nodes)
         if rest.isEmpty():
@@ -96,7 +103,7 @@ def linked_components(
         more = write_stage(verify(_similar(pairs, nodes, near) if at < star_rounds else pairs), "more_links")
         if not more.isEmpty():
             found = found.unionByName(more)
-            labels = components(found)
+            labels = followers(found)
     return labels
 
 
