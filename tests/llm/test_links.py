@@ -188,3 +188,48 @@ def test_line_groups_equal_brute_force_on_candidates(spark):
     out = {r["doc_id"]: r for r in catalog.QUERIES["op10_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
     assert len(out) == docs.count()
     assert {d: r["removed"] for d, r in out.items() if r["n_removed"]} == {d: ",".join(map(str, sorted(p))) for d, p in gone.items()}
+
+
+def test_lines_with_a_changed_word_are_found(make):
+    """Recall against edit similarity over all pairs: lines of 10 to 64 words, one word replaced."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for size in (10, 14, 20, 32, 64):
+        for _ in range(40):
+            line = rng.choices(words, k=size)
+            other = list(line)
+            other[rng.randrange(size)] = rng.choice(words)
+            texts += [" ".join(line), " ".join(other)]
+    pairs = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if lines.alike(texts[i], texts[j])}
+    assert len(pairs) > 180
+    out = lines.repeated_lines(make(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len({r["doc_id"] for r in out} & {j for _, j in pairs}) >= 0.99 * len(pairs)
+    assert {r["doc_id"] for r in out} <= {j for _, j in pairs}
+
+
+def test_edited_lines_of_the_data_are_found(spark):
+    """All pairs of sf0.001 at the edit similarity, found by brute force, against the groups of the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = {}
+    for r in docs.collect():
+        for place, line in enumerate((r["text"] or "").split("\n")):
+            plain = lines.normal_line(line.encode())
+            if len(plain.split()) >= lines.MIN_WORDS:
+                seen.setdefault(plain, []).append((r["doc_id"], place))
+    texts = sorted(seen, key=len)
+    sizes = np.array([len(t) for t in texts])
+    counts = np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in texts])
+    pairs = []
+    for i in range(len(texts)):
+        last = np.searchsorted(sizes, sizes[i] / lines.EDIT_SIMILARITY + 1, "right")
+        apart = np.abs(counts[i + 1 : last] - counts[i]).sum(axis=1)  # an edit moves two characters of two bytes each at most
+        pairs += [(i, j) for j in i + 1 + np.flatnonzero(apart <= 4 * (0.1 * sizes[i + 1 : last] + 1)) if lines.alike(texts[i], texts[j])]
+    assert len(pairs) > 30
+    label = groups_of(pairs, range(len(texts)))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(label[i], []).extend(seen[t])
+    want = {spot for spots in groups.values() for spot in sorted(spots)[1:]}
+    got = {(r["doc_id"], p) for r in lines.repeated_lines(docs).collect() for p in r["places"]}
+    assert got <= want and len(got) >= 0.98 * len(want)
