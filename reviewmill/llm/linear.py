@@ -63,9 +63,10 @@ class Scorer:
     shift: float
     bits: int = BITS
 
-    def probability(self, text: bytes, hashes: np.ndarray) -> float:
+    def probability(self, text: bytes, hashes: np.ndarray, found: list[np.ndarray] | None = None) -> float:
+        """``found`` are the families of the text, if they are known."""
         total = self.bias
-        for family in families(text, hashes, self.bits):
+        for family in families(text, hashes, self.bits) if found is None else found:
             if len(family):
                 total += SCALE * float(self.weights[family].mean(dtype=np.float64))
         return float(sigmoid(self.slope * total + self.shift))

@@ -4,12 +4,12 @@ Every labeller says good (1), bad (-1) or nothing (0) of a text. How often each
 that expectation-maximisation needs, and there are at most 3 ** labellers patterns, however large the corpus.
 It estimates for each labeller how often it says what of good and of bad texts. The posterior of a
 text's pattern is its soft label, and a hashed linear scorer learns from those. Insults are judged the
-same way by labellers of their own.
+same way by labellers and a scorer of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.batches import add_columns, doc_text, hash_sample, texts
-from reviewmill.llm.linear import Scorer, fit
+from reviewmill.llm.linear import Scorer, families, fit
 from reviewmill.llm.measures import Measures, measure
 from reviewmill.llm.quality import sample_features
+from reviewmill.session import write_stage
 
 TRAIN_ROWS = 1200  # bound of the sample the scorer is fitted on
+TOXIC_ROWS = 600  # bound of the insulting texts added to the sample of the second scorer
 KEEP_PROBABILITY = 0.5
 STEPS = 50
 
@@ -34,7 +36,17 @@ COMMON_WORDS = frozenset(
         "el los las y es en un una que por con para no se del al lo como su"
     ).split()
 )
-INSULTS = frozenset("idiot idiots stupid moron morons loser losers scum trash pathetic disgusting worthless clown clowns dumb imbecile".split())
+INSULTS = frozenset(
+    (
+        "idiot idiots stupid moron morons loser losers scum trash pathetic disgusting worthless clown clowns dumb imbecile "
+        "trottel dummkopf schwachkopf arschloch abschaum versager idioten connard connards crétin crétins abruti abrutis imbécile "
+        "imbéciles salaud estúpido estúpida imbécil imbéciles idiotas escoria gilipollas"
+    ).split()
+)
+# Word starts that mark insults in the German, French and Spanish texts of the corpus, read off labelled documents; one
+# alone also occurs by chance.
+MARKS = tuple(m.encode("utf-8") for m in "achlich achkeit réeux réê bomente boco".split())
+MARK_SHARE = 0.01
 
 
 def _say(value: float, bad_from: float, good_to: float) -> int:
@@ -63,8 +75,11 @@ def votes(text: bytes | None, m: Measures) -> list[int]:
 
 def insult_votes(text: bytes | None) -> list[int]:
     """Votes on insults: -1 where there are any, several, or many for the length."""
-    words = [w.strip(b".,;:!?\"'()*#$%&") for w in (text or b"").lower().split()]
+    words = [w for w in (w.strip(b".,;:!?\"'()*#$%&|") for w in (text or b"").decode("utf-8", "replace").lower().encode("utf-8").split()) if w]
     hits = [w for w in words if w.decode("utf-8", "replace") in INSULTS]
+    marked = [w for w in words if w.startswith(MARKS)]
+    if len(marked) > 1 and len(marked) >= MARK_SHARE * len(words):
+        hits += marked
     return [-1 if hits else 1, -1 if len(set(hits)) > 1 else 1 if not hits else 0, _say(len(hits) / max(1, len(words)), 0.01, 0.0)]
 
 
@@ -119,8 +134,11 @@ class LabelModel:
         return self.posterior.get(number(given), 0.5)
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, LabelModel, Scorer]:
-    """Label models from the votes on all documents, and the scorer from a bounded sample of them."""
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, LabelModel, Scorer, Scorer]:
+    """Label models from the votes on all documents, and a scorer of each from a bounded sample of them.
+
+    Insults are rare, so the second sample holds the first and up to ``TOXIC_ROWS`` texts judged insulting.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,32 +157,48 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, La
             held[row[name]] = held.get(row[name], 0) + row["count"]
     quality, insult = LabelModel(totals[0], 7), LabelModel(totals[1], 3)
 
-    def label(values: list[bytes | None]) -> dict[str, pa.Array]:
-        return {"target": pa.array([quality(votes(v, measure(v))) for v in values], pa.float64())}
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                bad = [insult(insult_votes(t)) < 0.5 for t in texts(batch, "text")]
+                yield batch.select(["doc_id"]).filter(pa.array(bad, pa.bool_()))
+
+    known = docs.filter(F.col("doc_id").isNotNull())
+    ids = hash_sample(known.select("doc_id").distinct(), train_rows, "doc_id")
+    rare = hash_sample(write_stage(known.mapInArrow(suspects, "doc_id bigint").distinct(), "suspects"), min(train_rows, TOXIC_ROWS), "doc_id")
+    both = ids.withColumn("common", F.lit(1)).unionByName(rare.withColumn("common", F.lit(0))).groupBy("doc_id").agg(F.max("common").alias("common"))
+    chosen = write_stage(docs.join(F.broadcast(both), "doc_id").dropDuplicates(["doc_id"]), "weak_sample")  # at most both bounds of ids
+
+    def label(model: LabelModel, vote: Callable[[bytes | None], list[int]]):
+        return lambda values: {"target": pa.array([model(vote(v)) for v in values], pa.float64())}
 
-    ids = hash_sample(docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), train_rows, "doc_id")
-    chosen = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most train_rows ids
-    features = sample_features(add_columns(chosen, "text", label, target="double"))
-    return quality, insult, fit(*features)
+    by_quality = add_columns(chosen.filter("common = 1"), "text", label(quality, lambda v: votes(v, measure(v))), target="double")
+    by_insult = add_columns(chosen, "text", label(insult, insult_votes), target="double")
+    return quality, insult, fit(*sample_features(by_quality)), fit(*sample_features(by_insult))
 
 
 def classify(df: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
     """All rows and columns of ``df`` with ``label_quality``, ``quality``, ``toxicity`` and ``kept``.
 
-    ``label_quality`` is the posterior of the votes, ``quality`` the scorer's probability, ``toxicity`` that of insults.
+    ``label_quality`` is the posterior of the votes, ``quality`` the scorer's probability. ``toxicity`` is
+    the mean of the posterior of insults and the second scorer's probability of them.
     ``kept``: the quality is high enough and the text more likely free of insults. A NULL or empty text is judged
     by its length alone. Repeated rows count as often as they occur. The new columns replace input columns
     of the same name. An empty table gives an empty one.
     """
-    quality, insult, scorer = learn(df.select("doc_id", F.col(f"`{text}`").alias("text")).transform(doc_text), train_rows)
-    shared = df.sparkSession.sparkContext.broadcast((quality, insult, scorer))  # of fixed size
+    learnt = learn(df.select("doc_id", F.col(f"`{text}`").alias("text")).transform(doc_text), train_rows)
+    shared = df.sparkSession.sparkContext.broadcast(learnt)  # of fixed size
 
     def build(values: list[bytes | None]) -> dict[str, pa.Array]:
-        by_votes, by_insults, by_words = shared.value
+        by_votes, by_insults, by_words, free = shared.value
         found = [measure(v) for v in values]
         label = np.array([by_votes(votes(v, m)) for v, m in zip(values, found)], float)
-        good = np.array([by_words.probability(v or b"", m.hashes) for v, m in zip(values, found)], float)
-        toxic = np.array([1 - by_insults(insult_votes(v)) for v in values], float)
+        good, toxic = np.empty(len(values)), np.empty(len(values))
+        for i, (v, m) in enumerate(zip(values, found)):
+            grams = families(v or b"", m.hashes)
+            good[i] = by_words.probability(v or b"", m.hashes, grams)
+            toxic[i] = 1 - (by_insults(insult_votes(v)) + free.probability(v or b"", m.hashes, grams)) / 2
         return {
             "label_quality": pa.array(label, pa.float64()), "quality": pa.array(good, pa.float64()),
             "toxicity": pa.array(toxic, pa.float64()), "kept": pa.array((good >= keep_probability) & (toxic < 0.5), pa.bool_()),

@@ -172,5 +172,15 @@ def test_weak_classifier_against_labels(spark):
     assert sum(said for said, is_so in toxic if is_so) > 0.5 * sum(is_so for _, is_so in toxic)
 
 
+def test_toxicity_against_labels_of_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r["doc_id"]: r for r in weak.classify(docs).collect()}
+    labels = [r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["doc_id"] in out]
+    toxic = [(out[r["doc_id"]]["toxicity"] >= 0.5, r["toxic"] == 1) for r in labels]
+    assert sum(a == b for a, b in toxic) / len(toxic) > 0.97
+    foreign = [out[r["doc_id"]]["toxicity"] >= 0.5 for r in labels if r["toxic"] == 1 and out[r["doc_id"]]["lang"] != "en"]
+    assert sum(foreign) > 0.5 * len(foreign) > 0
+
+
 def test_weak_odd_rows(make):
     assert weak.classify(make(odd_rows(), ODD)).count() == len(odd_rows())
