@@ -291,3 +291,14 @@ def test_pipeline_stages_on_odd_rows(spark, make):
         docs = spark.createDataFrame(rows, schema)
         for _, run in corpus_pipeline.STAGES:
             assert run(spark, docs, SF).count() <= len(rows)
+
+
+def test_pipeline_drops_what_line_dedup_empties(spark, make):
+    import corpus_pipeline
+
+    text = "one line of words that stands in both of the documents here\nand a second line of them that also stands in both"
+    more = f"{text}\nbut this line stands in one of them only"
+    rows = [(1, text, 999), (2, text.upper(), 999), (3, more, 999), (4, "", 0), (5, None, 7)]
+    out = corpus_pipeline.line_dedup(spark, make(rows, "doc_id bigint, text string, n_chars bigint"), "").collect()
+    rest = more.split("\n")[2]
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out) == [(1, text, len(text)), (3, rest, len(rest)), (4, "", 0), (5, None, 7)]
