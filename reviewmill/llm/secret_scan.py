@@ -91,7 +91,7 @@ def find_secrets(df: DataFrame, text: str = "text", labels: DataFrame | None = N
     """One row per candidate: the columns of ``df`` but ``text``, ``start``, ``stop``, ``value``, ``probability``, ``secret``.
 
     ``labels`` may give (``value``, ``label``) findings judged by hand; without it ``default_labels`` holds. The forest
-    is fitted on up to ``train_rows`` labelled findings, chosen by a hash. If labelled findings are all of one
+    is fitted on up to ``train_rows`` distinct labelled findings, chosen by a hash and weighted by their copies. If labelled findings are all of one
     kind, or there are none, nothing can be learnt and the default label, or else the presence of a digit, decides.
     NULL and empty texts have no candidates; repeated rows have their findings each; new columns replace
     input columns of the same name. An empty table gives an empty one.
@@ -112,16 +112,17 @@ def find_secrets(df: DataFrame, text: str = "text", labels: DataFrame | None = N
     else:
         known = found.withColumn("label", label)
     # half of train_rows of each label at most, so that the rarer one is seen
-    known = known.select("label", "value", "before", "start", *FEATURES)
+    # copies share a hash, so they are one row of the sample, with their number as weight
+    known = known.filter(F.col("label").isNotNull()).groupBy("label", "value", "before", "start", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
     sample = [hash_sample(known.filter(F.col("label") == v), train_rows // 2, "value", "before", "start") for v in (0.0, 1.0)]
-    sample = write_stage(sample[0].unionByName(sample[1]).select("label", *FEATURES), "findings")
-    seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    sample = write_stage(sample[0].unionByName(sample[1]).select("label", "n", *FEATURES), "findings")
+    seen = {r["label"]: r["count"] for r in sample.groupBy("label").agg(F.sum("n").alias("count")).collect()}
     outer = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)]
     if len(seen) < 2:
         guess = F.coalesce(default_labels(), (F.col("digit_share") > 0).cast("double"))
         return found.select(*outer, "start", "stop", "value", guess.alias("probability"), (guess >= 0.5).alias("secret"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-    weight = F.when(F.col("label") == 1, F.lit(seen[0.0] / seen[1.0])).otherwise(F.lit(1.0))
+    weight = F.when(F.col("label") == 1, F.lit(seen[0.0] / seen[1.0])).otherwise(F.lit(1.0)) * F.col("n")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", weightCol="_weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_prediction", numTrees=20, maxDepth=6, seed=7,

@@ -302,3 +302,12 @@ def test_pipeline_drops_what_line_dedup_empties(spark, make):
     out = corpus_pipeline.line_dedup(spark, make(rows, "doc_id bigint, text string, n_chars bigint"), "").collect()
     rest = more.split("\n")[2]
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out) == [(1, text, len(text)), (3, rest, len(rest)), (4, "", 0), (5, None, 7)]
+
+
+def test_secrets_of_few_distinct_findings(make):
+    """Two kinds of findings, far more copies than the sample has rows; the default label would be wrong."""
+    secrets, harmless = ["abcdefghijklmnopqrstuvwxyzabcdef", "zyxwvutsrqponmlkjihgfedcbazyxwvu"], ["a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "f1e2d3c4b5a6f7e8d9c0b1a2f3e4d5c6"]
+    rows = [(i, f"see {v} here") for i, v in enumerate((secrets + harmless) * 1000)]
+    labels = make([(v, 1) for v in secrets] + [(v, 0) for v in harmless], "value string, label int")
+    out = secret_scan.find_secrets(make(rows, "doc_id bigint, text string"), labels=labels, train_rows=4).collect()
+    assert len(out) == len(rows) and all(r["secret"] == (r["value"] in secrets) for r in out)
