@@ -12,12 +12,15 @@ split by the following word, in proportion to their share.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewmill.operators.lookup import lookup_join
@@ -33,28 +36,40 @@ HOT_SHARES = 500  # words with more than one in so many occurrences have split s
 WORDS_HELD = 1 << 20  # distinct words a task keeps before it hands on what it counted
 ENTRIES_HELD = 1 << 21
 BYTES_AT_ONCE = 1 << 22
+TOKENS_HELD = 1 << 31
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # end a piece
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"." * len(BREAKS) + b" ")
+_BETWEEN = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 
 
 class Words(dict):
-    """Numbers of the words of one language in one task. 0 is the break between pieces."""
+    """Numbers of the words of one language in one task, in the order they are met. 0 is the break between pieces."""
 
-    def __init__(self, lang: str):
+    def __init__(self, lang: str, before: list[bytes]):
         super().__init__()
         self.lang, self.words, self.seed = lang, [], xxhash.xxh64_intdigest(lang.encode())
         self.hashes = np.zeros(0, np.uint64)
         self[b"."]
+        self.tail = np.array([self[w] for w in before], np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.words)
         self.words.append(word)
         return number
 
-    def numbers(self, texts: list[bytes]) -> np.ndarray:
-        found = b".".join(texts).translate(_TABLE).replace(b".", b" . ").split()
+    def numbers(self, text: bytes) -> np.ndarray:
+        found = text.translate(_TABLE).replace(b".", b" . ").split()
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
+    def stretch(self, text: bytes) -> np.ndarray:
+        """The last words of what came before, then those of ``text``: no phrase is lost where a long text is cut."""
+        ids = np.concatenate([self.tail, self.numbers(text)])
+        self.tail = ids[len(ids) - len(self.tail) :]
+        return ids
+
+    def last(self) -> list[bytes]:
+        return [self.words[i] for i in self.tail]
+
     def hashed(self) -> np.ndarray:
         new = self.words[len(self.hashes) :]
         if new:
@@ -64,9 +79,17 @@ class Words(dict):
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0x632BE59BD9B4E019))
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(32))
+    """Hash of a phrase from that of all but its last word, and that word's."""
+    mixed = first * np.uint64(_ODD[0]) ^ second
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_ODD[1])
+
+
+def _pair_hash_int(first: int, second: int) -> int:
+    mixed = first * _ODD[0] & _ALL ^ second
+    return (mixed ^ mixed >> 29) * _ODD[1] & _ALL
+
+
+_ODD, _ALL = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (1 << 64) - 1
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -78,21 +101,29 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
-    """Texts by language, a few megabytes at a time."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Texts by language, a few megabytes at a time, each text ending in a break; longer ones are cut between words."""
     held, size = {}, 0
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
+        langs, texts = batch.column("lang").to_pylist(), batch.column("text")
         for at, lang in enumerate(langs):
-            text = batch.column("text")[at].as_py()
-            if text:
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size > BYTES_AT_ONCE:
-                    yield held
-                    held, size = {}, 0
-    if held:
-        yield held
+            text = texts[at].as_py()
+            if not text:
+                continue
+            if len(text) > BYTES_AT_ONCE:
+                if lang in held:
+                    yield lang, b".".join([*held.pop(lang), b""])
+                start = 0
+                while len(text) - start > BYTES_AT_ONCE and (cut := _BETWEEN.search(text, start + BYTES_AT_ONCE)):
+                    yield lang, text[start : cut.end()]
+                    start = cut.end()
+                text = text[start:]
+            held.setdefault(lang, []).append(text)
+            size += len(text)
+            if size > BYTES_AT_ONCE:
+                yield from ((k, b".".join([*v, b""])) for k, v in held.items())
+                held, size = {}, 0
+    yield from ((k, b".".join([*v, b""])) for k, v in held.items())
 
 
 WORD_COUNTS = "lang string, phrase string, n bigint, slot bigint"
@@ -115,12 +146,11 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
         held.clear()
 
-    for group in _groups(batches):
-        for lang, texts in group.items():
-            words, counts = held.setdefault(lang, (Words(lang), [np.zeros(0, np.int64)]))
-            more = np.bincount(words.numbers(texts), minlength=len(words.words))
-            more[: len(counts[0])] += counts[0]
-            counts[0] = more
+    for lang, text in _stretches(batches):
+        words, counts = held.setdefault(lang, (Words(lang, []), [np.zeros(0, np.int64)]))
+        more = np.bincount(words.numbers(text), minlength=len(words.words))
+        more[: len(counts[0])] += counts[0]
+        counts[0] = more
         if sum(len(w.words) for w, _ in held.values()) > WORDS_HELD:
             yield from flush()
     yield from flush()
@@ -157,172 +187,222 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-STRIPES = "lang string, prefix string, shard int, shards int, next array<string>, n array<bigint>"
+STRIPES = "lang string, prefix string, shard int, shards int, following string, counts binary"
 
 
 def _stripe_rows(words: Words, prefix: list[np.ndarray], following: np.ndarray, counts: np.ndarray, hot: dict) -> Iterator[pa.RecordBatch]:
-    """Stripes of one language: entries with equal prefix and shard side by side. A following 0 is the rest."""
+    """Stripes of one language: words that follow, joined by spaces (nothing for the rest), and their packed counts."""
     names = [w.decode() for w in words.words]
     names[0] = ""
-    by_word = np.array([hot.get((words.lang, w), 1) for w in names], np.int64)
+    by_word = np.array([hot.get((words.lang, w), 1) for w in names], np.int64) if hot else np.ones(len(names), np.int64)
     shards = np.minimum.reduce([by_word[p] for p in prefix])
     spread = (words.hashed()[following] >> np.uint64(8)) % shards.astype(np.uint64)
     shard = np.where(following == 0, 0, spread.astype(np.int64))
     order = np.lexsort([following, shard, *reversed(prefix)])
-    prefix, following, counts = [p[order] for p in prefix], following[order], counts[order]
+    prefix, following, counts = [p[order] for p in prefix], following[order], counts[order].astype("<u4")
     shard, shards = shard[order], shards[order]
     changed = np.zeros(len(order), bool)
     changed[:1] = True
     for column in (*prefix, shard):
         changed[1:] |= column[1:] != column[:-1]
     first = np.flatnonzero(changed)
-    table = np.array(names, object)
+    table = pa.array(names, pa.string())
     for at in range(0, len(first), 1 << 15):
         some = first[at : at + (1 << 15)]
         stop = first[at + (1 << 15)] if at + (1 << 15) < len(first) else len(order)
-        offsets = pa.array(np.r_[some, stop] - some[0], pa.int32())
+        bounds = np.r_[some, stop] - some[0]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(pa.array(following[some[0] : stop])))
+        packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(counts[some[0] : stop].copy())])
+        heads = [table.take(pa.array(p[some])) for p in prefix]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([words.lang] * len(some), pa.string()),
-                pa.array([" ".join(p) for p in zip(*(table[p[some]] for p in prefix))], pa.string()),
-                pa.array(shard[some], pa.int32()), pa.array(shards[some], pa.int32()),
-                pa.ListArray.from_arrays(offsets, pa.array(table[following[some[0] : stop]], pa.string())),
-                pa.ListArray.from_arrays(offsets, pa.array(counts[some[0] : stop], pa.int64())),
+                pa.array([words.lang] * len(some), pa.string()), pc.binary_join_element_wise(*heads, " ") if len(heads) > 1 else heads[0],
+                pa.array(shard[some], pa.int32()), pa.array(shards[some], pa.int32()), pc.binary_join(lists, " "), packed,
             ],
-            names=["lang", "prefix", "shard", "shards", "next", "n"],
+            names=["lang", "prefix", "shard", "shards", "following", "counts"],
         )
 
 
-def word_stripes(bits, hot) -> Callable:
-    """Stripes of single words; only words that pass the filter are prefixes or counted by name."""
+class Phrases:
+    """Numbers of the phrases met in one task, each known by the one without its last word and that word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Words, Tally]] = {}
+    def __init__(self):
+        self.seen, self.keys = {}, []
 
-        def flush():
-            for words, tally in held.values():
-                keys, counts = tally.merge()
-                if len(keys):
-                    yield from _stripe_rows(words, [keys >> 32], keys & 0xFFFFFFFF, counts, hot.value)
-            held.clear()
-
-        for group in _groups(batches):
-            for lang, texts in group.items():
-                words, tally = held.setdefault(lang, (Words(lang), Tally()))
-                ids = np.append(words.numbers(texts), 0)
-                known = passes(bits.value, words.hashed())
-                known[0] = False
-                ids = np.where(known[ids], ids, 0)
-                at = np.flatnonzero(ids[:-1])
-                tally.add(ids[at] << 32 | ids[at + 1])
-            if sum(len(w.words) for w, _ in held.values()) > WORDS_HELD or sum(t.size for _, t in held.values()) > ENTRIES_HELD:
-                yield from flush()
-        yield from flush()
+    def numbers(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(first << 32 | last, return_inverse=True)
+        seen, keys = self.seen, self.keys
+        for key in distinct.tolist():
+            if key not in seen:
+                seen[key] = len(keys)
+                keys.append(key)
+        return np.array([seen[k] for k in distinct.tolist()], np.int64)[where]
 
-    return run
+    def parts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(self.keys, np.int64)[numbers]
+        return keys >> 32, keys & 0xFFFFFFFF
 
 
-def longer_stripes(bits, hot) -> Callable:
-    """Stripes of two and three words, all of whose pairs pass the filter; so do those with the word that follows."""
-    rest = 1 << 31  # low half of a key of three words: a pair's number, or this and the number of a word nothing counted follows
+def count_stripes(size: int, bits, hot) -> Callable:
+    """Stripes of phrases of ``size`` words that pass the filter.
+
+    A following word is counted by name if the phrase that starts one word later passes as well, else as the rest. Beyond
+    single words, rests are only counted beside a named word: their sum is a lower bound of the prefix's occurrences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Words, dict, list, Tally, Tally]] = {}
+        held: dict[str, tuple[Words, list[Phrases], Tally]] = {}
+        tokens = 0
 
         def flush():
-            for words, _, pairs, two, three in held.values():
-                a, b = np.array(pairs, np.int64) >> 32, np.array(pairs, np.int64) & 0xFFFFFFFF
-                keys, counts = two.merge()
-                if len(keys):
-                    high = keys >> 32
-                    yield from _stripe_rows(words, [a[high], b[high]], keys & 0xFFFFFFFF, counts, hot.value)
-                keys, counts = three.merge()
-                if len(keys):
-                    high, low = keys >> 32, keys & 0xFFFFFFFF
-                    ends, pair = low >= rest, np.where(low >= rest, 0, low)
-                    third, following = np.where(ends, low - rest, a[pair]), np.where(ends, 0, b[pair])
-                    yield from _stripe_rows(words, [a[high], b[high], third], following, counts, hot.value)
-            held.clear()
-
-        for group in _groups(batches):
-            for lang, texts in group.items():
-                if lang not in held:
-                    held[lang] = Words(lang), {}, [], Tally(), Tally()
-                words, numbers, pairs, two, three = held[lang]
-                ids = np.append(words.numbers(texts), (0, 0, 0))
-                hashes = words.hashed()
-                ok = (ids[:-1] > 0) & (ids[1:] > 0)
-                ok[ok] = passes(bits.value, pair_hash(hashes[ids[:-1][ok]], hashes[ids[1:][ok]]))
-                distinct, where = np.unique((ids[:-1] << 32 | ids[1:])[ok], return_inverse=True)
-                for pair in distinct.tolist():
-                    if pair not in numbers:
-                        numbers[pair] = len(pairs)
-                        pairs.append(pair)
-                pair_at = np.full(len(ids) + 1, -1)
-                pair_at[:-2][ok] = np.array([numbers[p] for p in distinct.tolist()], np.int64)[where]
-                at = np.flatnonzero(pair_at >= 0)
-                goes_on = pair_at[at + 1] >= 0
-                two.add(pair_at[at] << 32 | np.where(goes_on, ids[np.minimum(at + 2, len(ids) - 1)], 0))
-                at = at[goes_on]
-                three.add(pair_at[at] << 32 | np.where(pair_at[at + 2] >= 0, pair_at[at + 2], rest | ids[at + 2]))
-            if sum(len(h[0].words) + len(h[2]) for h in held.values()) > WORDS_HELD or sum(h[3].size + h[4].size for h in held.values()) > ENTRIES_HELD:
+            for words, phrases, tally in held.values():
+                keys, counts = tally.merge()
+                head, following = keys >> 32, keys & 0xFFFFFFFF
+                if size > 1:
+                    named = np.zeros(len(phrases[-1].keys), bool)
+                    named[head[following > 0]] = True
+                    head, following, counts = head[named[head]], following[named[head]], counts[named[head]]
+                if len(head):
+                    prefix = []
+                    for level in reversed(phrases):
+                        head, last = level.parts(head)
+                        prefix.insert(0, last)
+                    yield from _stripe_rows(words, [head, *prefix], following, counts, hot.value)
+
+        for lang, text in _stretches(batches):
+            if lang not in held:
+                held[lang] = Words(lang, [b"."] * size), [Phrases() for _ in range(size - 1)], Tally()
+            words, phrases, tally = held[lang]
+            ids = words.stretch(text)
+            hashes = words.hashed()
+            tokens += len(ids)
+            whole = ids > 0
+            for k in range(1, size):
+                whole = whole[:-1] & (ids[k:] > 0)
+            at = np.flatnonzero(whole)
+            print_ = hashes[ids[at]]
+            for k in range(1, size):
+                print_ = pair_hash(print_, hashes[ids[at + k]])
+            known = np.zeros(len(ids) + 1, bool)
+            at = at[passes(bits.value, print_)]
+            known[at] = True
+            at = at[at < len(ids) - size]  # the others are met again in the next stretch
+            head = ids[at]
+            for k, level in enumerate(phrases, 1):
+                head = level.numbers(head, ids[at + k])
+            tally.add(head << 32 | np.where(known[at + 1], ids[at + size], 0))
+            entries = sum(len(w.words) + t.size + sum(len(p.keys) for p in ps) for w, ps, t in held.values())
+            if entries > ENTRIES_HELD + WORDS_HELD or tokens > TOKENS_HELD:
                 yield from flush()
+                held = {k: (Words(k, w.last()), [Phrases() for _ in range(size - 1)], Tally()) for k, (w, _, _) in held.items()}
+                tokens = 0
         yield from flush()
 
     return run
 
 
 MERGED = "lang string, prefix string, word string, n bigint, most bigint, slot bigint"
+_KEYS = ("lang", "prefix", "shard", "shards")
+
+
+def _entries(batch: pa.RecordBatch) -> pa.Table:
+    """Entries of sorted stripes, with the number ``at`` of the stripe's key in the batch and the row it was read from."""
+    changed = np.zeros(batch.num_rows, bool)
+    for name in ("lang", "prefix", "shard"):
+        column = batch.column(name)
+        changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(batch.column("following"), " ")
+    rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4").astype(np.int64)
+    return pa.table({"at": np.cumsum(changed)[rows], "row": rows, "word": pc.list_flatten(lists), "n": counts})
 
 
 def merge_stripes(least: int) -> Callable:
-    """Merge sorted stripes elementwise. Per stripe: its frequent entries, and (``word`` NULL) its sum and its largest entry."""
+    """Merge sorted stripes elementwise. Per stripe: its frequent entries, each with the sum, and (``word`` NULL) its sum and largest entry.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: dict[str, int] = {}
-        out: list[tuple] = []
-        held, key = {}, None
-
-        def close():
-            lang, prefix, _, shards = key
-            total = sum(held.values())
-            frequent = [(w, n) for w, n in held.items() if n >= least and w]
-            if total >= least or shards > 1:
-                out.append((lang, prefix, None, total, max((n for _, n in frequent), default=0), None))
-            if frequent:
-                if lang not in seeds:
-                    seeds[lang] = xxhash.xxh64_intdigest(lang.encode())
-                last = xxhash.xxh64_intdigest(prefix.rsplit(" ", 1)[-1].encode(), seeds[lang])
-                hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seeds[lang]) for w, _ in frequent], np.uint64)
-                slots = _slot(pair_hash(np.full(len(hashes), last, np.uint64), hashes)).tolist()
-                out.extend((lang, prefix, w, n, None, slot) for (w, n), slot in zip(frequent, slots))
-
-        def rows():
-            kinds = [pa.string()] * 3 + [pa.int64()] * 3
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "word", "n", "most", "slot"])
+    The stripe at the end of a batch goes on in the next one, already merged.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds: dict[str, dict] = {}
+
+        def slot(lang: str, phrase: str) -> int:
+            if lang not in seeds:
+                seed = xxhash.xxh64_intdigest(lang.encode())
+                seeds[lang] = _Hashes(seed)
+            first, *others = (seeds[lang][w] for w in phrase.split(" "))
+            for other in others:
+                first = _pair_hash_int(first, other)
+            return first >> (64 - FILTER_BITS)
+
+        def merged(table: pa.Table) -> pa.Table:
+            out = table.group_by(["at", "word"], use_threads=False).aggregate([("n", "sum"), ("row", "min")])
+            return out.rename_columns(["at", "word", "n", "row"])
+
+        def finish(table: pa.Table, keys: pa.RecordBatch) -> pa.RecordBatch:
+            """Rows of complete stripes; ``row`` points into ``keys``."""
+            named = table.filter(pc.and_(pc.greater_equal(table["n"], least), pc.not_equal(table["word"], "")))
+            sums = table.group_by("at", use_threads=False).aggregate([("n", "sum"), ("row", "min")])
+            total = np.zeros(keys.num_rows + 1, np.int64)
+            total[sums["at"].to_numpy()] = sums["n_sum"].to_numpy()
+            before = total[named["at"].to_numpy()]
+            most = named.group_by("at", use_threads=False).aggregate([("n", "max")])
+            sums = sums.join(most, "at", use_threads=False)
+            split = pc.greater(keys.column("shards").take(sums["row_min"].combine_chunks()), 1)
+            sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), split))
+            rows = pa.concat_arrays([c.cast(pa.int64()) for c in (*named["row"].chunks, *sums["row_min"].chunks, pa.array([], pa.int64()))])
+            words = named["word"].to_pylist()
+            langs, prefixes = keys.column("lang").take(rows), keys.column("prefix").take(rows)
+            slots = [slot(lang, f"{p} {w}") for lang, p, w in zip(langs.to_pylist(), prefixes.to_pylist(), words)]
+            n, k = len(words), sums.num_rows
+            return pa.RecordBatch.from_arrays(
+                [
+                    langs, prefixes, pa.array([*words, *[None] * k], pa.string()),
+                    pa.array([*named["n"].to_pylist(), *sums["n_sum"].to_pylist()], pa.int64()),
+                    pa.array([*before.tolist(), *(m or 0 for m in sums["n_max"].to_pylist())], pa.int64()), pa.array([*slots, *[None] * k], pa.int64()),
+                ],
+                names=["lang", "prefix", "word", "n", "most", "slot"],
+            )
+
+        held, key = None, None  # entries of the stripe that may go on, and its key as a batch of one row
         for batch in batches:
-            names = ("lang", "prefix", "shard", "shards", "next", "n")
-            for *now, words, counts in zip(*(batch.column(n).to_pylist() for n in names)):
-                if now != key:
-                    if key:
-                        close()
-                    held, key = dict(zip(words, counts)), now
-                    if len(out) > 1 << 14:
-                        yield rows()
-                        out.clear()
+            if not batch.num_rows:
+                continue
+            keys = batch.select(list(_KEYS))
+            table = _entries(batch)
+            if held is not None:
+                if keys.slice(0, 1).to_pylist() == key.to_pylist():
+                    table = pa.concat_tables([held.set_column(3, "row", pa.array(np.zeros(held.num_rows, np.int64))).select(table.column_names), table])
                 else:
-                    for word, n in zip(words, counts):
-                        held[word] = held.get(word, 0) + n
-        if key:
-            close()
-        if out:
-            yield rows()
+                    yield finish(held, key)
+            table = merged(table)
+            last = pc.max(table["at"])
+            done = table.filter(pc.less(table["at"], last))
+            if done.num_rows:
+                yield finish(done, keys)
+            held = table.filter(pc.equal(table["at"], last))
+            held = held.set_column(0, "at", pa.array(np.zeros(held.num_rows, np.int64))).set_column(3, "row", pa.array(np.zeros(held.num_rows, np.int64)))
+            key = keys.slice(keys.num_rows - 1)
+        if held is not None:
+            yield finish(held, key)
 
     return run
 
 
+class _Hashes(dict):
+    """Hashes of words under one seed, computed once per word."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word.encode(), self.seed)
+        return found
+
+
 def frequency_filter(slots: DataFrame) -> np.ndarray:
     """Bits of all ``slot``s set, put together in blocks of 64; at most ``2**FILTER_BITS / 64`` rows reach the driver."""
     block = F.shiftright("slot", 6).alias("block")
@@ -356,34 +436,64 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     heavy = frequent.filter(F.col("n") * HOT_SHARES > total).collect()  # fewer than HOT_SHARES rows
     hot = send({(r["lang"], r["phrase"]): -(-r["n"] * HOT_SHARES // total) for r in heavy})
 
-    singles = _merged(rows.mapInArrow(word_stripes(send(frequency_filter(frequent)), hot), STRIPES), least)
-    pairs = send(frequency_filter(singles.filter("word IS NOT NULL")))
-    stripes = singles.unionByName(_merged(rows.mapInArrow(longer_stripes(pairs, hot), STRIPES), least))
+    bits, levels = send(frequency_filter(frequent)), []
+    for size in range(1, MAX_WORDS):
+        levels.append(_merged(rows.mapInArrow(count_stripes(size, bits, hot), STRIPES), least))
+        if size + 1 < MAX_WORDS:
+            bits = send(frequency_filter(levels[-1].filter("word IS NOT NULL")))
+    stripes = reduce(DataFrame.unionByName, levels)
 
-    entries = stripes.filter("word IS NOT NULL").select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n")
-    prefixes = stripes.filter("word IS NULL").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    entries = stripes.filter("word IS NOT NULL").select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n", F.col("most").alias("before"))
     single = F.instr("phrase", " ") == 0
-    counted = entries.unionByName(prefixes.filter(single & (F.col("n") >= least)).select("lang", "phrase", "n"))
-
-    behind = prefixes.filter(~single & (F.col("most") >= least)).select("lang", "phrase", "most")
-    ahead = entries.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), F.col("n").alias("most")).filter(~single)
-    longest = behind.unionByName(ahead).groupBy("lang", "phrase").agg(F.max("most").alias("most"))
+    prefixes = stripes.filter("word IS NULL").select("lang", F.col("prefix").alias("phrase"), "n", "most")
+    singles = prefixes.filter(single).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = entries.select("lang", "phrase", "n").unionByName(singles)
+
+    none = F.lit(None).cast("bigint")
+    behind = prefixes.filter(~single & (F.col("most") >= least)).select("lang", "phrase", none.alias("n"), none.alias("before"), "most")
+    ahead = entries.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), none.alias("n"), none.alias("before"), F.col("n").alias("most"))
+    seen = entries.withColumn("most", none).unionByName(behind).unionByName(ahead.filter(~single)).groupBy("lang", "phrase")
+    seen = seen.agg(*[F.max(c).alias(c) for c in ("n", "before", "most")])
     share, of = SUBSUMED
-    kept = entries.join(longest, ["lang", "phrase"], "left").filter(
-        F.col("most").isNull() | (F.col("most").cast("decimal(20,0)") * of < F.col("n").cast("decimal(20,0)") * share)
+    kept = seen.filter(
+        F.col("n").isNotNull() & (F.col("most").isNull() | (F.col("most").cast("decimal(20,0)") * of < F.col("n").cast("decimal(20,0)") * share))
+    ).select("lang", "phrase", F.col("n").alias("a"), _score("n", "before", "n").alias("bound"))
+    return lookup_join(_best(write_stage(kept, "phrases"), counted, top), sizes, {"lang": "lang"}).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )
 
+
+def _score(a: str, l: str, r: str) -> Column:
+    """Whole-number score, exact beyond 64 bits."""
+    return F.expr(f"(CAST({SCALE} AS DECIMAL(10,0)) * CAST({a} AS DECIMAL(20,0))) div (CAST({l} AS DECIMAL(20,0)) + CAST({r} AS DECIMAL(20,0)))")
+
+
+def _ranked(df: DataFrame, top: int, *order: Column) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.col("a").desc(), "phrase"))
+    return df.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def _cut_scores(phrases: DataFrame, counted: DataFrame) -> DataFrame:
+    """The lowest-scoring cut of each phrase; counts of its parts are looked up."""
     cut = F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k")
-    cuts = kept.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w")).select("*", cut)
+    cuts = phrases.select("lang", "phrase", "a", F.split("phrase", " ").alias("w")).select("*", cut)
     first = F.struct(F.lit(True).alias("left"), F.array_join(F.slice("w", 1, F.col("k")), " ").alias("part"))
     second = F.struct(F.lit(False).alias("left"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("part"))
     parts = cuts.select("lang", "phrase", "a", "k", F.explode(F.array(first, second)).alias("side")).select("lang", "phrase", "a", "k", "side.*")
-    found = lookup_join(parts, counted.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), {"lang": "lang", "part": "part"})
+    found = parts.join(counted.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"])
     sides = found.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"))
-    score = F.expr(f"(CAST({SCALE} AS DECIMAL(10,0)) * CAST(a AS DECIMAL(20,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
-    best = sides.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    ranked = ranked.withColumn("rank", F.col("rank").cast("bigint"))
-    return lookup_join(ranked, sizes, {"lang": "lang"}).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = sides.withColumn("score", _score("a", "l", "r")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    return best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+
+
+def _best(phrases: DataFrame, counted: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` of each language by score, without scoring all.
+
+    ``bound`` is an upper bound of the score: that of the last cut, with its right part as rare as the phrase. The phrases
+    of the highest bounds are scored first; what cannot reach the last place among them is never looked up.
+    """
+    first = _ranked(_cut_scores(_ranked(phrases, 2 * top, F.col("bound").desc()), counted), top, F.col("score").desc())
+    least = first.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("rank") == top, F.col("score"))), F.lit(0)).alias("least"))
+    least = write_stage(least.withColumnRenamed("lang", "of"), "least-scores")
+    able = phrases.join(least, (F.col("lang") == F.col("of")) & (F.col("bound") >= F.col("least"))).select(*phrases.columns)
+    return _ranked(_cut_scores(able, counted), top, F.col("score").desc())

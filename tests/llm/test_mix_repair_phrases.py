@@ -287,7 +287,7 @@ def test_stripes_survive_flushes_and_splits(monkeypatch):
         for r in b.to_pylist():
             counted[(r["phrase"],)] += r["n"]
     assert counted == Counter({p: n for p, n in f.items() if len(p) == 1})
-    parts = [r for run in (collocations.word_stripes, collocations.longer_stripes) for b in run(everything, hot)(iter(batches)) for r in b.to_pylist()]
+    parts = [r for size in (1, 2, 3) for b in collocations.count_stripes(size, everything, hot)(iter(batches)) for r in b.to_pylist()]
     parts.sort(key=lambda r: (r["lang"], r["prefix"], r["shard"]))
     assert {r["shard"] for r in parts if r["prefix"] == "the"} <= set(range(5)) and len(parts) > 1000
     table = pa.RecordBatch.from_pylist(parts)
@@ -298,4 +298,15 @@ def test_stripes_survive_flushes_and_splits(monkeypatch):
     for r in merged:
         if r["word"] is None:
             totals[tuple(r["prefix"].split(" "))] += r["n"]
-    assert totals == Counter({p: n for p, n in f.items() if len(p) < 4})
+    assert {p: n for p, n in totals.items() if len(p) == 1} == {p: n for p, n in f.items() if len(p) == 1}
+    assert all(n <= f[p] for p, n in totals.items())
+    one = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(t for _, t in rows).encode()]})]
+    whole = Counter()
+    for _, words in [(0, w) for w in pieces_of(" ".join(t for _, t in rows))]:
+        whole.update(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    cut = Counter()
+    for b in collocations.count_stripes(2, everything, Sent({}))(iter(one)):
+        for r in b.to_pylist():
+            for word, n in zip(r["following"].split(" "), collocations.np.frombuffer(r["counts"], "<u4").tolist()):
+                cut[(*r["prefix"].split(" "), word)] += n if word else 0
+    assert {p: n for p, n in cut.items() if n} == dict(whole)
