@@ -1,9 +1,9 @@
 """Phrase collocation mining by stripes.
 
 A stripe is a prefix of one to three words with a counter of the words that follow it. Tasks keep stripes of what they
-read, and stripes of one prefix are merged elementwise. One merged stripe gives the frequent phrases one word longer,
-how often the prefix itself occurs (the sum, with a rest entry for everything not counted by word) and its most
-frequent extension, which tells whether a longer phrase subsumes it.
+read, and stripes of one prefix are merged elementwise. One merged stripe gives the frequent phrases one word longer, a
+lower bound of how often the prefix occurs (the sum, with a rest entry for what is not counted by word; it bounds the
+score from above) and its most frequent extension, which tells whether a longer phrase subsumes it.
 
 Words, then pairs, that occur too rarely are left out beforehand by a filter of fixed size that lets everything
 frequent pass; what it lets pass wrongly is counted exactly and dropped afterwards. Stripes of very frequent words are
@@ -246,8 +246,8 @@ class Phrases:
 def count_stripes(size: int, bits, hot) -> Callable:
     """Stripes of phrases of ``size`` words that pass the filter.
 
-    A following word is counted by name if the phrase that starts one word later passes as well, else as the rest. Beyond
-    single words, rests are only counted beside a named word: their sum is a lower bound of the prefix's occurrences.
+    A following word is counted by name if the phrase that starts one word later passes as well, else as the rest. Rests are
+    only handed on beside a named word, so the sum of a stripe is a lower bound of the prefix's occurrences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +258,11 @@ def count_stripes(size: int, bits, hot) -> Callable:
             for words, phrases, tally in held.values():
                 keys, counts = tally.merge()
                 head, following = keys >> 32, keys & 0xFFFFFFFF
-                if size > 1:
-                    named = np.zeros(len(phrases[-1].keys), bool)
+                if len(head):
+                    named = np.zeros(head.max() + 1, bool)
                     named[head[following > 0]] = True
-                    head, following, counts = head[named[head]], following[named[head]], counts[named[head]]
+                    kept = named[head]
+                    head, following, counts = head[kept], following[kept], counts[kept]
                 if len(head):
                     prefix = []
                     for level in reversed(phrases):
@@ -318,7 +319,7 @@ def _entries(batch: pa.RecordBatch) -> pa.Table:
 
 
 def merge_stripes(least: int) -> Callable:
-    """Merge sorted stripes elementwise. Per stripe: its frequent entries, each with the sum, and (``word`` NULL) its sum and largest entry.
+    """Merge sorted stripes elementwise. Per stripe: its frequent entries, each with the sum, and (``word`` NULL) its sum and largest entry if there are any.
 
     The stripe at the end of a batch goes on in the next one, already merged.
     """
@@ -347,9 +348,7 @@ def merge_stripes(least: int) -> Callable:
             total[sums["at"].to_numpy()] = sums["n_sum"].to_numpy()
             before = total[named["at"].to_numpy()]
             most = named.group_by("at", use_threads=False).aggregate([("n", "max")])
-            sums = sums.join(most, "at", use_threads=False)
-            split = pc.greater(keys.column("shards").take(sums["row_min"].combine_chunks()), 1)
-            sums = sums.filter(pc.or_(pc.greater_equal(sums["n_sum"], least), split))
+            sums = sums.join(most, "at", join_type="inner", use_threads=False)
             rows = pa.concat_arrays([c.cast(pa.int64()) for c in (*named["row"].chunks, *sums["row_min"].chunks, pa.array([], pa.int64()))])
             words = named["word"].to_pylist()
             langs, prefixes = keys.column("lang").take(rows), keys.column("prefix").take(rows)
@@ -359,7 +358,7 @@ def merge_stripes(least: int) -> Callable:
                 [
                     langs, prefixes, pa.array([*words, *[None] * k], pa.string()),
                     pa.array([*named["n"].to_pylist(), *sums["n_sum"].to_pylist()], pa.int64()),
-                    pa.array([*before.tolist(), *(m or 0 for m in sums["n_max"].to_pylist())], pa.int64()), pa.array([*slots, *[None] * k], pa.int64()),
+                    pa.array([*before.tolist(), *sums["n_max"].to_pylist()], pa.int64()), pa.array([*slots, *[None] * k], pa.int64()),
                 ],
                 names=["lang", "prefix", "word", "n", "most", "slot"],
             )
@@ -446,8 +445,7 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     entries = stripes.filter("word IS NOT NULL").select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n", F.col("most").alias("before"))
     single = F.instr("phrase", " ") == 0
     prefixes = stripes.filter("word IS NULL").select("lang", F.col("prefix").alias("phrase"), "n", "most")
-    singles = prefixes.filter(single).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counted = entries.select("lang", "phrase", "n").unionByName(singles)
+    counted = entries.select("lang", "phrase", "n").unionByName(frequent.select("lang", "phrase", "n"))
 
     none = F.lit(None).cast("bigint")
     behind = prefixes.filter(~single & (F.col("most") >= least)).select("lang", "phrase", none.alias("n"), none.alias("before"), "most")
