@@ -77,6 +77,51 @@ def test_dbscan_edges_of_a_crowded_cell_do_not_grow_with_its_points(make):
     assert edges(4000) <= 2 * edges(400)
 
 
+def two_arcs(n, gap):
+    """Two crowded sets whose boxes reach each other: arcs of one centre, ``gap`` apart."""
+    rng = np.random.default_rng(n)
+    angle = rng.uniform(0.3, 1.2, (2, n))
+    radius = np.array([[0.25], [0.25 + gap]]) + rng.uniform(0, 0.02, (2, n)) * np.array([[-1], [1]])
+    return radius * np.cos(angle), radius * np.sin(angle)
+
+
+@pytest.mark.parametrize("gap,meets", [(0.3001, 0), (0.2999, 1)])
+def test_crowded_cells_are_compared_in_linear_work(make, spark, gap, meets):
+    """Box pairs looked at between two sets of n points that just miss, or just meet, each other grow no faster than n."""
+    from reviewmill.operators.meeting import meeting_pairs
+
+    looked = {}
+    for n in (2_000, 16_000):
+        x, y = two_arcs(n, gap)
+        rows = [([int(i), 0], float(a), float(b)) for i in (0, 1) for a, b in zip(x[i], y[i])]
+        points = make(rows, "cell array<bigint>, x double, y double")
+        pairs = make([(1, 2, [0, 0], [1, 0])], "a int, b int, cell_a array<bigint>, cell_b array<bigint>")
+        watch = []
+        met = meeting_pairs(pairs, points, ["x", "y"], 0.3, 0.4, watch).count()
+        if meets == 0:
+            assert met == 0
+        looked[n] = sum(watch)
+    assert looked[16_000] < 8 * looked[2_000] + 100 and looked[16_000] < 16_000
+
+
+def test_meeting_equals_brute_force(make):
+    from reviewmill.operators.meeting import meeting_pairs
+
+    rng = np.random.default_rng(5)
+    sets = {i: rng.normal(rng.uniform(-1, 1, 3), 0.12, (rng.integers(1, 120), 3)) for i in range(14)}
+    rows = [([i], *map(float, p)) for i, ps in sets.items() for p in ps]
+    pairs = [(i, j, [i], [j]) for i in sets for j in sets if i < j]
+    want = {
+        (i, j) for i, j, _, _ in pairs if (((sets[i][:, None] - sets[j][None]) ** 2).sum(axis=2) <= 0.4**2).any()
+    }
+    met = meeting_pairs(
+        make(pairs, "a int, b int, cell_a array<bigint>, cell_b array<bigint>"), make(rows, "cell array<bigint>, x double, y double, z double"), ["x", "y", "z"], 0.4, 0.23
+    )
+    assert {(r["a"], r["b"]) for r in met.collect()} == want and 3 < len(want) < len(pairs)
+    none = make([], "a int, b int, cell_a array<bigint>, cell_b array<bigint>")
+    assert meeting_pairs(none, make(rows, "cell array<bigint>, x double, y double, z double"), ["x", "y", "z"], 0.4, 0.23).count() == 0
+
+
 def test_components_of_a_long_chain(make):
     vertices = make([(i,) for i in range(40)], "v int")
     edges = make([(i, i + 1) for i in range(0, 29)] + [(35, 33)], "a int, b int")
@@ -110,6 +155,45 @@ def test_silhouette_equals_brute_force(make):
     assert one["silhouette"] is None
 
 
+def brute_euclidean(points, labels):
+    gaps = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    names, at = np.unique(labels, return_inverse=True)
+    sizes = np.bincount(at)
+    sums = gaps @ np.eye(len(names))[at]
+    own = np.arange(len(points)), at
+    inner = sums[own] / np.maximum(1, sizes[at] - 1)
+    means = sums / sizes
+    means[own] = np.inf
+    outer = means.min(axis=1)
+    return float(np.where(sizes[at] == 1, 0.0, (outer - inner) / np.maximum(inner, outer)).mean())
+
+
+@pytest.mark.parametrize("nodes,bound", [(20_000, 1e-12), (2_000, 0.004), (200, 0.05)])
+def test_euclidean_silhouette_is_within_its_bound(make, nodes, bound):
+    """5,000 rows against brute force: exact with a node for every point, else off by no more than the stated error."""
+    from reviewmill.operators.euclid import euclidean_silhouette
+
+    rng = np.random.default_rng(11)
+    points = np.vstack([rng.normal(c, 0.5, (1245, 3)) for c in (0.0, 1.5, 3.0, 9.0)] + [np.full((19, 3), 2.0), rng.uniform(-9, 9, (1, 3))])
+    labels = np.r_[np.repeat([0, 1, 2, 2], 1245), np.repeat(3, 19), 7]
+    df = make([(int(c), *map(float, p)) for c, p in zip(labels, points)], "c int, x double, y double, z double")
+    row = euclidean_silhouette(df, ["x", "y", "z"], "c", nodes).first()
+    off = abs(row["silhouette"] - brute_euclidean(points, labels))
+    assert off <= row["error"] + 1e-9 and row["error"] < bound
+    assert (row["n_rows"], row["clusters"]) == (5000, 5)
+
+
+def test_euclidean_silhouette_of_odd_tables(make):
+    from reviewmill.operators.euclid import euclidean_silhouette
+
+    schema = "c string, x double"
+    assert euclidean_silhouette(make([], schema), ["x"], "c").first()["silhouette"] is None
+    assert euclidean_silhouette(make([("a", 1.0)] * 3, schema), ["x"], "c").first()["silhouette"] is None
+    assert euclidean_silhouette(make([("a", 1.0), ("b", 2.0)], schema), ["x"], "c").first()["silhouette"] is None
+    row = euclidean_silhouette(make([("a", 1.0), ("a", 1.0), (None, 1.0), (None, 1.0)], schema), ["x"], "c").first()
+    assert (row["silhouette"], row["error"], row["clusters"]) == (0.0, 0.0, 2)
+
+
 def test_choice_of_cluster_count():
     assert clustering.choose_clusters([(2, 9.0, 0.5), (3, 5.0, 0.7), (4, 4.0, 0.7)]) == 3
     nan = float("nan")
