@@ -98,7 +98,8 @@ REGRESSION_TEST_SHARE = 0.2
 SEED = 42
 PAGE_ROWS = 20_000
 RELEASE_LABELS_MAX = 16
-KMEANS_STARTS = 3
+KMEANS_STARTS = 10  # per candidate k
+KMEANS_FINAL_STARTS = 20  # of the chosen k
 K_RANGE = (2, 6)
 DBSCAN_EPS = 0.8
 DBSCAN_MIN_POINTS = 10

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from reviewmill.constants import SEED
 from reviewmill.operators.lookup import lookup_join
+from reviewmill.operators.svm import MAX_STEPS, LinearClassifier, fit_squared_hinge
 from reviewmill.session import ensure_checkpoint_dir
 
 VECTOR = "features"
 ROWS_PER_TASK = 50_000
-SVC_TOLERANCE = 1e-4
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -42,14 +42,10 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     return lookup_join(df, weights, {label: "_label"})
 
 
-def fit_linear_svc(train: DataFrame, label: str = "label", max_iter: int = 4000):
-    """One-vs-rest linear SVM, balanced weights. MLlib minimises hinge loss."""
+def fit_linear_svc(train: DataFrame, label: str = "label", max_steps: int = MAX_STEPS) -> LinearClassifier:
+    """One-vs-rest linear SVM with squared hinge loss, C = 1 and balanced weights."""
     rows = with_class_weights(train, label).withColumn(label, F.col(label).cast("double"))
-    total = rows.count()
-    svm = LinearSVC(maxIter=max_iter, tol=SVC_TOLERANCE, regParam=1.0 / max(total, 1))
-    return OneVsRest(
-        classifier=svm, labelCol=label, featuresCol=VECTOR, weightCol="weight", parallelism=4
-    ).fit(pack(rows))
+    return fit_squared_hinge(pack(rows), label, "weight", max_steps=max_steps)
 
 
 def fit_random_forest(train: DataFrame, label: str = "label", trees: int = 200, depth: int = 12):

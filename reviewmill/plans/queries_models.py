@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from reviewmill.functions.reviews import label_sentiment, row_key
@@ -17,10 +17,12 @@ from reviewmill.operators import evaluation as ev
 from reviewmill.operators import models as md
 from reviewmill.operators.dbscan import core_points, dbscan
 from reviewmill.operators.encoding import encode_labels, label_codes
+from reviewmill.operators.euclid import euclidean_silhouette
 from reviewmill.operators.filters import complete_cases
 from reviewmill.operators.harmonize import numeric_columns, resolve_target
 from reviewmill.operators.scaling import LinearScaler
 from reviewmill.operators.splits import random_split
+from reviewmill.operators.svm import LinearClassifier, fit_squared_hinge
 from reviewmill.plans import fixtures as fx
 from reviewmill.plans.modeling import training_part
 from reviewmill.plans.registry import query
@@ -241,7 +243,7 @@ def classifier_facts(spark, sf_dir):
     total = importances.agg(F.sum("importance")).first()[0]
     found = []
     for name, (model, tested), load in (
-        ("linear_svc", _svc(spark, sf_dir), OneVsRestModel.load),
+        ("linear_svc", _svc(spark, sf_dir), LinearClassifier.load),
         ("random_forest", _forest(spark, sf_dir), RandomForestClassificationModel.load),
     ):
         again = load(writers.write_model(model, stage_path(spark, "models"), name)).transform(rows)
@@ -258,6 +260,26 @@ def classifier_facts(spark, sf_dir):
     )
 
 
+@query("linear_svc_facts", """
+SELECT CAST(count(*) AS BIGINT) AS test_rows, true AS above_majority, true AS at_the_optimum FROM embeddings WHERE vec_id % 4 = 0""")
+def linear_svc_facts(spark, sf_dir):
+    """A target that the features carry: test accuracy above the majority class, and a gradient of zero at the weights found."""
+    names = [f"e{i}" for i in range(16)]
+    raw = fx.table(spark, sf_dir, "embeddings")
+    rows = md.assemble(raw.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names)
+    target = F.when(F.col("e0") + F.col("e1") > 0.05, 2).when(F.col("e2") > 0, 1).otherwise(0).cast("double")
+    rows = rows.withColumn("label", target)
+    model = md.fit_linear_svc(rows.filter("vec_id % 4 <> 0").select("label", "features"))
+    tested = model.transform(rows.filter("vec_id % 4 = 0")).select("label", "prediction")
+    n, right = tested.agg(F.count(F.lit(1)), F.count_if(F.col("label") == F.col("prediction"))).first()
+    most = tested.groupBy("label").count().agg(F.max("count")).first()[0]
+    again = fit_squared_hinge(
+        md.with_class_weights(rows.filter("vec_id % 4 <> 0").select("label", "features"), "label"), weight="weight", tolerance=1e-9
+    )
+    near = all(abs(a - b) <= 1e-4 * b for a, b in zip(model.objective, again.objective))
+    return spark.createDataFrame([(n, right > most, near)], "test_rows bigint, above_majority boolean, at_the_optimum boolean")
+
+
 @query("write_eval_report")
 def write_eval_report(spark, sf_dir):
     """One document on both classifiers: scores, confusion, label codes, selected features, model paths, fit times."""
@@ -391,15 +413,42 @@ _SUMS = "sums AS (SELECT cluster, count(*) AS n, " + ", ".join(f"sum({c}) AS s_{
 )
 
 
+_PAIR = " + ".join(f"(p.{c} - q.{c}) ** 2" for c in _NUMERIC)
+
+
 @query("silhouette_sampled", from_stage("cleaned", f"""
+SELECT {r6('sum(w * CASE WHEN size > 1 AND greatest(inner_d, outer_d) > 0 THEN (outer_d - inner_d) / greatest(inner_d, outer_d) ELSE 0 END) / sum(w)', 'silhouette')},
+ CAST(sum(w) AS BIGINT) AS n_rows, (SELECT count(DISTINCT cluster) FROM points) AS clusters FROM (
+ SELECT id, any_value(w) AS w, max(n) FILTER (mine) AS size, max(total / greatest(n - 1, 1)) FILTER (mine) AS inner_d, min(total / n) FILTER (NOT mine) AS outer_d
+ FROM (SELECT p.id, p.w, p.cluster = q.cluster AS mine, CAST(sum(q.w) AS BIGINT) AS n, sum(q.w * sqrt({_PAIR})) AS total
+   FROM marked p, marked q GROUP BY p.id, p.w, p.cluster, q.cluster)
+ GROUP BY id)""", _POINTS,
+    f"marked AS (SELECT row_number() OVER () AS id, cluster, {', '.join(_NUMERIC)}, count(*) AS w FROM points GROUP BY ALL)"))
+def silhouette_all(spark, sf_dir):
+    """In Euclidean distance over all rows: nothing is sampled. With no more distinct rows than nodes it is exact."""
+    names, labelled = _fixed_clusters(spark, sf_dir)
+    return euclidean_silhouette(labelled, names, "cluster").drop("error")
+
+
+@query("silhouette_bound", from_stage("cleaned", "SELECT count(*) AS n_rows, true AS within_bound, true AS bound_below_hundredth FROM complete", _POINTS))
+def silhouette_bound(spark, sf_dir):
+    """With few nodes, the result is off by no more than the stated error, which stays small."""
+    names, labelled = _fixed_clusters(spark, sf_dir)
+    rough = euclidean_silhouette(labelled, names, "cluster", 1_024).first()
+    fine = euclidean_silhouette(labelled, names, "cluster")
+    off = F.abs(F.col("silhouette") - rough["silhouette"])
+    return fine.select("n_rows", (off <= rough["error"] + F.col("error") + 1e-9).alias("within_bound"), F.lit(rough["error"] < 0.01).alias("bound_below_hundredth"))
+
+
+@query("silhouette_squared", from_stage("cleaned", f"""
 SELECT {r6('avg(CASE WHEN size > 1 AND greatest(inner_d, outer_d) > 0 THEN (outer_d - inner_d) / greatest(inner_d, outer_d) ELSE 0 END)', 'silhouette')},
  count(*) AS n_rows, (SELECT count(*) FROM sums) AS clusters FROM (
  SELECT row_key, max(n) FILTER (mine) AS size, max(total / greatest(n - 1, 1)) FILTER (mine) AS inner_d, min(total / n) FILTER (NOT mine) AS outer_d
  FROM (SELECT p.row_key, p.cluster = c.cluster AS mine, c.n,
    greatest(({_NORM}) * c.n + c.q - 2 * ({' + '.join(f'p.{c} * c.s_{c}' for c in _NUMERIC)}), 0) AS total FROM points p, sums c)
  GROUP BY row_key)""", _POINTS, _SUMS))
-def silhouette_all(spark, sf_dir):
-    """Over all rows: nothing is sampled any more."""
+def silhouette_squared(spark, sf_dir):
+    """In squared distance, which needs sums per cluster only."""
     names, labelled = _fixed_clusters(spark, sf_dir)
     return cl.silhouette(labelled, names, "cluster")
 
@@ -442,13 +491,12 @@ def choose_k_clusters(spark, sf_dir):
 
 
 def _kmeans(spark, sf_dir):
-    """(model, labelled points): the model that the sweep has already fitted."""
+    """(model, labelled points): the chosen number of clusters, fitted again from more starts."""
 
     def build():
         names, _, points = _points(spark, sf_dir)
-        sweep = _sweep(spark, sf_dir)
-        model = next(row[3] for row in sweep if row[0] == cl.choose_clusters(sweep))
-        return model, write_stage(model.transform(md.assemble(points, names)).drop(md.VECTOR), "kmeans")
+        model = cl.final_kmeans(points, names, cl.choose_clusters(_sweep(spark, sf_dir)))
+        return model, write_stage(model.transform(points), "kmeans")
 
     return fx._once(spark, sf_dir, "kmeans", build)
 
@@ -459,14 +507,13 @@ def kmeans(spark, sf_dir):
 
 
 @query("kmeans_facts", from_stage("cleaned", """
-SELECT count(*) AS n_rows, count(*) AS at_nearest, true AS inertia_agrees, true AS best_of_sweep FROM complete""", _POINTS))
+SELECT count(*) AS n_rows, count(*) AS at_nearest, true AS inertia_agrees, true AS best_of_sweep, true AS near_full FROM complete""", _POINTS))
 def kmeans_facts(spark, sf_dir):
-    """What must hold of the final k-means: all rows labelled, each at its nearest centre, inertia as recomputed."""
-    names, _, _ = _points(spark, sf_dir)
+    """What must hold of the final k-means: all rows labelled, each at its nearest centre, inertia as recomputed, k the best of
+    the sweep, and inertia at most 2 % above that of full k-means."""
+    names, _, points = _points(spark, sf_dir)
     model, labelled = _kmeans(spark, sf_dir)
-    distances = [
-        sum(((F.col(f) - float(c)) ** 2 for f, c in zip(names, centre)), F.lit(0.0)) for centre in model.clusterCenters()
-    ]
+    distances = model.distances()
     own = F.lit(None).cast("double")
     for i, d in enumerate(distances):
         own = F.when(F.col("cluster") == i, d).otherwise(own)
@@ -474,10 +521,21 @@ def kmeans_facts(spark, sf_dir):
     sweep = _sweep(spark, sf_dir)
     best = max(row[2] for row in sweep)
     chosen = next(row for row in sweep if row[0] == len(distances))
+    full = cl.fit_full_kmeans(md.assemble(points, names), len(distances)).summary.trainingCost
     return found.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("own") <= F.col("least") + 1e-9).alias("at_nearest"),
-        (F.abs(F.sum("own") / F.lit(chosen[1]) - 1) < 1e-6).alias("inertia_agrees"),
-    ).withColumn("best_of_sweep", F.lit(chosen[2] == best))
+        (F.abs(F.sum("own") / F.lit(model.inertia) - 1) < 1e-6).alias("inertia_agrees"),
+    ).withColumns({"best_of_sweep": F.lit(chosen[2] == best), "near_full": F.lit(model.inertia <= 1.02 * full)})
+
+
+@query("chart_elbow_facts", from_stage("cleaned", """
+SELECT k AS k, true AS falls, true AS in_range FROM (VALUES (2), (3), (4), (5), (6)) v(k)""", _POINTS))
+def chart_elbow_facts(spark, sf_dir):
+    """Inertia falls from one k to the next, and silhouettes lie between -1 and 1."""
+    sweep = _sweep(spark, sf_dir)
+    before = [float("inf"), *[row[1] for row in sweep]]
+    rows = [(k, inertia <= last, -1 <= score <= 1) for (k, inertia, score, _), last in zip(sweep, before)]
+    return spark.createDataFrame(rows, "k int, falls boolean, in_range boolean")
 
 
 @query("kmeans_centroids")
@@ -529,6 +587,23 @@ def dbscan_facts(spark, sf_dir):
     )
 
 
+_CORES = f"cores AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {', '.join(_NUMERIC)}) AS id FROM reaches WHERE reach >= 10)"
+_LINKS = f"links AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM cores p, cores q WHERE p.id <> q.id AND {_WITHIN})"
+_PARTS = """parts(v, l) USING KEY (v) AS (SELECT id, id FROM cores UNION
+ SELECT k.b, min(p.l) FROM parts p JOIN links k ON k.a = p.v JOIN recurring.parts r ON r.v = k.b WHERE p.l < r.l GROUP BY k.b)"""
+
+
+@query("dbscan_clusters", from_stage("cleaned", f"""
+SELECT row_number() OVER (ORDER BY min(row_key)) - 1 AS cluster, count(*) AS core_rows, min(row_key) AS smallest, max(row_key) AS largest
+FROM points JOIN cores USING ({', '.join(_NUMERIC)}) JOIN parts ON v = id GROUP BY l""", _POINTS, _SPOTS, _REACHES, _CORES, _LINKS, _PARTS, recursive=True))
+def dbscan_clusters(spark, sf_dir):
+    """Core rows of every cluster with the smallest and largest key: each connected, no two within reach."""
+    core = dbscan_core_points(spark, sf_dir).filter("core")
+    return _dbscan(spark, sf_dir).join(core, "row_key").groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("core_rows"), F.min("row_key").alias("smallest"), F.max("row_key").alias("largest")
+    )
+
+
 @query("pca_2d", from_stage("cleaned", f"""
 SELECT count(*) AS n_rows, 0.0 AS mean_1, 0.0 AS mean_2, 0.0 AS cross_12 FROM complete""".replace("0.0", "CAST(0 AS DOUBLE)"), _POINTS))
 def pca_2d(spark, sf_dir):

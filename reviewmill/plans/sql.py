@@ -181,10 +181,10 @@ _CHAIN = ["reviews", "merged", "clean_rows", "cleaned", "features", "split"]
 _TEXT = dict(zip(_CHAIN, [REVIEWS, MERGED, CLEAN_ROWS, CLEANED, FEATURES, SPLIT]))
 
 
-def from_stage(stage: str, select: str, *extra: str) -> str:
-    """``select`` on top of all stages up to ``stage``; ``extra`` adds more table expressions."""
+def from_stage(stage: str, select: str, *extra: str, recursive: bool = False) -> str:
+    """``select`` on top of all stages up to ``stage``; ``extra`` adds more table expressions, which may be ``recursive``."""
     parts = [_TEXT[name] for name in _CHAIN[: _CHAIN.index(stage) + 1]]
-    return "WITH " + ",".join([*parts, *extra]) + "\n" + select
+    return f"WITH {'RECURSIVE ' * recursive}" + ",".join([*parts, *extra]) + "\n" + select
 
 
 def r6(expression: str, alias: str | None = None) -> str:

@@ -217,7 +217,7 @@ def test_classifiers_beat_the_majority_class(spark):
     train, test = df.filter("vec_id % 4 != 0"), df.filter("vec_id % 4 = 0")
     majority = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
     for fit in (
-        lambda d: models.fit_linear_svc(d, max_iter=50),
+        models.fit_linear_svc,
         lambda d: models.fit_random_forest(d, trees=30, depth=6),
     ):
         predicted = fit(train.select("label", "features")).transform(test)
@@ -238,6 +238,72 @@ def test_regressors_beat_the_mean(spark):
     assert {r["feature"] for r in top} == {"e0", "e1"}
 
 
+def numpy_svm(x, sign, weight, cost=1.0):
+    """Newton with backtracking on the whole matrix."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    value = lambda v: 0.5 * v @ v + cost * (weight * np.maximum(0, 1 - sign * (x @ v)) ** 2).sum()
+    for _ in range(100):
+        short = np.maximum(0, 1 - sign * (x @ w))
+        on = short > 0
+        grad = w - 2 * cost * x.T @ (weight * sign * short)
+        if np.linalg.norm(grad) < 1e-10:
+            break
+        step = np.linalg.solve(np.eye(len(w)) + 2 * cost * (x[on] * weight[on, None]).T @ x[on], -grad)
+        t = 1.0
+        while value(w + t * step) > value(w) and t > 1e-12:
+            t /= 2
+        w = w + t * step
+    return value(w)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_squared_hinge_reaches_the_numpy_optimum(make, monkeypatch, tmp_path, dense):
+    from pyspark.ml.linalg import Vectors
+
+    from reviewmill.operators import svm
+
+    if not dense:
+        monkeypatch.setattr(svm, "MAX_DENSE", 1)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 4)) * [1, 5, 0.2, 1] + [0, 3, 0, 0]
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=240) > 0.5, 2, np.where(x[:, 1] > 3, 1, 0))
+    w = rng.uniform(0.5, 2, 240)
+    df = make([(float(a), float(b), Vectors.dense(r)) for a, b, r in zip(y, w, x)], None).toDF("label", "weight", "features").repartition(3)
+    model = svm.fit_squared_hinge(df, weight="weight")
+    for c, got in zip(model.classes, model.objective):
+        want = numpy_svm(x, np.where(y == c, 1.0, -1.0), w)
+        assert want - 1e-9 <= got <= want * (1 + 1e-4)
+    right = model.transform(df).filter("prediction = label").count()
+    assert right > 0.85 * 240
+    again = svm.LinearClassifier.load(model.save(str(tmp_path / "svm")))
+    assert (again.weights == model.weights).all() and again.classes == model.classes
+    one = svm.fit_squared_hinge(df.filter("label = 1"))
+    assert {r["prediction"] for r in one.transform(df).collect()} == {1.0}
+
+
+def test_minibatch_kmeans_is_as_good_as_full(make):
+    from reviewmill.operators.minibatch import fit_minibatch
+
+    rng = np.random.default_rng(12)
+    points = np.vstack([rng.normal(c, s, (700, 3)) for c, s in ((0, 1.0), (2.5, 0.7), (5, 0.3), (-4, 1.5))])
+    names = ["x", "y", "z"]
+    df = make([tuple(map(float, p)) for p in rng.permutation(points)], "x double, y double, z double").repartition(4)
+    fitted = fit_minibatch(df, names, [2, 4, 5], starts=6)
+    vectors = models.assemble(df, names)
+    for k, model in fitted.items():
+        full = clustering.fit_full_kmeans(vectors, k).summary.trainingCost
+        assert model.inertia <= 1.02 * full
+        labelled = model.transform(df)
+        gaps = ((points[:, None] - np.array(model.clusterCenters())[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert model.inertia == pytest.approx(gaps) and labelled.select("cluster").distinct().count() == k
+    assert fit_minibatch(df, names, [4], starts=6)[4].inertia == pytest.approx(fitted[4].inertia, rel=0.02)
+    same = fit_minibatch(make([(1.0, 1.0, 1.0)] * 5, "x double, y double, z double"), names, [3], starts=2)[3]
+    assert same.inertia == 0 and len(same.clusterCenters()) == 3
+    with pytest.raises(ValueError):
+        fit_minibatch(df.limit(0), names, [2])
+
+
 def test_class_weights(make):
     df = make([("a",)] * 6 + [("b",)] * 2, "y string")
     assert {r["y"]: r["weight"] for r in models.with_class_weights(df, "y").collect()} == {
