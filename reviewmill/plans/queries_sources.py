@@ -51,6 +51,12 @@ def scan_reviews_csv(spark, sf_dir):
     return _typed(readers.read_csv(spark, _csv_of_merged(spark, sf_dir)))
 
 
+@query("scan_reviews_csv_split", _MERGED_SQL)
+def scan_reviews_csv_split(spark, sf_dir):
+    """The same file, read by byte ranges although its values hold line breaks."""
+    return _typed(readers.read_csv(spark, _csv_of_merged(spark, sf_dir), split=True))
+
+
 @query("write_csv", from_stage("merged", """
 SELECT count(*) AS n_rows, count(review_id) AS n_ids, count(content) AS n_content,
  CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(thumbs_up) AS BIGINT) AS votes FROM merged"""))
