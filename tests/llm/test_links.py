@@ -158,36 +158,16 @@ def test_lines_link_small_edits(make):
     assert all(r["places"] == [0] for r in out)
 
 
-def test_line_groups_equal_brute_force_on_candidates(spark):
-    """Every two lines within three bits share a block, so brute force over all pairs must agree."""
+def test_simhashes_do_not_depend_on_the_batch(spark):
+    """A line's print is the same alone and among others. Groups are held against all pairs of the data further below."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    seen = {}
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        for place, line in enumerate((r["text"] or "").split("\n")):
-            plain = lines.normal_line(line.encode())
-            if len(plain.split()) >= lines.MIN_WORDS:
-                seen.setdefault(plain, []).append((r["doc_id"], place))
-    texts = list(seen)
+    texts = sorted({lines.normal_line(line.encode()) for r in docs.collect() for line in (r["text"] or "").split("\n")} - {""})
+    texts = [t for t in texts if len(t.split()) >= lines.MIN_WORDS]
     hashes = [lines.word_hashes(t.encode().split()) for t in texts]
     halves = lines.simhashes(np.concatenate(hashes), np.array([len(h) for h in hashes]))
-    prints = [int(h) << 64 | int(l) for h, l in halves]
-    assert (lines.simhashes(hashes[5], np.array([len(hashes[5])]))[0] == halves[5]).all()
-    blocks = [[p >> s & 0xFFFFFFFF for s in (0, 32, 64, 96)] for p in prints]
-    pairs = [
-        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
-        if any(x == y for x, y in zip(blocks[i], blocks[j])) and (prints[i] ^ prints[j]).bit_count() <= lines.MAX_BITS and lines.alike(texts[i], texts[j])
-    ]
-    label = groups_of(pairs, range(len(texts)))
-    groups = {}
-    for i, t in enumerate(texts):
-        groups.setdefault(label[i], []).extend(seen[t])
-    gone = {}
-    for places in groups.values():
-        for doc, place in sorted(places)[1:]:
-            gone.setdefault(doc, []).append(place)
-    out = {r["doc_id"]: r for r in catalog.QUERIES["op10_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
-    assert len(out) == docs.count()
-    assert {d: r["removed"] for d, r in out.items() if r["n_removed"]} == {d: ",".join(map(str, sorted(p))) for d, p in gone.items()}
+    assert len(texts) > 100
+    for i in range(0, len(texts), 7):
+        assert (lines.simhashes(hashes[i], np.array([len(hashes[i])]))[0] == halves[i]).all()
 
 
 def test_lines_with_a_changed_word_are_found(make):
