@@ -6,8 +6,9 @@ lower bound of how often the prefix occurs (the sum, with a rest entry for what
 score from above) and its most frequent extension, which tells whether a longer phrase subsumes it.
 
 Words, then pairs, that occur too rarely are left out beforehand by a filter of fixed size that lets everything
-frequent pass; what it lets pass wrongly is counted exactly and dropped afterwards. Stripes of very frequent words are
-split by the following word, in proportion to their share.
+frequent pass; what it lets pass wrongly is counted exactly and dropped afterwards. Stripes travel in bundles, whose number
+follows that of the shuffle partitions; stripes of very frequent words are split over several by the following word, in
+proportion to their share.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FILTER_BITS = 25  # 4 MB
 HOT_SHARES = 500  # words with more than one in so many occurrences have split stripes; there are fewer than that
 WORDS_HELD = 1 << 20  # distinct words a task keeps before it hands on what it counted
 ENTRIES_HELD = 1 << 21
+ENTRIES_AT_ONCE = 1 << 16
+BUNDLES = 16  # per language and shuffle partition
 BYTES_AT_ONCE = 1 << 22
 TOKENS_HELD = 1 << 31
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # end a piece
@@ -187,40 +190,59 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-STRIPES = "lang string, prefix string, shard int, shards int, following string, counts binary"
+STRIPES = "lang string, bundle int, prefixes string, sizes binary, following string, counts binary"
 
 
-def _stripe_rows(words: Words, prefix: list[np.ndarray], following: np.ndarray, counts: np.ndarray, hot: dict) -> Iterator[pa.RecordBatch]:
-    """Stripes of one language: words that follow, joined by spaces (nothing for the rest), and their packed counts."""
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers of each row side by side, as binary."""
+    data = values.astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _stripe_rows(words: Words, prefix: list[np.ndarray], following: np.ndarray, counts: np.ndarray, hot: dict, bundles: int) -> Iterator[pa.RecordBatch]:
+    """Stripes of one language in bundles, so that short stripes are not rows of their own.
+
+    A bundle holds its prefixes (one a line), the entries of each, and all words that follow (nothing stands for the rest) with
+    their counts. Which bundle an entry goes to follows from the prefix and, for split stripes, from the word.
+    """
     names = [w.decode() for w in words.words]
     names[0] = ""
+    hashes = words.hashed()
     by_word = np.array([hot.get((words.lang, w), 1) for w in names], np.int64) if hot else np.ones(len(names), np.int64)
-    shards = np.minimum.reduce([by_word[p] for p in prefix])
-    spread = (words.hashed()[following] >> np.uint64(8)) % shards.astype(np.uint64)
-    shard = np.where(following == 0, 0, spread.astype(np.int64))
-    order = np.lexsort([following, shard, *reversed(prefix)])
-    prefix, following, counts = [p[order] for p in prefix], following[order], counts[order].astype("<u4")
-    shard, shards = shard[order], shards[order]
+    shards = np.minimum.reduce([by_word[p] for p in prefix]).astype(np.uint64)
+    shard = np.where(following == 0, np.uint64(0), (hashes[following] >> np.uint64(8)) % shards)
+    print_ = hashes[prefix[0]]
+    for p in prefix[1:]:
+        print_ = pair_hash(print_, hashes[p])
+    bundle = ((pair_hash(print_, shard) >> np.uint64(16)) % np.uint64(bundles)).astype(np.int64)
+    order = np.lexsort([following, *reversed(prefix), bundle])
+    prefix, following, counts, bundle = [p[order] for p in prefix], following[order], counts[order], bundle[order]
     changed = np.zeros(len(order), bool)
     changed[:1] = True
-    for column in (*prefix, shard):
+    changed[1:] = bundle[1:] != bundle[:-1]
+    rows = np.append(np.flatnonzero(changed), len(order))
+    for column in prefix:
         changed[1:] |= column[1:] != column[:-1]
-    first = np.flatnonzero(changed)
+    stripes = np.append(np.flatnonzero(changed), len(order))
     table = pa.array(names, pa.string())
-    for at in range(0, len(first), 1 << 15):
-        some = first[at : at + (1 << 15)]
-        stop = first[at + (1 << 15)] if at + (1 << 15) < len(first) else len(order)
-        bounds = np.r_[some, stop] - some[0]
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), table.take(pa.array(following[some[0] : stop])))
-        packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(counts[some[0] : stop].copy())])
-        heads = [table.take(pa.array(p[some])) for p in prefix]
+    at = 0
+    while at < len(rows) - 1:
+        end = max(at + 1, int(np.searchsorted(rows, rows[at] + ENTRIES_AT_ONCE, "right")) - 1)
+        low, high, bounds = rows[at], rows[end], rows[at : end + 1]
+        inside = stripes[np.searchsorted(stripes, low) : np.searchsorted(stripes, high) + 1]
+        stripe_bounds = np.searchsorted(inside, bounds)
+        heads = [table.take(pa.array(p[inside[:-1]])) for p in prefix]
+        heads = pc.binary_join_element_wise(*heads, " ") if len(heads) > 1 else heads[0]
+        follow = pa.ListArray.from_arrays(pa.array(bounds - low, pa.int32()), table.take(pa.array(following[low:high])))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([words.lang] * len(some), pa.string()), pc.binary_join_element_wise(*heads, " ") if len(heads) > 1 else heads[0],
-                pa.array(shard[some], pa.int32()), pa.array(shards[some], pa.int32()), pc.binary_join(lists, " "), packed,
+                pa.array([words.lang] * (end - at), pa.string()), pa.array(bundle[bounds[:-1]], pa.int32()),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(stripe_bounds, pa.int32()), heads), "\n"),
+                _packed(np.diff(inside), stripe_bounds), pc.binary_join(follow, " "), _packed(counts[low:high], bounds - low),
             ],
-            names=["lang", "prefix", "shard", "shards", "following", "counts"],
+            names=["lang", "bundle", "prefixes", "sizes", "following", "counts"],
         )
+        at = end
 
 
 class Phrases:
@@ -243,7 +265,7 @@ class Phrases:
         return keys >> 32, keys & 0xFFFFFFFF
 
 
-def count_stripes(size: int, bits, hot) -> Callable:
+def count_stripes(size: int, bits, hot, bundles: int) -> Callable:
     """Stripes of phrases of ``size`` words that pass the filter.
 
     A following word is counted by name if the phrase that starts one word later passes as well, else as the rest. Rests are
@@ -268,7 +290,7 @@ def count_stripes(size: int, bits, hot) -> Callable:
                     for level in reversed(phrases):
                         head, last = level.parts(head)
                         prefix.insert(0, last)
-                    yield from _stripe_rows(words, [head, *prefix], following, counts, hot.value)
+                    yield from _stripe_rows(words, [head, *prefix], following, counts, hot.value, bundles)
 
         for lang, text in _stretches(batches):
             if lang not in held:
@@ -303,87 +325,88 @@ def count_stripes(size: int, bits, hot) -> Callable:
 
 
 MERGED = "lang string, prefix string, word string, n bigint, most bigint, slot bigint"
-_KEYS = ("lang", "prefix", "shard", "shards")
 
 
 def _entries(batch: pa.RecordBatch) -> pa.Table:
-    """Entries of sorted stripes, with the number ``at`` of the stripe's key in the batch and the row it was read from."""
+    """Entries of sorted bundles, with the number ``at`` of the bundle in the batch and the ``row`` they were read from."""
     changed = np.zeros(batch.num_rows, bool)
-    for name in ("lang", "prefix", "shard"):
+    for name in ("lang", "bundle"):
         column = batch.column(name)
         changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    numbers = {n: np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u4").astype(np.int64) for n in ("sizes", "counts")}
     lists = pc.split_pattern(batch.column("following"), " ")
     rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4").astype(np.int64)
-    return pa.table({"at": np.cumsum(changed)[rows], "row": rows, "word": pc.list_flatten(lists), "n": counts})
+    prefixes = pc.list_flatten(pc.split_pattern(batch.column("prefixes"), "\n"))
+    prefix = prefixes.take(pa.array(np.repeat(np.arange(len(prefixes)), numbers["sizes"])))
+    return pa.table({"at": np.cumsum(changed)[rows], "prefix": prefix, "word": pc.list_flatten(lists), "n": numbers["counts"], "row": rows})
 
 
 def merge_stripes(least: int) -> Callable:
-    """Merge sorted stripes elementwise. Per stripe: its frequent entries, each with the sum, and (``word`` NULL) its sum and largest entry if there are any.
+    """Merge sorted bundles of stripes elementwise.
 
-    The stripe at the end of a batch goes on in the next one, already merged.
+    Per stripe: its frequent entries, each with the sum, and (``word`` NULL) its sum and largest entry if there are any. The
+    bundle at the end of a batch goes on in the next one, already merged.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: dict[str, dict] = {}
+        seeds: dict[str, _Hashes] = {}
 
         def slot(lang: str, phrase: str) -> int:
             if lang not in seeds:
-                seed = xxhash.xxh64_intdigest(lang.encode())
-                seeds[lang] = _Hashes(seed)
+                seeds[lang] = _Hashes(xxhash.xxh64_intdigest(lang.encode()))
             first, *others = (seeds[lang][w] for w in phrase.split(" "))
             for other in others:
                 first = _pair_hash_int(first, other)
             return first >> (64 - FILTER_BITS)
 
+        def grouped(table: pa.Table, keys: list[str], *sums) -> pa.Table:
+            return table.group_by(keys, use_threads=False).aggregate(list(sums))
+
         def merged(table: pa.Table) -> pa.Table:
-            out = table.group_by(["at", "word"], use_threads=False).aggregate([("n", "sum"), ("row", "min")])
-            return out.rename_columns(["at", "word", "n", "row"])
+            out = grouped(table, ["at", "prefix", "word"], ("n", "sum"), ("row", "min"))
+            return out.rename_columns(["at", "prefix", "word", "n", "row"])
 
-        def finish(table: pa.Table, keys: pa.RecordBatch) -> pa.RecordBatch:
-            """Rows of complete stripes; ``row`` points into ``keys``."""
+        def finish(table: pa.Table, langs: pa.Array) -> pa.RecordBatch:
+            """Rows of complete bundles; ``row`` points into ``langs``."""
             named = table.filter(pc.and_(pc.greater_equal(table["n"], least), pc.not_equal(table["word"], "")))
-            sums = table.group_by("at", use_threads=False).aggregate([("n", "sum"), ("row", "min")])
-            total = np.zeros(keys.num_rows + 1, np.int64)
-            total[sums["at"].to_numpy()] = sums["n_sum"].to_numpy()
-            before = total[named["at"].to_numpy()]
-            most = named.group_by("at", use_threads=False).aggregate([("n", "max")])
-            sums = sums.join(most, "at", join_type="inner", use_threads=False)
-            rows = pa.concat_arrays([c.cast(pa.int64()) for c in (*named["row"].chunks, *sums["row_min"].chunks, pa.array([], pa.int64()))])
-            words = named["word"].to_pylist()
-            langs, prefixes = keys.column("lang").take(rows), keys.column("prefix").take(rows)
-            slots = [slot(lang, f"{p} {w}") for lang, p, w in zip(langs.to_pylist(), prefixes.to_pylist(), words)]
-            n, k = len(words), sums.num_rows
-            return pa.RecordBatch.from_arrays(
-                [
-                    langs, prefixes, pa.array([*words, *[None] * k], pa.string()),
-                    pa.array([*named["n"].to_pylist(), *sums["n_sum"].to_pylist()], pa.int64()),
-                    pa.array([*before.tolist(), *sums["n_max"].to_pylist()], pa.int64()), pa.array([*slots, *[None] * k], pa.int64()),
-                ],
-                names=["lang", "prefix", "word", "n", "most", "slot"],
+            most = grouped(named, ["at", "prefix"], ("n", "max"))
+            sums = grouped(table, ["at", "prefix"], ("n", "sum"), ("row", "min")).join(most, ["at", "prefix"], join_type="inner", use_threads=False)
+            named = named.join(sums.select(["at", "prefix", "n_sum"]), ["at", "prefix"], join_type="inner", use_threads=False)
+            words, n, k = named["word"].to_pylist(), named.num_rows, sums.num_rows
+            prefixes = named["prefix"].to_pylist() + sums["prefix"].to_pylist()
+            rows = named["row"].to_pylist() + sums["row_min"].to_pylist()
+            of = langs.take(pa.array(rows, pa.int64())).to_pylist()
+            slots = [slot(lang, f"{p} {w}") for lang, p, w in zip(of, prefixes, words)]
+            columns = (
+                (of, pa.string()), (prefixes, pa.string()), (words + [None] * k, pa.string()), (named["n"].to_pylist() + sums["n_sum"].to_pylist(), pa.int64()),
+                (named["n_sum"].to_pylist() + sums["n_max"].to_pylist(), pa.int64()), (slots + [None] * k, pa.int64()),
             )
+            return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["lang", "prefix", "word", "n", "most", "slot"])
+
+        def kept(table: pa.Table) -> pa.Table:
+            """Entries to go on with, as of a bundle numbered 0 and read from row 0."""
+            zero = pa.array(np.zeros(table.num_rows, np.int64))
+            return pa.table({"at": zero, "prefix": table["prefix"], "word": table["word"], "n": table["n"], "row": zero})
 
-        held, key = None, None  # entries of the stripe that may go on, and its key as a batch of one row
+        held, key, lang = None, None, None  # entries of the bundle that may go on, its key, its language as an array
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.select(list(_KEYS))
+            langs, bundles = batch.column("lang"), batch.column("bundle")
             table = _entries(batch)
             if held is not None:
-                if keys.slice(0, 1).to_pylist() == key.to_pylist():
-                    table = pa.concat_tables([held.set_column(3, "row", pa.array(np.zeros(held.num_rows, np.int64))).select(table.column_names), table])
+                if (langs[0].as_py(), bundles[0].as_py()) == key:
+                    table = pa.concat_tables([held, table])
                 else:
-                    yield finish(held, key)
+                    yield finish(held, lang)
             table = merged(table)
             last = pc.max(table["at"])
             done = table.filter(pc.less(table["at"], last))
             if done.num_rows:
-                yield finish(done, keys)
-            held = table.filter(pc.equal(table["at"], last))
-            held = held.set_column(0, "at", pa.array(np.zeros(held.num_rows, np.int64))).set_column(3, "row", pa.array(np.zeros(held.num_rows, np.int64)))
-            key = keys.slice(keys.num_rows - 1)
+                yield finish(done, langs)
+            held, lang, key = kept(table.filter(pc.equal(table["at"], last))), langs.slice(len(langs) - 1), (langs[-1].as_py(), bundles[-1].as_py())
         if held is not None:
-            yield finish(held, key)
+            yield finish(held, lang)
 
     return run
 
@@ -413,7 +436,7 @@ def frequency_filter(slots: DataFrame) -> np.ndarray:
 
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    dealt = stripes.repartition("lang", "prefix", "shard").sortWithinPartitions("lang", "prefix", "shard")
+    dealt = stripes.repartition("lang", "bundle").sortWithinPartitions("lang", "bundle")
     return write_stage(dealt.mapInArrow(merge_stripes(least), MERGED), "stripes")
 
 
@@ -435,9 +458,10 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     heavy = frequent.filter(F.col("n") * HOT_SHARES > total).collect()  # fewer than HOT_SHARES rows
     hot = send({(r["lang"], r["phrase"]): -(-r["n"] * HOT_SHARES // total) for r in heavy})
 
+    bundles = BUNDLES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits, levels = send(frequency_filter(frequent)), []
     for size in range(1, MAX_WORDS):
-        levels.append(_merged(rows.mapInArrow(count_stripes(size, bits, hot), STRIPES), least))
+        levels.append(_merged(rows.mapInArrow(count_stripes(size, bits, hot, bundles), STRIPES), least))
         if size + 1 < MAX_WORDS:
             bits = send(frequency_filter(levels[-1].filter("word IS NOT NULL")))
     stripes = reduce(DataFrame.unionByName, levels)

@@ -287,9 +287,9 @@ def test_stripes_survive_flushes_and_splits(monkeypatch):
         for r in b.to_pylist():
             counted[(r["phrase"],)] += r["n"]
     assert counted == Counter({p: n for p, n in f.items() if len(p) == 1})
-    parts = [r for size in (1, 2, 3) for b in collocations.count_stripes(size, everything, hot)(iter(batches)) for r in b.to_pylist()]
-    parts.sort(key=lambda r: (r["lang"], r["prefix"], r["shard"]))
-    assert {r["shard"] for r in parts if r["prefix"] == "the"} <= set(range(5)) and len(parts) > 1000
+    parts = [r for size in (1, 2, 3) for b in collocations.count_stripes(size, everything, hot, 40)(iter(batches)) for r in b.to_pylist()]
+    parts.sort(key=lambda r: (r["lang"], r["bundle"]))
+    assert len({r["bundle"] for r in parts if "the" in r["prefixes"].split("\n")}) > 2 and len(parts) > 500
     table = pa.RecordBatch.from_pylist(parts)
     merged = [r for b in collocations.merge_stripes(1)(table.slice(i, 50) for i in range(0, len(parts), 50)) for r in b.to_pylist()]
     entries = {tuple([*r["prefix"].split(" "), r["word"]]): r["n"] for r in merged if r["word"] is not None}
@@ -304,8 +304,10 @@ def test_stripes_survive_flushes_and_splits(monkeypatch):
     for _, words in [(0, w) for w in pieces_of(" ".join(t for _, t in rows))]:
         whole.update(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     cut = Counter()
-    for b in collocations.count_stripes(2, everything, Sent({}))(iter(one)):
+    for b in collocations.count_stripes(2, everything, Sent({}), 7)(iter(one)):
         for r in b.to_pylist():
-            for word, n in zip(r["following"].split(" "), collocations.np.frombuffer(r["counts"], "<u4").tolist()):
-                cut[(*r["prefix"].split(" "), word)] += n if word else 0
+            sizes = collocations.np.frombuffer(r["sizes"], "<u4").tolist()
+            prefixes = [p for p, size in zip(r["prefixes"].split("\n"), sizes) for _ in range(size)]
+            for prefix, word, n in zip(prefixes, r["following"].split(" "), collocations.np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
+                cut[(*prefix.split(" "), word)] += n if word else 0
     assert {p: n for p, n in cut.items() if n} == dict(whole)
