@@ -6,8 +6,8 @@ lower bound of how often the prefix occurs (the sum, with a rest entry for what
 score from above) and its most frequent extension, which tells whether a longer phrase subsumes it.
 
 Words, then pairs, that occur too rarely are left out beforehand by a filter of fixed size that lets everything
-frequent pass; what it lets pass wrongly is counted exactly and dropped afterwards. Stripes travel in bundles, whose number
-follows that of the shuffle partitions; stripes of very frequent words are split over several by the following word, in
+frequent pass; what it lets pass wrongly is counted exactly and dropped afterwards. Stripes travel in bundles, at least
+as many as the shuffle partitions; stripes of very frequent words are split over several by the following word, in
 proportion to their share.
 """
 
@@ -37,7 +37,8 @@ HOT_SHARES = 500  # words with more than one in so many occurrences have split s
 WORDS_HELD = 1 << 20  # distinct words a task keeps before it hands on what it counted
 ENTRIES_HELD = 1 << 21
 ENTRIES_AT_ONCE = 1 << 16
-BUNDLES = 16  # per language and shuffle partition
+BUNDLES = 4_096  # per language, or more where there are very many shuffle partitions
+BUNDLES_A_TASK = 16
 BYTES_AT_ONCE = 1 << 22
 TOKENS_HELD = 1 << 31
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # end a piece
@@ -458,7 +459,7 @@ def mine_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     heavy = frequent.filter(F.col("n") * HOT_SHARES > total).collect()  # fewer than HOT_SHARES rows
     hot = send({(r["lang"], r["phrase"]): -(-r["n"] * HOT_SHARES // total) for r in heavy})
 
-    bundles = BUNDLES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bundles = max(BUNDLES, BUNDLES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits, levels = send(frequency_filter(frequent)), []
     for size in range(1, MAX_WORDS):
         levels.append(_merged(rows.mapInArrow(count_stripes(size, bits, hot, bundles), STRIPES), least))
