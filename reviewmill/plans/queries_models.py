@@ -356,6 +356,26 @@ def boosted_feature_importance(spark, sf_dir):
     return md.feature_importance(fx.cleaned(spark, sf_dir), model, names, top=10)
 
 
+@query("boosted_regression_facts", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS better_than_mean, true AS better_than_linear, true AS same_after_reload FROM lineitem""")
+def boosted_regression_facts(spark, sf_dir):
+    """A target bent in the quantity: errors of the mean, the linear model and 200 rounds of boosting, saved and loaded again."""
+    names = ["l_quantity", "l_discount", "l_tax"]
+    items = fx.table(spark, sf_dir, "lineitem").select(*[F.col(n).cast("double").alias(n) for n in names])
+    rows = md.assemble(items.withColumn("label", F.abs(F.col("l_quantity") - 25) + 50 * F.col("l_discount") * F.col("l_tax")), names)
+    linear, boosted = md.fit_linear_regression(rows, "label"), md.fit_boosted_regression(rows, "label")
+    again = type(boosted).load(writers.write_model(boosted, stage_path(spark, "models"), "boosted"))
+    guessed = boosted.transform(linear.transform(rows).withColumnRenamed("prediction", "line")).withColumnRenamed("prediction", "trees")
+    both = again.transform(guessed).agg(
+        F.count(F.lit(1)), F.stddev_pop("label"), F.sqrt(F.avg((F.col("label") - F.col("line")) ** 2)),
+        F.sqrt(F.avg((F.col("label") - F.col("trees")) ** 2)), F.max(F.abs(F.col("trees") - F.col("prediction"))),
+    ).first()
+    n, mean, line, trees, changed = both
+    return spark.createDataFrame(
+        [(n, trees < mean, trees < line, changed == 0)], "n_rows bigint, better_than_mean boolean, better_than_linear boolean, same_after_reload boolean"
+    )
+
+
 @query("write_regression_report")
 def write_regression_report(spark, sf_dir):
     """One document on both regressors, with the paths of the saved models."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.constants import PAGE_ROWS
+from reviewmill.operators.boosting import BoostedTrees
 from reviewmill.operators.ordering import page_index
 from reviewmill.operators.svm import LinearClassifier
 from reviewmill.session import cut_lineage
@@ -94,7 +95,7 @@ def write_model(model, folder: str, name: str, stamp: str | None = None) -> str:
     """Save a fitted model as ``<name>_<time stamp>`` and return its path."""
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     path = f"{folder}/{name}_{stamp}"
-    if isinstance(model, LinearClassifier):
+    if isinstance(model, (LinearClassifier, BoostedTrees)):
         return model.save(path)
     model.write().overwrite().save(path)
     return path

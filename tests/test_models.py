@@ -304,6 +304,69 @@ def test_minibatch_kmeans_is_as_good_as_full(make):
         fit_minibatch(df.limit(0), names, [2])
 
 
+def plain_boosting(x, y, rounds, rate, depth):
+    """All columns and rows, every value a bin: one node after the other."""
+    guess = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        gradient = guess - y
+        groups = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in groups:
+                g, best = gradient[rows], (1e-12, None)
+                base = g.sum() ** 2 / (len(rows) + 1)
+                for c in range(x.shape[1]):
+                    for cut in np.unique(x[rows, c])[:-1]:
+                        left = x[rows, c] <= cut
+                        n = left.sum()
+                        gain = g[left].sum() ** 2 / (n + 1) + g[~left].sum() ** 2 / (len(rows) - n + 1) - base
+                        if gain > best[0] + 1e-9:
+                            best = (gain, left)
+                after += [rows] if best[1] is None else [rows[best[1]], rows[~best[1]]]
+            groups = after
+        for rows in groups:
+            guess[rows] -= rate * gradient[rows].sum() / (len(rows) + 1)
+    return guess
+
+
+def test_boosting_equals_plain_trees(make, monkeypatch, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from reviewmill.operators import boosting
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (150, 3)).astype(float)
+    y = np.sin(x[:, 0]) * 3 + np.abs(x[:, 1] - 6) + 0.01 * rng.normal(size=150)
+    df = make([(float(b), Vectors.dense(a), i) for i, (a, b) in enumerate(zip(x, y))], None).toDF("label", "features", "i").repartition(3)
+    model = boosting.fit_boosted(df, rounds=4, rate=0.3, depth=3, rows=1.0, columns=1.0)
+    got = {r["i"]: r["prediction"] for r in model.transform(df).collect()}
+    want = plain_boosting(x, y, 4, 0.3, 3)
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-9
+    again = boosting.BoostedTrees.load(model.save(str(tmp_path / "trees")))
+    assert (again.predict(x) == model.predict(x)).all() and model.featureImportances.toArray()[2] < 0.1
+    drawn = boosting.fit_boosted(df, rounds=20, depth=3)
+    assert ((drawn.predict(x) - y) ** 2).mean() < 0.5 * y.var()
+    same = boosting.fit_boosted(df.filter("i = 0"), rounds=2)
+    assert same.predict(x[:1])[0] == pytest.approx(y[0])
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(df.limit(0))
+
+
+def test_lost_predictions_are_worked_out_again():
+    from reviewmill.operators import boosting
+
+    tree = boosting.Tree(np.array([0, -1, -1]), np.array([1, 0, 0]), np.array([0.0, 1.0, 10.0]))
+    x = np.array([[0], [2]], np.uint8)
+
+    class Sent:
+        value = [tree] * 5
+
+    for done in (0, 1, 2, 5, 3, 4):
+        boosting._REMEMBERED.pop(("f", "other"), None)
+        assert boosting._predictions("f", "b", x, 0.5, done, tree, type("S", (), {"value": [tree] * done})).tolist() == [0.5 + done, 0.5 + 10 * done]
+    assert boosting._predictions("g", "b", x, 0.0, 1, tree, Sent).tolist() == [1.0, 10.0]
+
+
 def test_class_weights(make):
     df = make([("a",)] * 6 + [("b",)] * 2, "y string")
     assert {r["y"]: r["weight"] for r in models.with_class_weights(df, "y").collect()} == {
