@@ -8,7 +8,7 @@ SLOW = {
     "linear_svc_multiclass", "random_forest_classifier", "feature_importance", "write_model", "write_eval_report",
     "boosted_regression", "boosted_feature_importance", "chart_elbow_silhouette", "choose_k_clusters", "kmeans",
     "kmeans_centroids", "chart_cluster_scatter", "dbscan", "kmeans_facts", "dbscan_facts", "clustered_table", "cluster_summary",
-    "classifier_facts", "write_regression_report",
+    "classifier_facts", "write_regression_report", "dbscan_clusters", "chart_elbow_facts", "boosted_regression_facts",
 }
 
 
