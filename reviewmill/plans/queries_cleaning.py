@@ -115,20 +115,14 @@ def project_final(spark, sf_dir):
     return project_final_columns(df.select(*reversed(df.columns)))
 
 
-_SHORT = "concat('AT&amp;T  ', substr(content, 1, 30), CASE WHEN event_id % 2 = 0 THEN ' http://x.io/a' ELSE '' END)"
-
-
 @query("clean_examples", from_stage("reviews", f"""
 SELECT substr(content, 1, 80) AS before, substr(cleaned, 1, 80) AS after FROM (
- SELECT content, {sq.clean("content")} AS cleaned FROM (SELECT {_SHORT} AS content, event_id FROM reviews WHERE content IS NOT NULL)
- ORDER BY event_id LIMIT 3)
+ SELECT content, {sq.clean("content")} AS cleaned FROM reviews WHERE content IS NOT NULL ORDER BY event_id LIMIT 3)
 WHERE content <> cleaned AND length(content) < 100"""))
 def clean_examples(spark, sf_dir):
-    """Short texts with an entity, doubled spaces and a link, in the order of the table."""
+    """On whole texts, in the order of the table; short planted texts are in the tests."""
     rows = fx.raw_reviews(spark, sf_dir).filter(F.col("content").isNotNull())
-    link = F.when(F.col("event_id") % 2 == 0, " http://x.io/a").otherwise("")
-    short = rows.select("event_id", F.concat(F.lit("AT&amp;T  "), F.substring("content", 1, 30), link).alias("content"))
-    pairs = short.withColumn("cleaned", tx.clean_text(F.col("content")))
+    pairs = rows.select("event_id", "content").withColumn("cleaned", tx.clean_text(F.col("content")))
     return ql.clean_examples(pairs, "content", "cleaned", ["event_id"])
 
 

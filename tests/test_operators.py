@@ -335,3 +335,13 @@ def test_nan_and_infinity_are_counted(make):
     df = make([("train", float("nan"), 1.0), ("train", float("inf"), None), ("test", 1.0, float("-inf"))], "dataset string, a double, b double")
     got = {r["dataset"]: (r["n_missing"], r["n_infinite"]) for r in features.nan_inf_check(df, ["a", "b"]).collect()}
     assert got == {"train": (2, 1), "test": (0, 1)}
+
+
+def test_clean_examples_of_short_texts(make):
+    from reviewmill.functions.text import clean_text
+    from reviewmill.operators.quality import clean_examples
+
+    texts = ["AT&amp;T  is ok http://x.io/a", "same", "x" * 120 + "  y", "later  too"]
+    df = make(list(enumerate(texts)), "i int, t string").withColumn("c", clean_text(F.col("t")))
+    got = [tuple(r) for r in clean_examples(df, "t", "c", ["i"]).collect()]
+    assert got == [("AT&amp;T  is ok http://x.io/a", "AT&T is ok")]
