@@ -1,23 +1,24 @@
 """Groups of linked rows: candidates that share a key, verified, and connected components.
 
 A key may be shared by a large part of all rows, so its rows are never paired with each other outright.
-First every row is compared with one leader, then, under keys that still hold several components, with
-the smallest of those; the links found join most copies. Then rows of a key that are still in different
-components are all compared, and no pair is left out. All joins are plain sort-merge joins, whose large
-partitions adaptive execution splits.
+First every row is compared with one leader. Then, round by round, under keys that still hold several
+components every row meets one row of the largest of those, another one each time; rounds end when
+one of them links few more. Rows of a key that are still in different components are then all compared, or, if the
+caller knows their sets, matched by rare members (``rare_matches``). No pair is left out. All joins are plain
+sort-merge joins, whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmill.session import cut_lineage, write_stage
 
 
-STAR_ROUNDS = 1  # cheap rounds before all that is undecided is compared
+WORTHWHILE = 0.02  # share of the undecided rows that a cheap round must link for another one to follow
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -78,13 +79,15 @@ def linked_components(
     keys: DataFrame,
     near: Callable[[Column, Column], Column],
     verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-    star_rounds: int = STAR_ROUNDS,
+    crossing: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``v`` and ``label`` of all rows linked to a smaller one; a row that is missing is its own label.
 
     ``nodes`` has ``id`` and ``sketch``; ``keys`` has ``id`` and ``key``, several per id. ``verifier`` gets the ids that
-    share any key and returns a function that keeps the true links among distinct pairs (``a``, ``b``).
+    share any key and returns a function that keeps the true links among distinct pairs (``a``, ``b``). ``crossing`` gets
+    what is undecided in the end (``key``, ``id``, ``label``, ``sketch``) and returns the pairs to verify, all of a key by default.
     """
+    keys = keys.repartition("key")  # dealt once, for the aggregate and for the join with it
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = write_stage(keys.join(shared, "key"), "members")
     verify = verifier(members.select("id").distinct())
@@ -94,17 +97,22 @@ def linked_components(
     first = best.select((-F.col("best.leader")).alias("a"), F.col("id").alias("b"))
     found = write_stage(verify(_similar(first, nodes, near)), "links")
     labels = followers(found)
-    for at in range(star_rounds + 1):
+    turn, worthwhile = 0, True
+    while True:
         rest = _undecided(members, labels, nodes)
         if rest.isEmpty():
-            break
-        # every row with the row of the smallest component under its key; in the end, all that is left with all
-        pairs = _to_smallest(rest) if at < star_rounds else _crossing(rest, near)
-        more = write_stage(verify(_similar(pairs, nodes, near) if at < star_rounds else pairs), "more_links")
-        if not more.isEmpty():
+            return labels
+        # every row with one of the largest component under its key; in the end, all that is left with all
+        pairs = _similar(_to_largest(rest, turn), nodes, near) if worthwhile else crossing(rest) if crossing else _crossing(rest, near)
+        more = write_stage(verify(pairs), "more_links")
+        gained = more.count()
+        if gained:
             found = found.unionByName(more)
             labels = followers(found)
-    return labels
+        if not worthwhile:
+            return labels
+        worthwhile = gained > WORTHWHILE * rest.select("id").distinct().count()
+        turn += 1
 
 
 def _undecided(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,10 +123,13 @@ def _undecided(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     return write_stage(rest.select("key", "id", "label", "sketch"), "rest")
 
 
-def _to_smallest(rest: DataFrame) -> DataFrame:
-    chosen = rest.groupBy("key").agg(F.min(F.struct("label", "id")).alias("low"))
-    pairs = rest.join(chosen, "key").filter(F.col("label") != F.col("low.label"))
-    return pairs.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
+def _to_largest(rest: DataFrame, turn: int) -> DataFrame:
+    """Each row of a key with one row of the key's largest component, chosen by a hash that changes with ``turn``."""
+    drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("drawn"), "id")
+    held = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("low"))
+    chosen = held.groupBy("key").agg(F.max(F.struct("n", "label", F.col("low.id").alias("other"))).alias("top"))
+    pairs = rest.join(chosen, "key").filter(F.col("label") != F.col("top.label"))
+    return pairs.select(F.least("id", "top.other").alias("a"), F.greatest("id", "top.other").alias("b")).distinct()
 
 
 def _crossing(rest: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
@@ -129,3 +140,32 @@ def _crossing(rest: DataFrame, near: Callable[[Column, Column], Column]) -> Data
         & near(rest["sketch"], other["sketch_b"])
     )
     return rest.join(other, crossing).select(F.col("id").alias("a"), "b").distinct()
+
+
+def rare_matches(rest: DataFrame, features: DataFrame, percent: int, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of different labels that may reach ``percent`` of Jaccard similarity, by their rarest members.
+
+    ``features`` has ``id``, ``set`` (an id may have several), ``size`` (of the whole set) and ``feature`` for all ids of ``rest``. With all sets in one order, rarest
+    first, two similar sets meet within the first quarter or so of the larger one and the first seventh of the
+    smaller one (at 75 %), and what follows their first common member must hold the whole intersection. Rows that
+    share a passage but have texts of their own meet under none of their rare members. No similar pair is lost.
+    """
+    sharing = features.groupBy("feature").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("id", "set").orderBy("often", "feature")
+    placed = features.join(sharing, "feature").withColumn("at", F.row_number().over(order))
+    # 100 * common >= percent * union; the larger set needs percent of its own size, the smaller one at least 2p / (100 + p)
+    probe = placed.filter((F.col("often") > 1) & (F.lit(100) * (F.col("size") - F.col("at") + 1) >= F.lit(percent) * F.col("size")))
+    about = rest.select("id", "label", "sketch").distinct()
+    held = write_stage(probe.join(about, "id").select("feature", "id", "label", "sketch", "size", "at"), "rare")
+    index = held.filter(F.lit(100 + percent) * (F.col("size") - F.col("at") + 1) >= F.lit(2 * percent) * F.col("size"))
+    small = index.select("feature", *[F.col(c).alias(f"{c}_s") for c in ("id", "label", "sketch", "size", "at")])
+    large = held.select("feature", *[F.col(c).alias(f"{c}_l") for c in ("id", "label", "sketch", "size", "at")])
+    follows = F.least(F.col("size_s") - F.col("at_s"), F.col("size_l") - F.col("at_l")) + 1
+    may = (
+        (small["feature"] == large["feature"])
+        & ((F.col("size_s") < F.col("size_l")) | ((F.col("size_s") == F.col("size_l")) & (F.col("id_s") < F.col("id_l"))))
+        & (F.col("label_s") != F.col("label_l"))
+        & (F.lit(100 + percent) * follows >= F.lit(percent) * (F.col("size_s") + F.col("size_l")))
+        & near(F.col("sketch_s"), F.col("sketch_l"))
+    )
+    return small.join(large, may).select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.llm.batches import doc_text, texts
-from reviewmill.llm.linking import linked_components
+from reviewmill.llm.linking import linked_components, rare_matches
 from reviewmill.llm.measures import shingle_hashes, word_hashes
 from reviewmill.session import write_stage
 
@@ -110,6 +110,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["id", "shingles"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per member of a set."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            held = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+            sizes = np.array([len(s) for s in held], np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sizes)
+            sets = np.repeat(batch.column("set").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(held))],
+                names=["id", "set", "size", "feature"],
+            )
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -140,12 +155,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "nodes",
     )
 
+    held: list[DataFrame] = []
+
     def verifier(wanted: DataFrame):
         # only documents that share a key with another are read as sets
         sets = write_stage(
             docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary"),
             "sets",
         )
+        held.append(sets)
 
         def verify(pairs: DataFrame) -> DataFrame:
             left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
@@ -154,7 +172,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         return verify
 
-    labels = linked_components(nodes.select("id", "sketch"), nodes.select("id", F.explode("keys").alias("key")), near, verifier)
+    def crossing(rest: DataFrame) -> DataFrame:
+        open_sets = held[0].join(rest.select("id").distinct(), "id", "left_semi").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["id", "set"])
+        members = open_sets.mapInArrow(_members, "id bigint, set bigint, size bigint, feature bigint")
+        return rare_matches(rest, members, SIMILARITY_PERCENT, near)
+
+    labels = linked_components(nodes.select("id", "sketch"), nodes.select("id", F.explode("keys").alias("key")), near, verifier, crossing)
     classes = nodes.select("print", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
         "print", F.coalesce("label", "id").alias("label")
     )

@@ -86,6 +86,25 @@ def test_near_duplicates_odd_rows(make):
     assert minhash.near_duplicates(make([], "doc_id bigint, text string")).count() == 0
 
 
+def test_rare_members_bring_every_similar_pair_together(make):
+    """All pairs at 75 % are matched; sets that share a passage and differ otherwise are hardly compared."""
+    rng = random.Random(31)
+    passage = [rng.getrandbits(62) for _ in range(60)]
+    sets = [set(passage) | {rng.getrandbits(62) for _ in range(rng.randint(11, 40))} for _ in range(80)]
+    for _ in range(60):
+        base = [rng.getrandbits(62) for _ in range(rng.randint(1, 60))]
+        for _ in range(3):
+            sets.append({x for x in base if rng.random() > 0.12} | {rng.getrandbits(62) for _ in range(rng.randint(0, len(base) // 8))} or {1})
+    similar = {
+        (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    }
+    features = make([(i, 0, len(s), x) for i, s in enumerate(sets) for x in s], "id bigint, set bigint, size bigint, feature bigint")
+    rest = make([(k, i, i, [0]) for i in range(len(sets)) for k in (1, 2)], "key bigint, id bigint, label bigint, sketch array<bigint>")
+    found = {(r["a"], r["b"]) for r in linking.rare_matches(rest, features, 75, lambda a, b: a == b).collect()}
+    assert len(similar) > 60 and similar <= found
+    assert not any(j < 80 for _, j in found)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
