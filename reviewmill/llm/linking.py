@@ -83,13 +83,13 @@ def linked_components(
 ) -> DataFrame:
     """``v`` and ``label`` of all rows linked to a smaller one; a row that is missing is its own label.
 
-    ``nodes`` has ``id`` and ``sketch``; ``keys`` has ``id`` and ``key``, several per id. ``verifier`` gets the ids that
+    ``nodes`` has ``id`` and ``sketch``; ``keys`` has ``id`` and ``key``, several per id, rows may repeat. ``verifier`` gets the ids that
     share any key and returns a function that keeps the true links among distinct pairs (``a``, ``b``). ``crossing`` gets
     what is undecided in the end (``key``, ``id``, ``label``, ``sketch``) and returns the pairs to verify, all of a key by default.
     """
     keys = keys.repartition("key")  # dealt once, for the aggregate and for the join with it
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = write_stage(keys.join(shared, "key"), "members")
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
+    members = write_stage(keys.join(shared, "key").distinct(), "members")
     verify = verifier(members.select("id").distinct())
     # one pair per row first: with the leader it meets under most of its keys
     offers = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))

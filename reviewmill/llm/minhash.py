@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.batches import doc_text, texts
+from reviewmill.llm.batches import doc_text, shielded, texts
 from reviewmill.llm.linking import linked_components, rare_matches
 from reviewmill.llm.measures import shingle_hashes, word_hashes
 from reviewmill.session import write_stage
@@ -193,5 +193,5 @@ def drop_near_duplicates(df: DataFrame) -> DataFrame:
     A document whose rows differ in text goes only if none of them is kept; its rows stay as they are.
     """
     verdicts = near_duplicates(doc_text(df)).filter(F.col("doc_id").isNotNull())
-    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter(~F.col("_kept"))
-    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = verdicts.groupBy(F.col("doc_id").alias("gone")).agg(F.bool_or("kept").alias("any_kept")).filter("NOT any_kept")
+    return shielded(df, lambda bare, names: bare.join(gone, F.col(names["doc_id"]) == F.col("gone"), "left_anti"))

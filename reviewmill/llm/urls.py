@@ -143,7 +143,10 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """
     address = F.col(f"`{url}`").cast("string")
     made = ("host", "path", "rule", "score", "verdict")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    # under neutral names, so that no column added on the way can clash
+    named = {c: f"in_{i}" for i, c in enumerate(df.columns) if c not in made}
+    carried = [F.col(f"`{c}`").alias(n) for c, n in named.items()]
+    kept = [F.col(n).alias(c) for c, n in named.items()]
 
     def judged(*columns: Column) -> DataFrame:
         parts = df.select(*columns, address.alias("_url"), host_of(address).alias("host"), path_of(address).alias("path"))
@@ -154,7 +157,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     ratios = ratio_table(known).first()["ratios"]  # SIZE ** 3 numbers
     held = df.sparkSession.createDataFrame([(ratios,)], "ratios array<double>").scalar()
     cut = calibrate(known.withColumn("_ratios", held).select("verdict", score(F.col("grams"), F.col("_ratios")).alias("score")))
-    scored = judged(*kept).withColumn("_ratios", held).withColumn("score", score(F.col("_grams"), F.col("_ratios")))
+    scored = judged(*carried).withColumn("_ratios", held).withColumn("score", score(F.col("_grams"), F.col("_ratios")))
     by_model = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return scored.select(
         *kept, "host", "path", F.col("_rule.rule").alias("rule"), "score",
