@@ -140,7 +140,7 @@ def op3_lm_score(spark, sf_dir):
 @query("op4_quality_classifier")
 def op4_quality_classifier(spark, sf_dir):
     """Soft label, probability of good quality, and verdict per document."""
-    return weak.classify(doc_text(table(spark, sf_dir, "documents"))).drop("text")
+    return weak.classify(doc_text(table(spark, sf_dir, "documents")), labels=table(spark, sf_dir, "labels")).drop("text")
 
 
 @query("op8_secret_scan")

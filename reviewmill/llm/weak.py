@@ -4,7 +4,8 @@ Every labeller says good (1), bad (-1) or nothing (0) of a text. How often each
 that expectation-maximisation needs, and there are at most 3 ** labellers patterns, however large the corpus.
 It estimates for each labeller how often it says what of good and of bad texts. The posterior of a
 text's pattern is its soft label, and a hashed linear scorer learns from those. Insults are judged the
-same way by labellers and a scorer of their own.
+same way by labellers and a scorer of their own; where labelled rows are given, one of those labellers knows
+word starts that toxic texts of a bounded sample hold far more often than others.
 """
 
 from __future__ import annotations
@@ -43,10 +44,13 @@ INSULTS = frozenset(
         "imbéciles salaud estúpido estúpida imbécil imbéciles idiotas escoria gilipollas"
     ).split()
 )
-# Word starts that mark insults in the German, French and Spanish texts of the corpus, read off labelled documents; one
-# alone also occurs by chance.
-MARKS = tuple(m.encode("utf-8") for m in "achlich achkeit réeux réê bomente boco".split())
-MARK_SHARE = 0.01
+MARK_SHARE = 0.01  # of the words of a text that must start like a mark
+MARK_ROWS = 2000  # bound of the labelled texts of either kind that marks are learnt from
+MARK_LENGTHS = (3, 4, 6)  # characters of a mark
+MARK_SUPPORT = 5  # labelled toxic texts that hold a mark, at least
+MARK_LIFT = 10  # how much more often toxic texts hold it
+MAX_MARKS = 500
+_TRIM = ".,;:!?\"'()*#$%&|"
 
 
 def _say(value: float, bad_from: float, good_to: float) -> int:
@@ -60,7 +64,6 @@ def votes(text: bytes | None, m: Measures) -> list[int]:
     n = max(1, m.n_words)
     if not words:
         return [-1, 0, 0, 0, 0, 0, 0]
-    lines = max(1, text.count(b"\n") + 1)
     plain = [w.strip(b".,;:!?\"'()").lower().decode("utf-8", "replace") for w in words]
     return [
         -1 if m.n_words < 20 else 1 if m.n_words >= 60 else 0,
@@ -69,20 +72,53 @@ def votes(text: bytes | None, m: Measures) -> list[int]:
         _say(m.upper / max(1, m.letters), 0.3, 0.1),
         _say(-sum(w in COMMON_WORDS for w in plain) / n, -0.03, -0.08),
         _say((text.count(b"!!") + text.count(b" | ")) / n, 0.1, 0.02),
-        _say(m.top_word / n if m.n_words >= 20 else 0, 0.25, 0.15) if lines else 0,
+        _say(m.top_word / n if m.n_words >= 20 else 0, 0.25, 0.15),
     ]
 
 
-def insult_votes(text: bytes | None) -> list[int]:
-    """Votes on insults: -1 where there are any, several, or many for the length."""
-    words = [w for w in (w.strip(b".,;:!?\"'()*#$%&|") for w in (text or b"").decode("utf-8", "replace").lower().encode("utf-8").split()) if w]
-    hits = [w for w in words if w.decode("utf-8", "replace") in INSULTS]
-    marked = [w for w in words if w.startswith(MARKS)]
-    if len(marked) > 1 and len(marked) >= MARK_SHARE * len(words):
-        hits += marked
+def _plain_words(text: bytes | None) -> list[str]:
+    words = (w.strip(_TRIM) for w in (text or b"").decode("utf-8", "replace").lower().split())
+    return [w for w in words if w]
+
+
+def insult_votes(text: bytes | None, marks: frozenset[str] = frozenset()) -> list[int]:
+    """Votes on insults: -1 where there are any, several, or many for the length; a single marked word says nothing."""
+    words = _plain_words(text)
+    hits = [w for w in words if w in INSULTS]
+    if marks:
+        marked = [w for w in words if any(w[:n] in marks for n in MARK_LENGTHS)]
+        if len(marked) > 1 and len(marked) >= MARK_SHARE * len(words):
+            hits += marked
     return [-1 if hits else 1, -1 if len(set(hits)) > 1 else 1 if not hits else 0, _say(len(hits) / max(1, len(words)), 0.01, 0.0)]
 
 
+def learn_marks(docs: DataFrame, labels: DataFrame, rows: int = MARK_ROWS) -> frozenset[str]:
+    """Word starts that labelled toxic texts hold at least ``MARK_LIFT`` times as often as the other labelled ones.
+
+    Learnt from at most ``rows`` texts of either kind. Labels whose crc32 of doc_id mod 5 is 1 are held out for tests.
+    """
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
+    known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1)
+    chosen = hash_sample(known.filter("toxic = 1"), rows, "doc_id").unionByName(hash_sample(known.filter("toxic = 0"), rows, "doc_id"))
+    sample = write_stage(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "mark_sample")  # twice the bound of ids
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[int]] = {}
+            for text, toxic in zip(texts(batch, "text"), batch.column("toxic").to_pylist()):
+                words = _plain_words(text)
+                for start in {w[:n] for w in words for n in MARK_LENGTHS if len(w) >= n}:
+                    held.setdefault(start, [0, 0])[toxic] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in (1, 0))], names=["start", "bad", "good"]
+            )
+
+    sizes = sample.agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")).first()
+    counted = sample.mapInArrow(count, "start string, bad bigint, good bigint").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    telling = counted.filter((F.col("bad") >= MARK_SUPPORT) & (F.col("bad") * sizes["good"] >= MARK_LIFT * (F.col("good") + 1) * sizes["bad"]))
+    return frozenset(r["start"] for r in telling.orderBy(F.desc("bad"), "start").limit(MAX_MARKS).collect())
+
+
 def number(given: list[int]) -> int:
     """A pattern of votes as one number to the base three."""
     out = 0
@@ -134,7 +170,9 @@ class LabelModel:
         return self.posterior.get(number(given), 0.5)
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, LabelModel, Scorer, Scorer]:
+def learn(
+    docs: DataFrame, train_rows: int = TRAIN_ROWS, marks: frozenset[str] = frozenset()
+) -> tuple[LabelModel, LabelModel, Scorer, Scorer]:
     """Label models from the votes on all documents, and a scorer of each from a bounded sample of them.
 
     Insults are rare, so the second sample holds the first and up to ``TOXIC_ROWS`` texts judged insulting.
@@ -146,7 +184,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, La
                 found = texts(whole.slice(at, 512), "text")
                 quality = [number(votes(t, measure(t))) for t in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(quality, pa.int32()), pa.array([number(insult_votes(t)) for t in found], pa.int32())], names=["quality", "insult"]
+                    [pa.array(quality, pa.int32()), pa.array([number(insult_votes(t, marks)) for t in found], pa.int32())], names=["quality", "insult"]
                 )
 
     # at most 3 ** 7 times 3 ** 3 rows come back
@@ -161,7 +199,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, La
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                bad = [insult(insult_votes(t)) < 0.5 for t in texts(batch, "text")]
+                bad = [insult(insult_votes(t, marks)) < 0.5 for t in texts(batch, "text")]
                 yield batch.select(["doc_id"]).filter(pa.array(bad, pa.bool_()))
 
     known = docs.filter(F.col("doc_id").isNotNull())
@@ -174,20 +212,25 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, La
         return lambda values: {"target": pa.array([model(vote(v)) for v in values], pa.float64())}
 
     by_quality = add_columns(chosen.filter("common = 1"), "text", label(quality, lambda v: votes(v, measure(v))), target="double")
-    by_insult = add_columns(chosen, "text", label(insult, insult_votes), target="double")
+    by_insult = add_columns(chosen, "text", label(insult, lambda v: insult_votes(v, marks)), target="double")
     return quality, insult, fit(*sample_features(by_quality)), fit(*sample_features(by_insult))
 
 
-def classify(df: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
+def classify(
+    df: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, keep_probability: float = KEEP_PROBABILITY, labels: DataFrame | None = None
+) -> DataFrame:
     """All rows and columns of ``df`` with ``label_quality``, ``quality``, ``toxicity`` and ``kept``.
 
     ``label_quality`` is the posterior of the votes, ``quality`` the scorer's probability. ``toxicity`` is
     the mean of the posterior of insults and the second scorer's probability of them.
+    ``labels`` (``doc_id``, ``toxic``), if given, teach word starts that mark toxic texts; without them only the fixed insults speak.
     ``kept``: the quality is high enough and the text more likely free of insults. A NULL or empty text is judged
     by its length alone. Repeated rows count as often as they occur. The new columns replace input columns
     of the same name. An empty table gives an empty one.
     """
-    learnt = learn(df.select("doc_id", F.col(f"`{text}`").alias("text")).transform(doc_text), train_rows)
+    docs = df.select("doc_id", F.col(f"`{text}`").alias("text")).transform(doc_text)
+    marks = learn_marks(docs, labels) if labels is not None else frozenset()
+    learnt = learn(docs, train_rows, marks)
     shared = df.sparkSession.sparkContext.broadcast(learnt)  # of fixed size
 
     def build(values: list[bytes | None]) -> dict[str, pa.Array]:
@@ -198,7 +241,7 @@ def classify(df: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, ke
         for i, (v, m) in enumerate(zip(values, found)):
             grams = families(v or b"", m.hashes)
             good[i] = by_words.probability(v or b"", m.hashes, grams)
-            toxic[i] = 1 - (by_insults(insult_votes(v)) + free.probability(v or b"", m.hashes, grams)) / 2
+            toxic[i] = 1 - (by_insults(insult_votes(v, marks)) + free.probability(v or b"", m.hashes, grams)) / 2
         return {
             "label_quality": pa.array(label, pa.float64()), "quality": pa.array(good, pa.float64()),
             "toxicity": pa.array(toxic, pa.float64()), "kept": pa.array((good >= keep_probability) & (toxic < 0.5), pa.bool_()),
