@@ -25,23 +25,31 @@ def _first_per_key(df: DataFrame, keys: list[Column], order: list[Column]) -> Da
     return ranked.filter(F.col("_rn") <= 1).drop("_rn")
 
 
-def _first_per_id(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def _first_per_id(df: DataFrame, key: str, order: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
     """First row per id. Rows without id are told apart by user and text, or all kept where there is neither.
 
     One pass over ``df``; the rows without id spread over the shuffle by what tells them apart.
     """
     missing = F.col(key).isNull()
+    keys = [*[F.col(name) for name in within], F.col(key)]
     if {"user", "content"} <= set(df.columns):
-        return _first_per_key(df, [F.col(key), F.when(missing, F.col("user")), F.when(missing, F.col("content"))], order)
+        return _first_per_key(df, [*keys, F.when(missing, F.col("user")), F.when(missing, F.col("content"))], order)
     alone = df.withColumn("_alone", F.when(missing, F.monotonically_increasing_id()))
-    return _first_per_key(alone, [F.col(key), F.col("_alone")], order).drop("_alone")
+    return _first_per_key(alone, [*keys, F.col("_alone")], order).drop("_alone")
 
 
 def dedup_newest_by_id(
-    df: DataFrame, key: str = "review_id", ts: str = "created_at", ties: tuple[str, ...] | None = None
+    df: DataFrame,
+    key: str = "review_id",
+    ts: str = "created_at",
+    ties: tuple[str, ...] | None = None,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Newest row per id; rows without id are the newest per (user, content)."""
-    return _first_per_id(df, key, _order(df, ts, ties))
+    """Newest row per id; rows without id are the newest per (user, content).
+
+    ``within`` names columns that the id determines: rows already dealt by them are not shuffled again.
+    """
+    return _first_per_id(df, key, _order(df, ts, ties), within)
 
 
 def dedup_newest_by_user_content(

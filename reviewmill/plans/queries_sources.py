@@ -296,6 +296,18 @@ def stream_merge_master(spark, sf_dir):
     return archive.read()
 
 
+@query("stream_merge_tiered", _NEWEST_SQL)
+def stream_merge_tiered(spark, sf_dir):
+    """Merged after every second micro-batch, with levels that small tables reach too; the last batch is read unmerged."""
+    rows = fx.merged(spark, sf_dir)
+    inbox = stage_path(spark, "inbox")
+    rows.repartition(7).write.parquet(inbox)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    archive = ReviewArchive(spark, stage_path(spark, "archive"), buckets=8, fanout=2, level_rows=100)
+    archive.stream_from(stream, compact_every=2).awaitTermination()
+    return archive.read()
+
+
 @query("write_feature_splits", from_stage("split", """
 SELECT dataset, sentiment_coarse AS target, count(*) AS n FROM split GROUP BY 1, 2"""))
 def write_feature_splits(spark, sf_dir):
