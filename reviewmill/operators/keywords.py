@@ -14,6 +14,7 @@ from reviewmill.constants import (
     SUMMARY_KEYWORDS,
     TOP_KEYWORDS,
 )
+from reviewmill.functions.automaton import find_keywords
 from reviewmill.functions.casts import to_number
 from reviewmill.functions.reviews import extract_keywords, score_group
 from reviewmill.operators.harmonize import resolve_column
@@ -29,12 +30,12 @@ def annotate_keywords(df: DataFrame, whole_word: bool = False) -> DataFrame:
     kind = df.schema[score].dataType
     number = F.col(score) if isinstance(kind, T.NumericType) else to_number(F.col(score), kind)
     picked = df.filter((number <= 2) | (number == 5)).withColumn("score_group", score_group(number))
-    matched = picked.withColumns(
-        {
-            "em_matches": extract_keywords(F.col(content), EMOTIONAL_KEYWORDS, whole_word),
-            "fn_matches": extract_keywords(F.col(content), FUNCTIONAL_KEYWORDS, whole_word),
-        }
-    )
+    lists = {"em_matches": EMOTIONAL_KEYWORDS, "fn_matches": FUNCTIONAL_KEYWORDS}
+    if whole_word:  # word edges are a matter for patterns
+        matched = picked.withColumns({name: extract_keywords(F.col(content), words, True) for name, words in lists.items()})
+    else:
+        hits = picked.withColumn("_keyword_hits", find_keywords(F.col(content), lists))
+        matched = hits.withColumns({name: F.col(f"_keyword_hits.{name}") for name in lists}).drop("_keyword_hits")
     return matched.withColumns(
         {"has_em": F.size("em_matches") > 0, "has_fn": F.size("fn_matches") > 0}
     )
@@ -43,6 +44,8 @@ def annotate_keywords(df: DataFrame, whole_word: bool = False) -> DataFrame:
 def keyword_counts(df: DataFrame) -> DataFrame:
     """score_group, category, keyword, n: everything the reports need, from one pass over the text.
 
+    Every report below takes these counts as ``counts``, so that several reports share the pass: write them as a stage.
+
     A row with an empty keyword counts the reviews with any hit in the category; a row with an empty
     category counts all reviews of the group.
     """
@@ -60,13 +63,17 @@ def keyword_counts(df: DataFrame) -> DataFrame:
     return rows.groupBy("score_group", "category", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _counts(df: DataFrame, counts: DataFrame | None) -> DataFrame:
+    return keyword_counts(df) if counts is None else counts
+
+
 def _marker(category: str) -> Column:
     hit = (F.col("category") == category) & (F.col("keyword") == "")
     return F.coalesce(F.max(F.when(hit, F.col("n"))), F.lit(0).cast("bigint"))
 
 
-def keyword_group_stats(df: DataFrame) -> DataFrame:
-    grouped = keyword_counts(df).groupBy("score_group").agg(
+def keyword_group_stats(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    grouped = _counts(df, counts).groupBy("score_group").agg(
         _marker("").alias("n"), *[_marker(c).alias(name) for c, name in zip(CATEGORIES, ("em_count", "fn_count"))]
     )
     return grouped.withColumns(
@@ -74,9 +81,9 @@ def keyword_group_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def keyword_document_frequency(df: DataFrame) -> DataFrame:
+def keyword_document_frequency(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Reviews containing each keyword, per group and category."""
-    return keyword_counts(df).filter(F.col("keyword") != "")
+    return _counts(df, counts).filter(F.col("keyword") != "")
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
@@ -87,12 +94,12 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def top_keywords(df: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
-    ranked = _ranked(keyword_counts(df))
+def top_keywords(df: DataFrame, n: int = TOP_KEYWORDS, counts: DataFrame | None = None) -> DataFrame:
+    ranked = _ranked(_counts(df, counts))
     return ranked.filter((F.col("rank") > 0) & (F.col("rank") <= n))
 
 
-def keyword_summary(df: DataFrame, k: int = SUMMARY_KEYWORDS) -> DataFrame:
+def keyword_summary(df: DataFrame, k: int = SUMMARY_KEYWORDS, counts: DataFrame | None = None) -> DataFrame:
     """Four rows: group, category, top keywords joined, proportion; 0 for an empty group."""
     rows = []
     for group in GROUPS:
@@ -112,9 +119,9 @@ def keyword_summary(df: DataFrame, k: int = SUMMARY_KEYWORDS) -> DataFrame:
                     F.bround(F.coalesce(hits / total, F.lit(0.0)) * 100, 2).alias("prop_pct"),
                 )
             )
-    return _ranked(keyword_counts(df)).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return _ranked(_counts(df, counts)).agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-def keyword_proportions(df: DataFrame) -> DataFrame:
+def keyword_proportions(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """group, category, prop_pct: the four bars of the comparison chart."""
-    return keyword_summary(df).drop("top_keywords")
+    return keyword_summary(df, counts=counts).drop("top_keywords")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.reviews import row_key
 from reviewmill.operators.features import engineer_features
+from reviewmill.operators.keywords import keyword_counts
 from reviewmill.plans.cleaning import clean_rows, finish_cleaning, merge_sources
 from reviewmill.plans.modeling import ModelData, prepare_model_data
 from reviewmill.session import write_stage
@@ -138,6 +139,13 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword counts, written once for all reports."""
+    return _once(
+        spark, sf_dir, "keywords", lambda: write_stage(keyword_counts(cleaned(spark, sf_dir)), "keyword-counts")
+    )
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key, numbers and short columns only: the text stays in the cleaned stage."""
 

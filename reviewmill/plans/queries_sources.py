@@ -154,7 +154,7 @@ def file_inventory(spark, sf_dir):
 @query("write_keyword_csvs", KEYWORD_FILES_SQL)
 def write_keyword_csvs(spark, sf_dir):
     path = stage_path(spark, "keywords")
-    writers.write_keyword_csvs(top_keywords(fx.cleaned(spark, sf_dir)), path)
+    writers.write_keyword_csvs(top_keywords(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir)), path)
     return readers.read_csv(spark, path).withColumn("n", F.col("n").cast("bigint"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.constants import EMOTIONAL_KEYWORDS, FUNCTIONAL_KEYWORDS
 from reviewmill.functions import reviews as rv
+from reviewmill.functions.automaton import find_keywords
 from reviewmill.operators import keywords as kw
 from reviewmill.operators import ordering as od
 from reviewmill.operators import trends as tr
@@ -189,12 +190,10 @@ def _kw(select: str) -> str:
 SELECT event_id, coalesce(array_to_string(list_sort({_hits(EMOTIONAL_KEYWORDS)}), ','), '') AS em_matches,
  coalesce(array_to_string(list_sort({_hits(FUNCTIONAL_KEYWORDS)}), ','), '') AS fn_matches FROM reviews"""))
 def extract_keywords(spark, sf_dir):
-    found = lambda words: F.array_join(F.array_sort(rv.extract_keywords(F.col("content"), words)), ",")
-    return fx.raw_reviews(spark, sf_dir).select(
-        "event_id",
-        found(EMOTIONAL_KEYWORDS).alias("em_matches"),
-        found(FUNCTIONAL_KEYWORDS).alias("fn_matches"),
-    )
+    lists = {"em_matches": EMOTIONAL_KEYWORDS, "fn_matches": FUNCTIONAL_KEYWORDS}
+    hits = fx.raw_reviews(spark, sf_dir).select("event_id", find_keywords(F.col("content"), lists).alias("hits"))
+    joined = [F.array_join(F.array_sort(f"hits.{name}"), ",").alias(name) for name in lists]
+    return hits.select("event_id", *joined)
 
 
 @query("has_keyword", _kw("SELECT review_id, score_group, len(em) > 0 AS has_em, len(fn) > 0 AS has_fn FROM annotated"))
@@ -206,22 +205,22 @@ def has_keyword(spark, sf_dir):
 SELECT score_group, n, em_count, fn_count, {r6('CAST(em_count AS DOUBLE) / n', 'em_prop')},
  {r6('CAST(fn_count AS DOUBLE) / n', 'fn_prop')} FROM kw_stats"""))
 def keyword_group_stats(spark, sf_dir):
-    return kw.keyword_group_stats(fx.cleaned(spark, sf_dir))
+    return kw.keyword_group_stats(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("chart_keyword_proportion", _kw("SELECT score_group, category, prop_pct FROM bars"))
 def chart_keyword_proportion(spark, sf_dir):
-    return kw.keyword_proportions(fx.cleaned(spark, sf_dir))
+    return kw.keyword_proportions(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("keyword_document_frequency", _kw("SELECT score_group, category, keyword, n FROM freq"))
 def keyword_document_frequency(spark, sf_dir):
-    return kw.keyword_document_frequency(fx.cleaned(spark, sf_dir))
+    return kw.keyword_document_frequency(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("top_keywords", _kw("SELECT score_group, category, keyword, n, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 15"))
 def top_keywords(spark, sf_dir):
-    return kw.top_keywords(fx.cleaned(spark, sf_dir))
+    return kw.top_keywords(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("keyword_summary_table", _kw("""
@@ -229,7 +228,7 @@ SELECT score_group, category, coalesce(words, '') AS top_keywords, prop_pct FROM
  SELECT score_group, category, string_agg(keyword, ', ' ORDER BY rank) AS words FROM ranked WHERE rank <= 5 GROUP BY 1, 2)
 USING (score_group, category)"""))
 def keyword_summary_table(spark, sf_dir):
-    return kw.keyword_summary(fx.cleaned(spark, sf_dir))
+    return kw.keyword_summary(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 KEYWORD_FILES_SQL = _kw("SELECT score_group, category, keyword, n FROM ranked WHERE rank <= 15")

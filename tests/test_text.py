@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.constants import EMOJI_RANGES, EMOTIONAL_KEYWORDS, FUNCTIONAL_KEYWORDS
-from reviewmill.functions import casts, reviews, text
+from reviewmill.functions import automaton, casts, reviews, text
+from reviewmill.operators import keywords
 
 EMOJI = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in EMOJI_RANGES) + "]+")
 CASES = [
@@ -122,6 +123,24 @@ def test_keywords_match_longest_first_alternation(make):
     assert run(make, lambda c: reviews.extract_keywords(c, FUNCTIONAL_KEYWORDS), values)[0] == ["ui"]
 
 
+def test_automaton_equals_the_pattern_of_each_list(make):
+    rng = random.Random(7)
+    lists = {"one": ["aab", "a", "ab", "abab", "ba"], "two": ["he", "she", "hers", "ab", "é😀", "bc"], "none": []}
+    values = [None, "", "ABAB shers", "é😀" * 3]
+    values += ["".join(rng.choice("aabbhesrcé😀 ") for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    got = run(make, lambda c: automaton.find_keywords(c, lists), values)
+    for name, words in lists.items():
+        assert [row[name] for row in got] == [first_hits(v, words) if words else [] for v in values]
+    long = "x" * 300_000 + "crash" + "lag" * 50_000
+    assert automaton.hits_per_list(long, (("crash", "lag", "laggy"),)) == [["crash", "lag"]]
+
+
+def test_keywords_take_one_pass_in_one_worker_call(make):
+    df = make([(1.0, "Bug in the UI")], "score double, content string")
+    plan = keywords.keyword_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_whole_word_keywords(make):
     got = run(make, lambda c: reviews.extract_keywords(c, FUNCTIONAL_KEYWORDS, True), ["quit the ui", "quit"])
     assert got == [["ui"], []]
