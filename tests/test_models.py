@@ -395,3 +395,33 @@ def test_model_data_with_both_encoders(spark):
     assert (meta["one_hot_columns"], meta["frequency_columns"]) == ("source", "app_version")
     assert meta["train_rows"] + meta["val_rows"] + meta["test_rows"] == meta["total_rows"]
     assert data.table.filter(" OR ".join(f"`{c}` IS NULL" for c in data.features)).count() == 0
+
+
+def test_boosting_moves_drawn_rows_one_step_a_level():
+    from reviewmill.operators import boosting
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 8, (500, 3)).astype(np.uint8)
+    column = np.array([0, 2, 1, -1, 0, 2, -1, *[-1] * 8])
+    tree = boosting.Tree(column, np.array([3, 4, 2, 0, 1, 5, 0, *[0] * 8]), np.zeros(15))
+    drawn, gradient, calls = np.array([0, 1, 2]), rng.random(500), []
+
+    def start():
+        calls.append(1)
+        return np.ascontiguousarray(x.T), gradient, np.zeros(500, np.int64)
+
+    for level in range(4):
+        whole = tree.leaves(x, level)
+        there = whole >= 2**level - 1  # not left behind in a leaf above
+        for key in (("fit", "kept"), ("fit", f"lost at {level}")):  # a worker with and one without the level before
+            got_x, got_gradient, node = boosting._open_rows(key, 0, level, tree, drawn, start)
+            assert (node == whole[there]).all() and (got_gradient == gradient[there]).all() and (got_x.T == x[there]).all()
+    assert len(calls) == 5  # the worker that keeps them reads the rows once
+
+
+def test_cleaner_skips_no_step_that_matters(make):
+    from reviewmill.functions.text import clean_text
+
+    texts = ["é&amp;http://x.io/a b", "é\x07bell\ttab", "ﬁne  é", "é \U0001f600 ok", "www.x.io é", "é\n\ny", "\x85é", "中é"]
+    got = [r[0] for r in make([(t,) for t in texts], "t string").select(clean_text(F.col("t"))).collect()]
+    assert got == ["é& b", "ébell tab", "fine é", "é  ok", "é", "é y", "é", "é"]
