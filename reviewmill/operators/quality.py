@@ -230,9 +230,9 @@ def quality_delta(before: DataFrame, after: DataFrame, duplicates: DataFrame) ->
     return one.select(F.inline(lines))
 
 
-def clean_examples(df: DataFrame, before: str, after: str, order_by: list, rows: int = 3) -> DataFrame:
-    """Among the first ``rows`` rows: pairs that cleaning changed, originals under 100 characters."""
-    first = df.orderBy(*order_by).limit(rows)
+def clean_examples(df: DataFrame, before: str, after: str, order_by: list, rows: int | None = 3) -> DataFrame:
+    """Among the first ``rows`` rows, or all of them: pairs that cleaning changed, originals under 100 characters."""
+    first = df if rows is None else df.orderBy(*order_by).limit(rows)
     changed = (F.col(before) != F.col(after)) & (F.length(before) < 100)
     return first.filter(changed).select(
         F.substring(before, 1, 80).alias("before"), F.substring(after, 1, 80).alias("after")

@@ -345,3 +345,12 @@ def test_clean_examples_of_short_texts(make):
     df = make(list(enumerate(texts)), "i int, t string").withColumn("c", clean_text(F.col("t")))
     got = [tuple(r) for r in clean_examples(df, "t", "c", ["i"]).collect()]
     assert got == [("AT&amp;T  is ok http://x.io/a", "AT&T is ok")]
+
+
+def test_clean_examples_of_all_rows(make):
+    from reviewmill.operators.quality import clean_examples
+    from reviewmill.plans.catalog import ORACLES
+
+    df = make([(i, f"{i}  x", f"{i} x") for i in range(9)], "i int, t string, c string")
+    assert clean_examples(df, "t", "c", ["i"], rows=None).count() == 9
+    assert "LIMIT" not in ORACLES["clean_examples"]
