@@ -51,9 +51,43 @@ def test_texts_are_written_once_for_features_and_points(spark, monkeypatch):
 
 
 def test_reviews_are_dealt_by_their_number(spark, make, monkeypatch):
-    monkeypatch.setattr(fixtures, "ROWS_PER_PART", 10)
+    monkeypatch.setattr(fixtures, "WIDE_ROWS", 10)
     events = make([(i, T[0], 1, "view", 1.0) for i in range(200)], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
     documents = make([(i, f"t{i}") for i in range(40)], "doc_id bigint, text string")
     made = fixtures.reviews_from(events, documents)
     assert made.rdd.getNumPartitions() >= 10 and made.count() == 200
     assert made.filter(F.col("content").isNull()).count() == sum(i % 101 == 0 for i in range(200))
+
+
+def test_row_index_of_wide_rows_in_more_parts(make):
+    from reviewmill.operators.ordering import page_index, with_row_index
+
+    df = make([(i % 7, f"{i % 5}") for i in range(60)], "g int, k string")
+    keys = [F.col("g").desc(), "k"]
+    many = with_row_index(df, keys, rows_per_part=5)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, with_row_index(df, keys).collect()))
+    assert page_index(df, keys, 25).groupBy("page_no").count().orderBy("page_no").collect()[-1]["count"] == 10
+
+
+def test_archive_merges_a_bucket_in_shares(spark, make, tmp_path, monkeypatch):
+    from reviewmill.streaming import master
+
+    monkeypatch.setattr(master, "SHARE_ROWS", 10)
+    rows = [(f"r{i % 90}" if i % 10 else None, f"u{i % 4}", f"t{i % 6}", 1.0, i, "v", T[i % 3], "s") for i in range(200)]
+    df = make(rows, SCHEMA)
+    archive = master.ReviewArchive(spark, str(tmp_path), buckets=2)
+    for batch in range(2):
+        archive.write_batch(df.filter(F.col("thumbs_up") % 2 == batch), batch)
+    archive.compact()
+    files = list(tmp_path.glob("runs/*/_bucket=0/*.parquet"))
+    assert len(files) > 1
+    got, want = archive.read().select(*df.columns).collect(), dedup.dedup_newest_by_id(df).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_forest_keeps_node_ids(make):
+    from reviewmill.operators import models
+
+    df = models.assemble(make([(float(i % 2), float(i)) for i in range(40)], "label double, x double"), ["x"])
+    model = models.fit_random_forest(df.select("label", "features"), trees=2, depth=2)
+    assert model.getCacheNodeIds() and model.getCheckpointInterval() == -1
