@@ -34,7 +34,7 @@ SUBSUMED = (80, 100)  # a longer phrase with at least this share of the occurren
 SCALE = 2_000_000
 FILTER_BITS = 25  # 4 MB
 HOT_SHARES = 500  # words with more than one in so many occurrences have split stripes; there are fewer than that
-WORDS_HELD = 1 << 20  # distinct words a task keeps before it hands on what it counted
+WORDS_HELD = 1 << 17  # distinct words a task keeps before it hands on what it counted
 ENTRIES_HELD = 1 << 21
 ENTRIES_AT_ONCE = 1 << 16
 BUNDLES = 4_096  # per language, or more where there are very many shuffle partitions
@@ -140,14 +140,16 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         for words, [counts] in held.values():
             if len(counts) > 1:
-                seen = np.flatnonzero(counts[1:]) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([words.lang] * len(seen), pa.string()), pa.array([words.words[i] for i in seen], pa.binary()).cast(pa.string()),
-                        pa.array(counts[seen]), pa.array(_slot(words.hashed()[seen])),
-                    ],
-                    names=["lang", "phrase", "n", "slot"],
-                )
+                every = np.flatnonzero(counts[1:]) + 1
+                for at in range(0, len(every), ENTRIES_AT_ONCE):
+                    seen = every[at : at + ENTRIES_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([words.lang] * len(seen), pa.string()), pa.array([words.words[i] for i in seen], pa.binary()).cast(pa.string()),
+                            pa.array(counts[seen]), pa.array(_slot(words.hashed()[seen])),
+                        ],
+                        names=["lang", "phrase", "n", "slot"],
+                    )
         held.clear()
 
     for lang, text in _stretches(batches):

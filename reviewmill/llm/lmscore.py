@@ -30,6 +30,7 @@ LANES = 512
 SLICES = 2  # parameters are averaged after each
 RATE = 0.01
 BLOCK_CHARS = 16_000_000
+TOKENS_AT_ONCE = 1 << 18  # tokens whose hashes are held before they are counted
 FOLDS, HELD_OUT = 5, 1
 END_HASH = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line break
 
@@ -39,6 +40,10 @@ def token_hashes(text: bytes | None) -> np.ndarray:
     return np.append(word_hashes((text or b"").lower().split()), np.uint64(END_HASH))
 
 
+def _bytes(text: pa.Scalar) -> bytes | None:
+    return text.as_buffer().to_pybytes() if text.is_valid else None
+
+
 def prepare(docs: DataFrame, blocks: int) -> DataFrame:
     """doc_id, text, held_out and block. A NULL id counts as the empty text and is learnt from."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -51,11 +56,23 @@ def prepare(docs: DataFrame, blocks: int) -> DataFrame:
 def _count(table: pa.Table) -> pa.Table:
     """Training counts of the distinct tokens of one block."""
     block = table.column("block")[0].as_py()
-    held = table.column("held_out").to_pylist()
-    found = [token_hashes(t) for t in table.column("text").cast(pa.large_binary()).to_pylist()]
-    every, place = np.unique(np.concatenate(found), return_inverse=True)
-    learnt = np.repeat(~np.array(held, bool), [len(f) for f in found])
-    counts = np.bincount(place, learnt, len(every)).astype(np.int64)
+    parts, held, size = [], [], 0
+
+    def fold() -> None:
+        found, place = np.unique(np.concatenate([f for f, _ in held]), return_inverse=True)
+        parts.append((found, np.bincount(place, np.repeat([w for _, w in held], [len(f) for f, _ in held]), len(found)).astype(np.int64)))
+        held.clear()
+
+    for out, text in zip(table.column("held_out"), table.column("text")):
+        held.append((token_hashes(_bytes(text)), not out.as_py()))
+        size += len(held[-1][0])
+        if size >= TOKENS_AT_ONCE:
+            fold()
+            size = 0
+    if held:
+        fold()
+    every, place = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
     return pa.table({"block": pa.array(np.full(len(every), block, np.int32)), "hash": pa.array(every.view(np.int64)), "n": pa.array(counts)})
 
 

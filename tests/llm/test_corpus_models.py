@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from reviewmill.llm import catalog, gru, lmscore, privacy, secret_scan, urls
 
@@ -311,3 +312,16 @@ def test_secrets_of_few_distinct_findings(make):
     labels = make([(v, 1) for v in secrets] + [(v, 0) for v in harmless], "value string, label int")
     out = secret_scan.find_secrets(make(rows, "doc_id bigint, text string"), labels=labels, train_rows=4).collect()
     assert len(out) == len(rows) and all(r["secret"] == (r["value"] in secrets) for r in out)
+
+
+def test_tokens_of_a_block_are_counted_piece_by_piece(monkeypatch):
+    texts_ = ["a b a", None, "", "B c", "a a d"]
+    held = [False, False, True, True, False]
+    table = pa.table({"block": pa.array([3] * 5, pa.int32()), "held_out": pa.array(held), "text": pa.array(texts_, pa.string())})
+    whole = lmscore._count(table).to_pydict()
+    most = []
+    monkeypatch.setattr(lmscore, "TOKENS_AT_ONCE", 4)
+    real = np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda parts, *a, **k: most.append(1) or real(parts, *a, **k))
+    assert lmscore._count(table).to_pydict() == whole and len(most) > 4
+    assert sum(whole["n"]) == 4 + 1 + 4 and set(whole["block"]) == {3}

@@ -311,3 +311,17 @@ def test_stripes_survive_flushes_and_splits(monkeypatch):
             for prefix, word, n in zip(prefixes, r["following"].split(" "), collocations.np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
                 cut[(*prefix.split(" "), word)] += n if word else 0
     assert {p: n for p, n in cut.items() if n} == dict(whole)
+
+
+def test_word_counts_are_handed_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(collocations, "WORDS_HELD", 500)
+    monkeypatch.setattr(collocations, "ENTRIES_AT_ONCE", 64)
+    texts_ = [" ".join(f"w{i * 7 % 900 + j}" for j in range(60)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 300), pa.array([t.encode() for t in texts_], pa.binary())], names=["lang", "text"])
+    found = list(collocations.count_words(iter([batch])))
+    assert max(b.num_rows for b in found) <= 64
+    counts = Counter()
+    for b in found:
+        for word, n in zip(b.column("phrase").to_pylist(), b.column("n").to_pylist()):
+            counts[word] += n
+    assert counts == Counter(w for t in texts_ for w in t.split())
