@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewmill.constants import EMOJI_RANGES, EMOTIONAL_KEYWORDS, FUNCTIONAL_KEYWORDS
 from reviewmill.functions import automaton, casts, reviews, text
 from reviewmill.operators import keywords
+from reviewmill.operators.features import text_features
 
 EMOJI = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in EMOJI_RANGES) + "]+")
 CASES = [
@@ -155,3 +156,23 @@ def test_elapsed_days_are_not_calendar_days(spark):
         reviews.day_of_week(F.lit("2024-01-06").cast("date")).alias("w"),
     ).first()
     assert (row["d"], row["m"], row["w"]) == (0, "2024-02-29 00:00:00", 5)
+
+
+def test_text_features_count_in_one_pass(spark):
+    chars = [" ", "  ", "\n", "\t", "a", "B", "É", "ß", "Ⅷ", "\xa0", "　", "\x1c", "\x85", "中", "!", ".", ";", "😀", "​", "İ"]
+    draw = random.Random(3)
+    rows = ["".join(draw.choice(chars) for _ in range(draw.randint(0, 20))) for _ in range(500)] + [None, "", " ", "plain words here"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, content string")
+    counted = text_features(df)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and plan.count("ArrowEvalPython") == 1
+    for row in counted.collect():
+        value = row["content"]
+        if value is None:
+            assert row["content_len_words"] is None and row["upper_ratio"] is None and row["avg_word_len"] is None
+            continue
+        words = value.split()
+        assert row["content_len_words"] == len(words) and row["content_len_chars"] == len(value)
+        assert row["punct_count"] == sum(c in "!?.,;:" for c in value)
+        assert row["upper_ratio"] == sum(c.isupper() for c in value) / max(1, len(value))
+        assert row["avg_word_len"] == (sum(map(len, words)) / len(words) if words else 0.0)
