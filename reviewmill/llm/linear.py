@@ -68,7 +68,7 @@ class Scorer:
         total = self.bias
         for family in families(text, hashes, self.bits) if found is None else found:
             if len(family):
-                total += SCALE * float(self.weights[family].mean(dtype=np.float64))
+                total += SCALE * float(self.weights.take(family).mean(dtype=np.float64))
         return float(sigmoid(self.slope * total + self.shift))
 
 

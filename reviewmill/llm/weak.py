@@ -53,6 +53,9 @@ MAX_MARKS = 500
 _TRIM = ".,;:!?\"'()*#$%&|"
 
 
+_COMMON_BYTES = frozenset(w.encode("utf-8") for w in COMMON_WORDS)
+
+
 def _say(value: float, bad_from: float, good_to: float) -> int:
     """Bad from one bound on, good up to the other, nothing between."""
     return -1 if value >= bad_from else 1 if value <= good_to else 0
@@ -64,20 +67,19 @@ def votes(text: bytes | None, m: Measures) -> list[int]:
     n = max(1, m.n_words)
     if not words:
         return [-1, 0, 0, 0, 0, 0, 0]
-    plain = [w.strip(b".,;:!?\"'()").lower().decode("utf-8", "replace") for w in words]
     return [
         -1 if m.n_words < 20 else 1 if m.n_words >= 60 else 0,
         _say(m.n_symbols / n, 0.1, 0.02),
         _say(m.n_repeat_words / n, 0.4, 0.1),
         _say(m.upper / max(1, m.letters), 0.3, 0.1),
-        _say(-sum(w in COMMON_WORDS for w in plain) / n, -0.03, -0.08),
+        _say(-sum([w.strip(b".,;:!?\"'()") in _COMMON_BYTES for w in text.lower().split()]) / n, -0.03, -0.08),
         _say((text.count(b"!!") + text.count(b" | ")) / n, 0.1, 0.02),
         _say(m.top_word / n if m.n_words >= 20 else 0, 0.25, 0.15),
     ]
 
 
 def _plain_words(text: bytes | None) -> list[str]:
-    words = (w.strip(_TRIM) for w in (text or b"").decode("utf-8", "replace").lower().split())
+    words = [w.strip(_TRIM) for w in (text or b"").decode("utf-8", "replace").lower().split()]
     return [w for w in words if w]
 
 
@@ -86,7 +88,8 @@ def insult_votes(text: bytes | None, marks: frozenset[str] = frozenset()) -> lis
     words = _plain_words(text)
     hits = [w for w in words if w in INSULTS]
     if marks:
-        marked = [w for w in words if any(w[:n] in marks for n in MARK_LENGTHS)]
+        short, middle, long = MARK_LENGTHS
+        marked = [w for w in words if w[:short] in marks or w[:middle] in marks or w[:long] in marks]
         if len(marked) > 1 and len(marked) >= MARK_SHARE * len(words):
             hits += marked
     return [-1 if hits else 1, -1 if len(set(hits)) > 1 else 1 if not hits else 0, _say(len(hits) / max(1, len(words)), 0.01, 0.0)]
@@ -181,30 +184,27 @@ def learn(
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                found = texts(whole.slice(at, 512), "text")
+                batch = whole.slice(at, 512)
+                found = texts(batch, "text")
                 quality = [number(votes(t, measure(t))) for t in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(quality, pa.int32()), pa.array([number(insult_votes(t, marks)) for t in found], pa.int32())], names=["quality", "insult"]
+                    [batch.column("doc_id"), pa.array(quality, pa.int32()), pa.array([number(insult_votes(t, marks)) for t in found], pa.int32())],
+                    names=["doc_id", "quality", "insult"],
                 )
 
-    # at most 3 ** 7 times 3 ** 3 rows come back
-    rows = docs.select("text").mapInArrow(tally, "quality int, insult int").groupBy("quality", "insult").count().collect()
+    # every text is judged once; at most 3 ** 7 times 3 ** 3 rows come back
+    judged = write_stage(docs.select("doc_id", "text").mapInArrow(tally, "doc_id bigint, quality int, insult int"), "votes")
+    rows = judged.groupBy("quality", "insult").count().collect()
     totals: list[dict[int, int]] = [{}, {}]
     for row in rows:
         for held, name in zip(totals, ("quality", "insult")):
             held[row[name]] = held.get(row[name], 0) + row["count"]
     quality, insult = LabelModel(totals[0], 7), LabelModel(totals[1], 3)
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                bad = [insult(insult_votes(t, marks)) < 0.5 for t in texts(batch, "text")]
-                yield batch.select(["doc_id"]).filter(pa.array(bad, pa.bool_()))
+    insulting = [code for code, posterior in insult.posterior.items() if posterior < 0.5]
 
     known = docs.filter(F.col("doc_id").isNotNull())
     ids = hash_sample(known.select("doc_id").distinct(), train_rows, "doc_id")
-    rare = hash_sample(write_stage(known.mapInArrow(suspects, "doc_id bigint").distinct(), "suspects"), min(train_rows, TOXIC_ROWS), "doc_id")
+    rare = hash_sample(judged.filter(F.col("doc_id").isNotNull() & F.col("insult").isin(insulting)).select("doc_id").distinct(), min(train_rows, TOXIC_ROWS), "doc_id")
     both = ids.withColumn("common", F.lit(1)).unionByName(rare.withColumn("common", F.lit(0))).groupBy("doc_id").agg(F.max("common").alias("common"))
     chosen = write_stage(docs.join(F.broadcast(both), "doc_id").dropDuplicates(["doc_id"]), "weak_sample")  # at most both bounds of ids
 

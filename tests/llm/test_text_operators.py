@@ -198,3 +198,27 @@ def test_marks_are_learnt_from_labelled_texts_only(make):
 
 def test_weak_odd_rows(make):
     assert weak.classify(make(odd_rows(), ODD)).count() == len(odd_rows())
+
+
+def test_votes_are_taken_once_for_every_text(spark, monkeypatch):
+    """The rows judged insulting come from the votes that were counted, not from a second pass over the texts."""
+    written = {}
+    keep = weak.write_stage
+
+    def write(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(weak, "write_stage", write)
+    rows = [(i, "you idiot and moron " * 3 if i % 4 == 0 else f"a calm text of plain words number {i} " * 12) for i in range(40)]
+    weak.learn(spark.createDataFrame([*rows, rows[1], (None, None)], "doc_id bigint, text string"))
+    held = [tuple(r) for r in written["votes"].collect()]
+    assert len(held) == 42 and "suspects" not in written
+    assert {d for d, _, insult in held if insult == weak.number([-1, -1, -1])} == {i for i in range(0, 40, 4)}
+
+
+def test_marked_words_count_as_insults_from_the_second_on():
+    marks = frozenset(["zor", "quib", "blarfs"])
+    assert weak.insult_votes(b"Zorby (QUIBBLE) is here", marks) == [-1, -1, -1]
+    assert weak.insult_votes(b"one zorby here", marks) == weak.insult_votes(b"one word here")
+    assert weak.insult_votes("blarfsé , blarfs".encode(), marks)[0] == -1
