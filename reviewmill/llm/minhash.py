@@ -170,14 +170,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
             return pairs.join(right, "b").join(left, "a").mapInArrow(_linked, "a bigint, b bigint").distinct()
 
-        return verify
+        return nodes.select("id", "sketch"), verify
 
     def crossing(rest: DataFrame) -> DataFrame:
         open_sets = held[0].join(rest.select("id").distinct(), "id", "left_semi").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["id", "set"])
         members = open_sets.mapInArrow(_members, "id bigint, set bigint, size bigint, feature bigint")
         return rare_matches(rest, members, SIMILARITY_PERCENT, near)
 
-    labels = linked_components(nodes.select("id", "sketch"), nodes.select("id", F.explode("keys").alias("key")), near, verifier, crossing)
+    labels = linked_components(nodes.select("id", F.explode("keys").alias("key")), near, verifier, crossing)
     classes = nodes.select("print", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(
         "print", F.coalesce("label", "id").alias("label")
     )

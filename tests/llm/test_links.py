@@ -1,8 +1,11 @@
 """Near-duplicates, line groups and components against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from reviewmill.llm import catalog, lines, linking, minhash
 
@@ -239,3 +242,75 @@ def test_short_lines_that_repeat_go(make):
     rows = [(i, f"text number {chr(97 + i) * 5} of its own kind\n{line}\nand so") for i, line in enumerate(licences * 2)]
     out = {r["doc_id"]: r["places"] for r in lines.repeated_lines(make(rows, "doc_id bigint, text string")).collect()}
     assert out == {3: [1], 4: [1], 5: [1]}  # "and so" is too short to tell from chance
+
+
+def _shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_shuffles_of_a_step_are_gone_when_the_next_one_deals_rows(spark):
+    rows = [(i, i // 2) for i in range(40)]
+    keys = spark.createDataFrame(rows, "id bigint, key bigint")
+    before = _shuffle_files(spark)
+    left = []
+
+    def verifier(wanted):
+        def verify(pairs):
+            for _ in range(100):
+                if not (new := _shuffle_files(spark) - before):
+                    break
+                time.sleep(0.1)
+            left.append(len(new))
+            return pairs
+
+        return wanted.withColumn("sketch", F.lit(0)), verify
+
+    found = linking.linked_components(keys, lambda a, b: a == b, verifier)
+    assert sorted(map(tuple, found.collect())) == [(i, i - 1) for i in range(1, 40, 2)]
+    assert left and not any(left)
+
+
+def test_lines_with_few_common_runs_are_not_compared_by_edits(monkeypatch):
+    rng = random.Random(5)
+    letters = "abcdefghij éß漢"
+    lines_of = []
+    for size in (39, 40, 41, 90, 400):
+        base = "".join(rng.choice(letters) for _ in range(size))
+        for edits in (0, 1, size // 12, size // 10, size // 10 + 1, size // 4, size // 2):
+            other = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(other))
+                other[at : at + 1] = rng.choice([[], ["x"], ["y", other[at]]])
+            lines_of.append((base, "".join(other)))
+    for a, b in lines_of:
+        longer = max(len(a), len(b))
+        most = int((1 - lines.EDIT_SIMILARITY) * longer + 1e-9)
+        assert lines.alike(a, b) == (lines.edit_distance(a, b, most) <= most)
+    assert {lines.alike(a, b) for a, b in lines_of} == {True, False}
+    monkeypatch.setattr(lines, "edit_distance", lambda *_: pytest.fail("compared"))
+    assert not lines.alike("abcdefghij " * 40, "klmnopqrst " * 40)
+
+
+def test_keys_of_distinct_words_are_those_of_all_words():
+    words = [b"one", b"two", b"one", b"three", b"two", b"two"] * 90
+    sizes = np.array([3, 300, 237])
+    known, which = lines._distinct(words)
+    assert [known[i] for i in which] == words
+    every = lines.word_hashes(words)
+    prints = lines.simhashes(every, sizes)
+    for at, size in zip(np.cumsum(sizes) - sizes, sizes):
+        counts = np.zeros(128, int)
+        part = [int(h) for h in every[at : at + size]]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(part, part[1:])]
+        for h in part + pairs:
+            both = np.array([h, h ^ 0x5851F42D4C957F2D], np.uint64)
+            counts += np.unpackbits(lines._spread(both).astype(">u8").view(np.uint8))
+        want = np.packbits(2 * counts > 2 * size - 1).view(">u8").astype(np.uint64)
+        assert (prints[list(np.cumsum(sizes) - sizes).index(at)] == want).all()
+    lengths = np.array([len(w) for w in known])
+    few = lines.candidate_keys(lines.word_hashes(known), lengths, which, sizes, prints)
+    all_ = lines.candidate_keys(every, np.array([len(w) for w in words]), np.arange(len(words)), sizes, prints)
+    assert all((a == b).all() for a, b in zip(few, all_))
