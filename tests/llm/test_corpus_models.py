@@ -242,6 +242,21 @@ def test_disclosing_terms(make):
     assert "zed@" not in shown and "Zebedee" not in shown and "[email]" in shown and shown.endswith("today")
 
 
+def test_terms_of_entities_that_occur_once(make):
+    rows = [(i, f"Quixley wrote from u{i}@host{i}.example today") for i in range(18)]
+    rows += [(20 + i, f"the oncologist Vellamo at p{i}@clinic.example today") for i in range(2)]
+    rows += [(30, "Vellamo at home today")] + [(40 + i, f"the home {i} wrote from today") for i in range(39)]
+    out = {r["doc_id"]: r["spans"] for r in privacy.find_private(make(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+
+    def terms(i):
+        return {texts[i][s["start"] : s["stop"]] for s in out[i] if s["kind"] == "term"}
+
+    assert all(terms(i) == {"Quixley"} for i in range(18))  # by their kind: no address and no host occurs twice
+    assert terms(20) == terms(21) == {"oncologist", "Vellamo"}  # the name by their host, as one of three texts with it has no address
+    assert not out[30] and not out[40]
+
+
 def test_secrets(make):
     rng = random.Random(6)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
