@@ -50,6 +50,12 @@ def keyword_counts(df: DataFrame) -> DataFrame:
     category counts all reviews of the group.
     """
 
+    return count_keywords(annotate_keywords(df))
+
+
+def count_keywords(annotated: DataFrame) -> DataFrame:
+    """The counts of :func:`keyword_counts` from rows that :func:`annotate_keywords` has marked."""
+
     def entries(category: str, words: str) -> Column:
         any_hit = F.when(F.size(words) > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
         return F.transform(
@@ -59,7 +65,7 @@ def keyword_counts(df: DataFrame) -> DataFrame:
 
     everything = F.array(F.struct(F.lit("").alias("category"), F.lit("").alias("keyword")))
     tagged = F.concat(everything, *[entries(c, w) for c, w in zip(CATEGORIES, ("em_matches", "fn_matches"))])
-    rows = annotate_keywords(df).select("score_group", F.inline(tagged))
+    rows = annotated.select("score_group", F.inline(tagged))
     return rows.groupBy("score_group", "category", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 

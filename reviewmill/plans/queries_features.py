@@ -61,13 +61,13 @@ for _name, (_fn, _sql) in _SCALARS.items():
 @query("thumbs_up_feat", from_stage("cleaned", """
 SELECT review_id, CAST(trunc(thumbs_up_capped) AS BIGINT) AS thumbs_up_feat FROM cleaned"""))
 def thumbs_up_feat(spark, sf_dir):
-    df = fx.cleaned(spark, sf_dir)
+    df = fx.cleaned_short(spark, sf_dir)
     return df.select("review_id", ft.votes_feature(df).alias("thumbs_up_feat"))
 
 
 @query("log_thumbs_up", from_stage("cleaned", f"SELECT review_id, {r6('ln(1 + thumbs_up)', 'log_votes')} FROM cleaned"))
 def log_thumbs_up(spark, sf_dir):
-    return fx.cleaned(spark, sf_dir).select("review_id", F.log1p("thumbs_up").alias("log_votes"))
+    return fx.cleaned_short(spark, sf_dir).select("review_id", F.log1p("thumbs_up").alias("log_votes"))
 
 
 @query("date_parts", """
@@ -120,7 +120,7 @@ for _name in ("words_per_punct", "engagement_per_word"):
 @query("engineer_features", from_stage("features", f"""
 SELECT review_id, {', '.join(_value(c) for c in MATRIX)}, is_weekend, sentiment_coarse FROM features"""))
 def engineer_features(spark, sf_dir):
-    built = ft.engineer_features(fx.cleaned(spark, sf_dir))
+    built = ft.engineer_features(fx.cleaned_facts(spark, sf_dir), texts=fx.kept_texts(spark, sf_dir))
     return built.select("review_id", *MATRIX, "is_weekend", "sentiment_coarse")
 
 
@@ -208,13 +208,13 @@ FROM cleaned c JOIN (SELECT app_version, count(*) AS n FROM cleaned GROUP BY 1)
 
 @query("frequency_encode", _FREQUENCY)
 def frequency_encode(spark, sf_dir):
-    return en.frequency_encode(fx.cleaned(spark, sf_dir).select("review_id", "app_version"), "app_version")
+    return en.frequency_encode(fx.cleaned_short(spark, sf_dir).select("review_id", "app_version"), "app_version")
 
 
 @query("frequency_join", _FREQUENCY)
 def frequency_join(spark, sf_dir):
     """The same join with the broadcast refused: the salted shuffle must give the same rows."""
-    df = fx.cleaned(spark, sf_dir).select("review_id", "app_version")
+    df = fx.cleaned_short(spark, sf_dir).select("review_id", "app_version")
     table = en.frequency_table(df, "app_version")
     return lookup_join(df, table, {"app_version": "_value"}, max_rows=0)
 
@@ -456,4 +456,4 @@ UNION ALL SELECT 'features', count(*), 13 FROM split
 UNION ALL SELECT 'train split', count(*), 13 FROM split WHERE dataset = 'train'
 UNION ALL SELECT 'selected', count(*), 13 FROM split WHERE dataset = 'train'"""))
 def stage_summary_query(spark, sf_dir):
-    return stage_summary(fx.cleaned(spark, sf_dir), fx.features(spark, sf_dir), fx.model_data(spark, sf_dir))
+    return stage_summary(fx.cleaned_once(spark, sf_dir), fx.features(spark, sf_dir), fx.model_data(spark, sf_dir))

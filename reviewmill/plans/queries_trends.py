@@ -59,58 +59,58 @@ FROM mix LEFT JOIN releases ON first_seen_month = year_month""")
 @query("monthly_mean_rating", _MONTHLY)
 @query("chart_monthly_rating", _MONTHLY)
 def monthly_mean_rating(spark, sf_dir):
-    return tr.monthly_mean_rating(fx.cleaned(spark, sf_dir))
+    return tr.monthly_mean_rating(fx.cleaned_short(spark, sf_dir))
 
 
 @query("sentiment_trend", _TREND)
 @query("chart_sentiment_area", _TREND)
 def sentiment_trend(spark, sf_dir):
-    return tr.sentiment_trend(fx.cleaned(spark, sf_dir))
+    return tr.sentiment_trend(fx.cleaned_short(spark, sf_dir))
 
 
 @query("sentiment_monthly_counts", _trend("SELECT year_month, sentiment, count(*) AS n FROM trend GROUP BY 1, 2"))
 def sentiment_monthly_counts(spark, sf_dir):
-    return tr.sentiment_counts(fx.cleaned(spark, sf_dir))
+    return tr.sentiment_counts(fx.cleaned_short(spark, sf_dir))
 
 
 @query("densify_cross_join", _trend("SELECT * FROM dense"))
 def densify_cross_join(spark, sf_dir):
-    return tr.densify(fx.cleaned(spark, sf_dir))
+    return tr.densify(fx.cleaned_short(spark, sf_dir))
 
 
 @query("share_within_month", _trend(f"""
 SELECT year_month, sentiment, n, {r6('CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY year_month)', 'prop')} FROM dense"""))
 def share_within_month(spark, sf_dir):
-    return tr.share_within_month(tr.densify(fx.cleaned(spark, sf_dir)))
+    return tr.share_within_month(tr.densify(fx.cleaned_short(spark, sf_dir)))
 
 
 @query("pivot_sentiment", _trend(f"""
 SELECT year_month, {r6('CAST(neg AS DOUBLE) / total_count', '"Negative"')},
  {r6('CAST(neu AS DOUBLE) / total_count', '"Neutral"')}, {r6('CAST(pos AS DOUBLE) / total_count', '"Positive"')} FROM mix"""))
 def pivot_sentiment(spark, sf_dir):
-    return tr.pivot_sentiment(fx.cleaned(spark, sf_dir))
+    return tr.pivot_sentiment(fx.cleaned_short(spark, sf_dir))
 
 
 @query("version_first_seen", _trend("SELECT major_version, first_seen, first_seen_month FROM first_seen"))
 def version_first_seen(spark, sf_dir):
-    return tr.version_first_seen(fx.cleaned(spark, sf_dir))
+    return tr.version_first_seen(fx.cleaned_short(spark, sf_dir))
 
 
 @query("first_seen_top20", _trend("""
 SELECT major_version, first_seen, first_seen_month FROM first_seen ORDER BY first_seen, major_version LIMIT 20"""))
 def first_seen_top20(spark, sf_dir):
-    return tr.first_seen_sample(fx.cleaned(spark, sf_dir))
+    return tr.first_seen_sample(fx.cleaned_short(spark, sf_dir))
 
 
 @query("versions_by_month", _trend("SELECT first_seen_month, versions FROM releases"))
 def versions_by_month(spark, sf_dir):
-    grouped = tr.versions_by_month(fx.cleaned(spark, sf_dir))
+    grouped = tr.versions_by_month(fx.cleaned_short(spark, sf_dir))
     return grouped.select("first_seen_month", F.concat_ws(",", F.col("versions").cast("array<string>")).alias("versions"))
 
 
 @query("versions_label", _trend("SELECT first_seen_month, versions_list FROM releases"))
 def versions_label(spark, sf_dir):
-    grouped = tr.versions_by_month(fx.cleaned(spark, sf_dir))
+    grouped = tr.versions_by_month(fx.cleaned_short(spark, sf_dir))
     return grouped.select("first_seen_month", rv.versions_label(F.col("versions")).alias("versions_list"))
 
 
@@ -118,27 +118,27 @@ def versions_label(spark, sf_dir):
 SELECT DISTINCT year_month, coalesce(versions_list, '—') AS versions_list FROM trend
 LEFT JOIN releases ON first_seen_month = year_month"""))
 def month_version_join(spark, sf_dir):
-    df = fx.cleaned(spark, sf_dir)
+    df = fx.cleaned_short(spark, sf_dir)
     return tr.with_versions(tr.month_mix(df).select("year_month"), df)
 
 
 @query("month_total_join", _trend("SELECT year_month, total_count FROM mix"))
 def month_total_join(spark, sf_dir):
-    return tr.sentiment_trend(fx.cleaned(spark, sf_dir)).select("year_month", "total_count")
+    return tr.sentiment_trend(fx.cleaned_short(spark, sf_dir)).select("year_month", "total_count")
 
 
 @query("release_marker_thinning", _trend("""
 SELECT first_seen_month, n <= 3 OR i % 2 = 1 AS labelled FROM (
  SELECT first_seen_month, row_number() OVER (ORDER BY first_seen_month) AS i, count(*) OVER () AS n FROM releases)"""))
 def release_marker_thinning(spark, sf_dir):
-    return od.release_markers(tr.version_first_seen(fx.cleaned(spark, sf_dir)), limit=3)
+    return od.release_markers(tr.version_first_seen(fx.cleaned_short(spark, sf_dir)), limit=3)
 
 
 @query("month_coverage", _trend("""
 SELECT count(*) AS months, min(year_month) AS first_month, max(year_month) AS last_month,
  (SELECT count(*) FROM releases) AS release_months FROM mix"""))
 def month_coverage(spark, sf_dir):
-    return tr.month_coverage(fx.cleaned(spark, sf_dir))
+    return tr.month_coverage(fx.cleaned_short(spark, sf_dir))
 
 
 @query("month_bucket", "SELECT event_id, CAST(last_day(ts) AS TIMESTAMP) AS month_end FROM events")
@@ -198,29 +198,29 @@ def extract_keywords(spark, sf_dir):
 
 @query("has_keyword", _kw("SELECT review_id, score_group, len(em) > 0 AS has_em, len(fn) > 0 AS has_fn FROM annotated"))
 def has_keyword(spark, sf_dir):
-    return kw.annotate_keywords(fx.cleaned(spark, sf_dir)).select("review_id", "score_group", "has_em", "has_fn")
+    return kw.annotate_keywords(fx.cleaned_once(spark, sf_dir)).select("review_id", "score_group", "has_em", "has_fn")
 
 
 @query("keyword_group_stats", _kw(f"""
 SELECT score_group, n, em_count, fn_count, {r6('CAST(em_count AS DOUBLE) / n', 'em_prop')},
  {r6('CAST(fn_count AS DOUBLE) / n', 'fn_prop')} FROM kw_stats"""))
 def keyword_group_stats(spark, sf_dir):
-    return kw.keyword_group_stats(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
+    return kw.keyword_group_stats(fx.cleaned_short(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("chart_keyword_proportion", _kw("SELECT score_group, category, prop_pct FROM bars"))
 def chart_keyword_proportion(spark, sf_dir):
-    return kw.keyword_proportions(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
+    return kw.keyword_proportions(fx.cleaned_short(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("keyword_document_frequency", _kw("SELECT score_group, category, keyword, n FROM freq"))
 def keyword_document_frequency(spark, sf_dir):
-    return kw.keyword_document_frequency(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
+    return kw.keyword_document_frequency(fx.cleaned_short(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("top_keywords", _kw("SELECT score_group, category, keyword, n, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 15"))
 def top_keywords(spark, sf_dir):
-    return kw.top_keywords(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
+    return kw.top_keywords(fx.cleaned_short(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 @query("keyword_summary_table", _kw("""
@@ -228,7 +228,7 @@ SELECT score_group, category, coalesce(words, '') AS top_keywords, prop_pct FROM
  SELECT score_group, category, string_agg(keyword, ', ' ORDER BY rank) AS words FROM ranked WHERE rank <= 5 GROUP BY 1, 2)
 USING (score_group, category)"""))
 def keyword_summary_table(spark, sf_dir):
-    return kw.keyword_summary(fx.cleaned(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
+    return kw.keyword_summary(fx.cleaned_short(spark, sf_dir), counts=fx.keyword_table(spark, sf_dir))
 
 
 KEYWORD_FILES_SQL = _kw("SELECT score_group, category, keyword, n FROM ranked WHERE rank <= 15")

@@ -91,3 +91,68 @@ def test_forest_keeps_node_ids(make):
     df = models.assemble(make([(float(i % 2), float(i)) for i in range(40)], "label double, x double"), ["x"])
     model = models.fit_random_forest(df.select("label", "features"), trees=2, depth=2)
     assert model.getCacheNodeIds() and model.getCheckpointInterval() == -1
+
+
+def _wide_stages(monkeypatch):
+    """Names of the stages that are written with their text, as they come."""
+    from reviewmill.plans import queries_models
+
+    wide = []
+    real = cleaning.write_stage
+
+    def noted(df, name):
+        if "content" in df.columns:
+            wide.append(name)
+        return real(df, name)
+
+    for module in (cleaning, fixtures, queries_models):
+        monkeypatch.setattr(module, "write_stage", noted)
+    return wide
+
+
+def test_queries_without_text_write_none_again(spark, monkeypatch):
+    from reviewmill.plans.catalog import QUERIES
+
+    wide = _wide_stages(monkeypatch)
+    fixtures.forget_stages()
+    names = (
+        "complete_cases", "length_stats", "chart_sentiment_area", "chart_monthly_rating", "month_version_join", "sentiment_trend",
+        "log_thumbs_up", "page_ranges", "page_index", "sort_newest_first", "engineer_features", "keyword_group_stats", "chart_keyword_proportion",
+        "write_keyword_csvs", "stage_summary", "project_final_columns", "write_parquet",
+    )
+    try:
+        for name in names:
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+        assert wide == ["clean-rows"]
+    finally:
+        fixtures.forget_stages()
+
+
+def test_features_and_keywords_of_texts_beside_the_rows(make):
+    from reviewmill.operators.features import engineer_features
+    from reviewmill.operators.keywords import annotate_keywords, count_keywords, keyword_counts
+
+    rows = [(i, f"Great video, crash {'!' * (i % 3)} ÄB x{i}", float(1 + i % 5), i, T[i % 3]) for i in range(30)]
+    df = make(rows, "_row bigint, content string, score double, thumbs_up bigint, created_at timestamp_ntz")
+    whole = engineer_features(df).drop("content")
+    beside = engineer_features(df.drop("content"), texts=df.select("_row", "content")).select(*whole.columns)
+    assert sorted(map(repr, beside.collect())) == sorted(map(repr, whole.collect()))
+    some = df.filter("_row % 4 > 0")
+    counted = count_keywords(annotate_keywords(df).drop("content").join(some.select("_row"), "_row", "left_semi"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, keyword_counts(some).collect()))
+
+
+def test_files_of_finished_shuffles_are_released(spark, make, tmp_path, monkeypatch):
+    from reviewmill.sources import writers
+    from reviewmill.streaming import master
+
+    calls = []
+    monkeypatch.setattr(writers, "release_shuffles", lambda spark: calls.append("pages"))
+    monkeypatch.setattr(master, "release_shuffles", lambda spark: calls.append("batch"))
+    df = make([(f"r{i}", "u", f"t{i}", 1.0, i, "v", T[i % 3], "s") for i in range(20)], SCHEMA)
+    writers.write_pages(df, str(tmp_path / "pages"), ["created_at", "review_id"], rows=6)
+    df.repartition(2).write.parquet(str(tmp_path / "inbox"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "inbox"))
+    archive = master.ReviewArchive(spark, str(tmp_path / "archive"), buckets=2)
+    archive.stream_from(stream).awaitTermination()
+    assert calls == ["pages", "batch", "batch"] and archive.read().count() == 20
