@@ -156,3 +156,24 @@ def test_files_of_finished_shuffles_are_released(spark, make, tmp_path, monkeypa
     archive = master.ReviewArchive(spark, str(tmp_path / "archive"), buckets=2)
     archive.stream_from(stream).awaitTermination()
     assert calls == ["pages", "batch", "batch"] and archive.read().count() == 20
+
+
+def test_all_models_of_k_means_are_assigned_at_once():
+    import numpy as np
+
+    from reviewmill.operators.minibatch import _assign, _sums
+
+    rng = np.random.default_rng(1)
+    x, ks, starts = rng.normal(size=(300, 3)), [2, 4], 3
+    centres = rng.normal(size=(starts * sum(ks), 3))
+    centres[1] = centres[0]  # equally near: the first
+    nearest, least = _assign(x, centres, ks, starts)
+    counts, sums = _sums(x, nearest, len(centres))
+    at = 0
+    for model, k in enumerate(k for k in ks for _ in range(starts)):
+        square = ((x[:, None] - centres[None, at : at + k]) ** 2).sum(axis=2)
+        assert (nearest[:, model] == at + square.argmin(axis=1)).all() and np.allclose(least[:, model], square.min(axis=1))
+        for c in range(at, at + k):
+            mine = x[nearest[:, model] == c]
+            assert counts[c] == len(mine) and np.allclose(sums[c], mine.sum(axis=0))
+        at += k
